@@ -35,7 +35,7 @@ def test_trend_golden(spark):
 def test_empty_weeks_present(spark):
     df = spark.createDataFrame([(dt.date(2025, 1, 1), 5, 1), (dt.date(2025, 1, 20), 7, 1)], "date date, revenue bigint, orders bigint")
     w = tsr.weekly(df).orderBy("period").collect()
-    assert [(r["revenue_sum"], r["orders_count"], r["revenue_mean"]) for r in w] == [(5, 1, 5.0), (0, 0, None), (7, 1, 7.0)]
+    assert [(r["revenue_sum"], r["orders_count"], r["revenue_mean"]) for r in w] == [(5, 1, 5.0), (0, 0, None), (0, 0, None), (7, 1, 7.0)]
 
 
 def test_zero_base_percent_change(spark):
