@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import row_index
+from .order import running_sum
 
 
 def _partitions(df: DataFrame) -> int:
@@ -31,46 +31,43 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     ``names`` (default ``q<q>``).  NULL values are ignored; a group with no
     values yields NULLs.
 
-    Plan: range-partition ``(group, value, tie)`` so equal values may span
-    partitions (a hot value cannot load one task), number the rows with a
-    per-partition prefix count, and keep only the two neighbours of every
-    target position.
+    Plan: (1) ``groupBy(group, value).count()`` — a partial aggregate, so a hot
+    value collapses to one row before any shuffle; (2) range-partition the
+    distinct values and give each its cumulative count with a per-partition
+    prefix (``order.running_sum``); (3) each target rank ``floor/ceil(q*(n-1))``
+    finds the value whose count interval contains it (an equi-join on the group
+    plus a range condition against a target table of groups x quantiles rows).
     """
     names = list(names) if names else [f"q{str(q).replace('.', '_')}" for q in qs]
-    gcols = [F.col(group)] if group else []
-    vals = df.select(*gcols, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    # A unique tie-breaker so the range partitioner can split runs of equal values.
-    vals = vals.withColumn("_tie", F.monotonically_increasing_id())
-    order = gcols + [F.col("_v"), F.col("_tie")]
-    ranged = vals.repartitionByRange(_partitions(df), *order)
-    indexed = row_index(ranged, "_idx", order, F.spark_partition_id())
-    # Per-group start index and size: the first index of a group is its min.
-    if group:
-        bounds = indexed.groupBy(group).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    else:
-        bounds = indexed.agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    # Target positions: pos = q * (n - 1); needed ranks floor(pos) and ceil(pos).
-    targets = bounds.select(
-        *([F.col(group)] if group else []), "_start", "_n",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])).alias("_t"))
-    targets = targets.select(
-        *([F.col(group)] if group else []), "_start", F.col("_t.qi").alias("qi"),
-        (F.col("_t.q") * (F.col("_n") - 1)).alias("pos"))
+    g = [group] if group else []
+    vals = df.select(*[F.col(c) for c in g], F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = [F.col(c) for c in g] + [F.col("_v")]
+    ranged = counts.repartitionByRange(_partitions(df), *order)
+    cum = running_sum(ranged, "_c", "_cum", order, F.spark_partition_id())
+    bounds = cum.groupBy(*g).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n"))
+    targets = bounds.select(*g, "_start", "_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])).alias("_t"))
+    targets = targets.select(*g, "_start", F.col("_t.qi").alias("qi"), (F.col("_t.q") * (F.col("_n") - 1)).alias("pos"))
     targets = targets.select("*", F.explode(F.array_distinct(F.array(
         F.floor("pos").cast("long"), F.ceil("pos").cast("long")))).alias("_rank"))
-    targets = targets.withColumn("_idx", F.col("_start") + F.col("_rank"))
-    keys = ([group] if group else []) + ["_idx"]
-    picked = targets.join(indexed.select(*keys, "_v"), keys, "inner")
-    per_q = picked.groupBy(*([group] if group else []), "qi", "pos").agg(
+    # Global 0-based rank interval of each distinct value: [cum - c, cum - 1].
+    t = targets.withColumn("_r", F.col("_start") + F.col("_rank")).alias("t")
+    c = cum.alias("c")
+    cond = [(F.col("t._r") >= F.col("c._cum") - F.col("c._c")), (F.col("t._r") < F.col("c._cum"))]
+    cond += [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g]
+    picked = t.join(c, cond, "inner").select(
+        *[F.col(f"t.{k}") for k in g], F.col("t.qi"), F.col("t.pos"), F.col("t._rank"), F.col("c._v").alias("_v"))
+    per_q = picked.groupBy(*g, "qi", "pos").agg(
         F.min_by("_v", "_rank").alias("lo"), F.max_by("_v", "_rank").alias("hi"))
     per_q = per_q.withColumn("qv", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos")))
-    wide = per_q.groupBy(*([group] if group else [])).agg(
+    wide = per_q.groupBy(*g).agg(
         *[F.max(F.when(F.col("qi") == i, F.col("qv"))).alias(n) for i, n in enumerate(names)])
     if group:
         # Keep groups that only have NULLs, with NULL quantiles.
         all_groups = df.select(group).distinct()
         return all_groups.join(wide, group, "left")
-    # Global: always exactly one row.
     return _one_row(wide, names)
 
 

@@ -16,9 +16,15 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters Python's str.strip() treats as whitespace.
+PY_WHITESPACE = (r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+                 r"\x{202f}\x{205f}\x{3000}")
+_STRIP_RE = f"^[{PY_WHITESPACE}]+|[{PY_WHITESPACE}]+$"
+
+
 def py_strip(c) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace (Spark ``trim`` only drops blanks)."""
-    return F.regexp_replace(col_of(c), r"(?U)^\s+|\s+$", "")
+    """``str.strip()``: remove leading/trailing whitespace as Python defines it (Spark ``trim`` only drops blanks)."""
+    return F.regexp_replace(col_of(c), _STRIP_RE, "")
 
 
 def py_title(c) -> Column:

@@ -4,8 +4,8 @@ segments, histograms and a Gaussian density curve.
 Every statistic is exact.  Quantiles use the range-partitioned selection of
 ``functions.stats``; histograms count per bin with a partial aggregate and
 join a generated bin spine for the empty bins; the density curve expands each
-distinct value only to the grid points its kernel can reach in double
-precision (beyond ~38.6 bandwidths ``exp`` underflows to exactly 0), so no
+distinct value only to the grid points within 12 bandwidths (a kernel there weighs
+< 6e-32 of its peak, so the absolute error is below 1e-31 / bandwidth), so no
 value is paired with the whole grid.
 """
 
@@ -25,7 +25,7 @@ SHAPE_SKEWED, SHAPE_MODERATE = "Highly right-skewed", "Moderate"
 TAILS_FAT, TAILS_NORMAL = "Fat tails (outliers)", "Normal"
 ACTION_SPLIT, ACTION_UNIFORM = "Segment into small/enterprise for different strategies", "Uniform strategy"
 KDE_POINTS = 1000
-KDE_REACH = 39.0  # bandwidths; exp(-0.5 * 39**2) is 0.0 in double precision
+KDE_REACH = 12.0  # bandwidths; a kernel beyond 12 bandwidths weighs < 6e-32 of its peak
 
 
 def describe(rev: DataFrame) -> DataFrame:
