@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .order import running_sum
 
 
@@ -24,7 +25,7 @@ def _partitions(df: DataFrame) -> int:
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str | None = None,
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, few_groups: bool = True) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default), exact.
 
     Returns one row per group (or one row) with a column per quantile, named
@@ -37,6 +38,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     prefix (``order.running_sum``); (3) each target rank ``floor/ceil(q*(n-1))``
     finds the value whose count interval contains it (an equi-join on the group
     plus a range condition against a target table of groups x quantiles rows).
+
+    With ``few_groups`` (groups are columns or segments, not entities) the
+    target table — groups x quantiles x 2 rows — is broadcast, so the join on a
+    low-cardinality group key never funnels one group's values into one task.
+    Groups without any value are absent from the result.
     """
     names = list(names) if names else [f"q{str(q).replace('.', '_')}" for q in qs]
     g = [group] if group else []
@@ -45,7 +51,10 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
     order = [F.col(c) for c in g] + [F.col("_v")]
     ranged = counts.repartitionByRange(_partitions(df), *order)
-    cum = running_sum(ranged, "_c", "_cum", order, F.spark_partition_id())
+    # The cumulative table (one row per distinct value) feeds two branches; it is
+    # checkpointed to the shared checkpoint folder so the counts, the range
+    # sampling and the prefix sums run once and survive executor loss.
+    cum = materialize(running_sum(ranged, "_c", "_cum", order, F.spark_partition_id()))
     bounds = cum.groupBy(*g).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n"))
     targets = bounds.select(*g, "_start", "_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])).alias("_t"))
@@ -57,7 +66,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     c = cum.alias("c")
     cond = [(F.col("t._r") >= F.col("c._cum") - F.col("c._c")), (F.col("t._r") < F.col("c._cum"))]
     cond += [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g]
-    picked = t.join(c, cond, "inner").select(
+    picked = c.join(F.broadcast(t) if (few_groups or not g) else t, cond, "inner").select(
         *[F.col(f"t.{k}") for k in g], F.col("t.qi"), F.col("t.pos"), F.col("t._rank"), F.col("c._v").alias("_v"))
     per_q = picked.groupBy(*g, "qi", "pos").agg(
         F.min_by("_v", "_rank").alias("lo"), F.max_by("_v", "_rank").alias("hi"))
@@ -65,12 +74,21 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     wide = per_q.groupBy(*g).agg(
         *[F.max(F.when(F.col("qi") == i, F.col("qv"))).alias(n) for i, n in enumerate(names)])
     if group:
-        # Keep groups that only have NULLs, with NULL quantiles.
-        all_groups = df.select(group).distinct()
-        return all_groups.join(wide, group, "left")
+        return wide
     return _one_row(wide, names)
 
 
+def quantile_values(df: DataFrame, value: str, qs: Sequence[float]) -> list:
+    """Exact quantiles as Python floats (one small action; None when there are no values).
+
+    Used where a quantile feeds later work (thresholds, fill values): the plans
+    that follow then carry a literal instead of re-running the selection.
+    """
+    names = [f"q{i}" for i in range(len(qs))]
+    row = exact_quantiles(df, value, qs, names=names).first()
+    return [row[n] for n in names]
+
+
 def _one_row(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     """Force a global result to exactly one row (NULLs when the input had no values)."""
     return wide.agg(*[F.max(n).alias(n) for n in names])

@@ -3,10 +3,9 @@ segments, histograms and a Gaussian density curve.
 
 Every statistic is exact.  Quantiles use the range-partitioned selection of
 ``functions.stats``; histograms count per bin with a partial aggregate and
-join a generated bin spine for the empty bins; the density curve expands each
-distinct value only to the grid points within 12 bandwidths (a kernel there weighs
-< 6e-32 of its peak, so the absolute error is below 1e-31 / bandwidth), so no
-value is paired with the whole grid.
+join a generated bin spine for the empty bins; the density curve sums kernels
+per task with numpy over Spark-partitioned distinct values and adds the
+per-task grid vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import exact_quantiles
+from ..functions.stats import exact_quantiles, quantile_values
 
 V = "revenue"
 PERCENTILES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -25,17 +24,16 @@ SHAPE_SKEWED, SHAPE_MODERATE = "Highly right-skewed", "Moderate"
 TAILS_FAT, TAILS_NORMAL = "Fat tails (outliers)", "Normal"
 ACTION_SPLIT, ACTION_UNIFORM = "Segment into small/enterprise for different strategies", "Uniform strategy"
 KDE_POINTS = 1000
-KDE_REACH = 12.0  # bandwidths; a kernel beyond 12 bandwidths weighs < 6e-32 of its peak
 
 
 def describe(rev: DataFrame) -> DataFrame:
     """count, mean, std (sample), min, 25%, 50%, 75%, max — pandas ``describe``."""
     m = rev.agg(F.count(V).cast("double").alias("count"), F.avg(V).alias("mean"), F.stddev_samp(V).alias("std"),
                 F.min(V).alias("min"), F.max(V).alias("max"))
-    q = exact_quantiles(rev, V, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"])
-    return m.select("count", "mean", "std", "min",
-                    q.select("p25").scalar().alias("25%"), q.select("p50").scalar().alias("50%"),
-                    q.select("p75").scalar().alias("75%"), "max")
+    p25, p50, p75 = quantile_values(rev, V, [0.25, 0.5, 0.75])
+    lit = lambda x: F.lit(x).cast("double")
+    return m.select("count", "mean", "std", "min", lit(p25).alias("25%"), lit(p50).alias("50%"),
+                    lit(p75).alias("75%"), "max")
 
 
 def percentiles(rev: DataFrame, qs=PERCENTILES) -> DataFrame:
@@ -59,20 +57,21 @@ def interpretation(rev: DataFrame) -> DataFrame:
         F.when(F.col("skewness") > 1, ACTION_SPLIT).otherwise(ACTION_UNIFORM).alias("business_action"))
 
 
-def _quartile_bounds(rev: DataFrame) -> tuple[Column, Column]:
-    q = exact_quantiles(rev, V, [0.25, 0.75], names=["q25", "q75"])
-    return q.select("q25").scalar(), q.select("q75").scalar()
-
-
 def value_segment_rows(rev: DataFrame) -> DataFrame:
-    """Rows tagged ``high`` (> q75) / ``low`` (< q25); a side that is empty takes every row."""
-    q25, q75 = _quartile_bounds(rev)
+    """Rows tagged ``high`` (> q75) / ``low`` (< q25); a side that is empty takes every row.
+
+    The quartiles and the two side counts are one small action each; the rows
+    themselves stay distributed.
+    """
+    q25, q75 = quantile_values(rev, V, [0.25, 0.75])
+    if q25 is None:
+        return rev.select(V, F.lit(None).cast("string").alias("segment")).limit(0)
     tagged = rev.select(V, F.when(F.col(V) > q75, "high").when(F.col(V) < q25, "low").alias("segment"))
-    n_high = tagged.select(F.count_if(F.col("segment") == "high")).scalar()
-    n_low = tagged.select(F.count_if(F.col("segment") == "low")).scalar()
+    sides = tagged.agg(F.count_if(F.col("segment") == "high").alias("h"),
+                       F.count_if(F.col("segment") == "low").alias("l")).first()
     seg = F.explode(F.array_compact(F.array(
-        F.when((F.col("segment") == "high") | (n_high == 0), F.lit("high")),
-        F.when((F.col("segment") == "low") | (n_low == 0), F.lit("low")))))
+        F.when((F.col("segment") == "high") | F.lit(sides["h"] == 0), F.lit("high")),
+        F.when((F.col("segment") == "low") | F.lit(sides["l"] == 0), F.lit("low")))))
     return tagged.select(V, seg.alias("segment"))
 
 
@@ -124,25 +123,48 @@ def value_histograms(rev: DataFrame) -> DataFrame:
 
 def density(rev: DataFrame, points: int = KDE_POINTS) -> DataFrame:
     """Gaussian KDE (Scott bandwidth) on pandas' default grid: ``points`` values over
-    [min - range/2, max + range/2].  Columns: point, x, density."""
-    st = rev.agg(F.count(V).alias("n"), F.stddev_samp(V).alias("sd"), F.min(V).alias("mn"), F.max(V).alias("mx"))
-    n = st.select("n").scalar()
-    sd = st.select("sd").scalar()
-    mn = st.select("mn").scalar()
-    mx = st.select("mx").scalar()
-    bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
-    g0 = mn - 0.5 * (mx - mn)
-    g1 = mx + 0.5 * (mx - mn)
+    [min - range/2, max + range/2].  Columns: point, x, density.
+
+    The four grid parameters are one small aggregate.  Distinct values with
+    their counts (a partial aggregate) are scanned by ``mapInPandas``: each task
+    adds its values' kernels on the whole grid with numpy and emits one partial
+    sum per grid point, and Spark adds the partial sums — ``points`` rows per
+    task, however many values there are.
+    """
+    st = rev.agg(F.count(V).alias("n"), F.stddev_samp(V).alias("sd"), F.min(V).alias("mn"),
+                 F.max(V).alias("mx")).first()
+    spark = rev.sparkSession
+    grid_schema = "point int, x double, density double"
+    if not st["n"] or st["sd"] is None or st["sd"] == 0:
+        return spark.createDataFrame([], grid_schema)
+    n, sd, mn, mx = int(st["n"]), float(st["sd"]), float(st["mn"]), float(st["mx"])
+    bw = sd * n ** -0.2
+    g0, g1 = mn - 0.5 * (mx - mn), mx + 0.5 * (mx - mn)
+    counts = rev.groupBy(V).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    partial = counts.mapInPandas(_kde_partial(g0, g1, points, bw), "point int, s double")
+    sums = partial.groupBy("point").agg(F.sum("s").alias("s"))
+    grid = spark.range(points).select(F.col("id").cast("int").alias("point"))
     dx = (g1 - g0) / (points - 1)
-    counts = rev.groupBy(V).agg(F.count(F.lit(1)).alias("c"))
-    lo = F.greatest(F.lit(0), F.ceil((F.col(V) - KDE_REACH * bw - g0) / dx).cast("int"))
-    hi = F.least(F.lit(points - 1), F.floor((F.col(V) + KDE_REACH * bw - g0) / dx).cast("int"))
-    pairs = counts.select(V, "c", F.explode(F.sequence(lo, hi)).alias("point"))
-    x = g0 + F.col("point") * dx
-    z = (x - F.col(V)) / bw
-    sums = pairs.groupBy("point").agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
-    grid = rev.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
     out = grid.join(sums, "point", "left")
-    xg = g0 + F.col("point") * dx
-    return out.select("point", xg.alias("x"),
+    return out.select("point", (F.lit(g0) + F.col("point") * F.lit(dx)).alias("x"),
                       (F.coalesce("s", F.lit(0.0)) / (n * bw * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def _kde_partial(g0: float, g1: float, points: int, bw: float, chunk: int = 2048):
+    """Per-task kernel sums on the grid (numpy, chunked to bound memory)."""
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        grid = g0 + np.arange(points) * ((g1 - g0) / (points - 1))
+        acc = np.zeros(points)
+        seen = False
+        for pdf in batches:
+            v = pdf[V].to_numpy(dtype="float64")
+            c = pdf["c"].to_numpy(dtype="float64")
+            for i in range(0, len(v), chunk):
+                z = (grid[None, :] - v[i:i + chunk, None]) / bw
+                acc += (c[i:i + chunk, None] * np.exp(-0.5 * z * z)).sum(axis=0)
+                seen = True
+        if seen:
+            yield pd.DataFrame({"point": np.arange(points, dtype="int32"), "s": acc})
+    return run

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from ..functions.order import forward_fill
-from ..functions.stats import exact_quantiles, mode_value
+from ..session import materialize
+from ..functions.stats import exact_quantiles, mode_value, quantile_values
 
 # The treatment log's reasoning texts.
 REASON_DROP = ("Dropped {n} rows with missing critical identifier '{c}'. "
@@ -146,11 +147,11 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
         if "__sort_d" in cur.columns:
             cur = cur.drop("__sort_d")
         if checkpoint:
-            cur = cur.checkpoint(eager=True)
+            cur = materialize(cur)
     for c in numerical_median_cols:
         if c not in cur.columns:
             continue
-        med = exact_quantiles(cur, c, [0.5], names=["m"]).select("m").scalar()
+        med = F.lit(quantile_values(cur, c, [0.5])[0]).cast("double")
         n = F.count_if(F.col(c).isNull())
         shown = _py_float_text(F.round(med, 4))
         add(_log_row(cur, c, "median_imputation", n, shown,
@@ -159,7 +160,8 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
     for c in categorical_mode_cols:
         if c not in cur.columns:
             continue
-        mode = F.coalesce(mode_value(cur, c).select(F.col("mode").cast("string")).scalar(), F.lit("Unknown"))
+        found = mode_value(cur, c).first()["mode"]
+        mode = F.lit("Unknown" if found is None else str(found))
         n = F.count_if(F.col(c).isNull())
         add(_log_row(cur, c, "mode_imputation", n, mode,
                      _fmt(REASON_MODE, n=F.col("affected_records"), c=F.lit(c), v=mode)))
@@ -207,7 +209,6 @@ def median_fill_numeric(df: DataFrame) -> DataFrame:
     longf = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in num])).alias("r")
     ).select("r.column", "r.v")
-    meds = exact_quantiles(longf, "v", [0.5], group="column", names=["m"])
-    fills = {c: F.coalesce(_widen(df, c), meds.filter(F.col("column") == c).select("m").scalar())
-             for c in num}
+    meds = {r["column"]: r["m"] for r in exact_quantiles(longf, "v", [0.5], group="column", names=["m"]).collect()}
+    fills = {c: F.coalesce(_widen(df, c), F.lit(meds.get(c)).cast("double")) for c in num}
     return df.withColumns(fills)

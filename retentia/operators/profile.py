@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ..functions.stats import exact_quantiles
+from ..session import materialize
 from .dedup import exact_duplicate_stats
 from .missing import is_missing, missing_totals
 
@@ -75,24 +76,34 @@ def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def profile_numeric(df: DataFrame) -> DataFrame:
-    """pandas-style numeric profile per column, 4 dp; all-null columns are skipped."""
+    """pandas-style numeric profile per column, 4 dp; all-null columns are skipped.
+
+    Two passes over the long (column, value) projection: the grouped exact
+    quartiles (collected: one row per column), then ONE grouped aggregate for
+    count, mean, std, min, max, skewness and the IQR outlier count, with the
+    fences inlined as literals.
+    """
     cols = numeric_columns(df)
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], _NUMERIC_SCHEMA)
+        return spark.createDataFrame([], _NUMERIC_SCHEMA)
     longf = _long_numeric(df, cols)
-    n = F.count("v")
+    qrows = exact_quantiles(longf, "v", [0.25, 0.5, 0.75], group="column", names=["q25", "median", "q75"]).collect()
+    if not qrows:
+        return spark.createDataFrame([], _NUMERIC_SCHEMA)
+    qs = spark.createDataFrame([(r["column"], r["q25"], r["median"], r["q75"]) for r in qrows],
+                               "column string, q25 double, median double, q75 double")
+    lo = hi = None
+    for r in qrows:
+        iqr = r["q75"] - r["q25"]
+        cond = F.col("column") == r["column"]
+        lo = F.when(cond, F.lit(r["q25"] - 1.5 * iqr)) if lo is None else lo.when(cond, F.lit(r["q25"] - 1.5 * iqr))
+        hi = F.when(cond, F.lit(r["q75"] + 1.5 * iqr)) if hi is None else hi.when(cond, F.lit(r["q75"] + 1.5 * iqr))
     moments = longf.groupBy("column").agg(
-        n.alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("_g1"))
-    qs = exact_quantiles(longf, "v", [0.25, 0.5, 0.75], group="column", names=["q25", "median", "q75"])
-    prof = moments.join(qs, "column", "inner")
-    prof = prof.withColumn("iqr", F.col("q75") - F.col("q25"))
-    fences = prof.select("column", (F.col("q25") - 1.5 * F.col("iqr")).alias("lo"),
-                         (F.col("q75") + 1.5 * F.col("iqr")).alias("hi"))
-    # One row per profiled column: the fence table is as small as the column list.
-    outl = longf.join(F.broadcast(fences), "column").groupBy("column").agg(
-        F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("outlier_count"))
-    prof = prof.join(outl, "column", "left")
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("_g1"),
+        F.count_if((F.col("v") < lo) | (F.col("v") > hi)).alias("outlier_count"))
+    prof = moments.join(F.broadcast(qs), "column", "inner").withColumn("iqr", F.col("q75") - F.col("q25"))
     nn = F.col("count").cast("double")
     skew = F.when(F.col("count") <= 2, F.lit(0.0)).otherwise(
         F.coalesce(F.col("_g1") * F.sqrt(nn * (nn - 1)) / (nn - 2), F.lit(0.0)))
@@ -102,9 +113,8 @@ def profile_numeric(df: DataFrame) -> DataFrame:
         F.when(F.col("count") > 1, r4(F.col("std"))).otherwise(F.lit(0.0)).alias("std"),
         r4(F.col("min")).alias("min"), r4(F.col("q25")).alias("q25"), r4(F.col("median")).alias("median"),
         r4(F.col("q75")).alias("q75"), r4(F.col("max")).alias("max"), r4(F.col("iqr")).alias("iqr"),
-        r4(skew).alias("skewness"), F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"),
-        F.round(F.coalesce("outlier_count", F.lit(0)) / F.greatest(F.col("count"), F.lit(1)) * 100, 2)
-        .alias("outlier_pct"))
+        r4(skew).alias("skewness"), F.col("outlier_count"),
+        F.round(F.col("outlier_count") / F.greatest(F.col("count"), F.lit(1)) * 100, 2).alias("outlier_pct"))
 
 
 _NUMERIC_SCHEMA = ("column string, count bigint, mean double, std double, min double, q25 double, median double, "
@@ -188,11 +198,11 @@ def dataset_profile(df: DataFrame, name: str = "dataset", primary_key: str | Non
     is nested, so the report plan does not re-derive every part's shuffles.
     """
     def nest(part: DataFrame):
-        part = part.checkpoint(eager=True)
+        part = materialize(part)
         return part.select(F.collect_list(F.struct(*part.columns)).alias("x")).select("x").scalar()
 
     def one(part: DataFrame):
-        part = part.checkpoint(eager=True)
+        part = materialize(part)
         return part.select(F.struct(*part.columns).alias("x")).select("x").scalar()
     comp = profile_completeness(df)
     return df.sparkSession.range(1).select(

@@ -58,3 +58,20 @@ def staging_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for tables a job writes and re-reads."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/staging/" + name
+
+
+def materialize(df):
+    """Checkpoint ``df`` to the shared checkpoint folder, computing it once.
+
+    A reliable checkpoint re-runs its plan when it writes unless the data is
+    persisted, so persist, checkpoint (eager), and drop the persisted copy.
+    The result's lineage is cut: it survives executor loss by re-reading the
+    checkpoint files.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out

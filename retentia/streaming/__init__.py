@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming, watermark, window or state code; its nearest
+notions (weekly / monthly buckets, trailing windows) are batch operators in
+``operators.timeseries`` and ``operators.kpi``.
+"""
