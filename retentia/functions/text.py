@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tokens pandas' CSV reader treats as missing by default, as far
-# as the reference's inputs use them.
-NA_TOKENS = ["", "NA", "N/A", "null", "None", "nan", "NaN", "n/a", "#N/A", "NULL", "<NA>"]
+# The tokens pandas' CSV reader treats as missing by default.
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def col_of(c) -> Column:

@@ -118,3 +118,28 @@ def test_sinks_round_trip(spark, tmp):
     write_text(lines, os.path.join(tmp, "out_txt"), "line", "line_no")
     got = [r[0] for r in spark.read.text(os.path.join(tmp, "out_txt")).collect()]
     assert got == ["first", "second"]
+
+
+def test_report_bundles(spark, tmp):
+    from fixtures import CORRELATION, PROFILES, SEGMENTS
+    from retentia.operators import correlation as co
+    from retentia.operators import segments as sg
+    from retentia.sinks import write_correlation_report, write_segment_report, write_strategy_report
+    seg = spark.createDataFrame(SEGMENTS, "customer_id long, customer_type string, product string, revenue bigint, "
+                                          "support_tickets bigint, churn bigint")
+    p = write_segment_report(sg.segment_metrics(seg), sg.segment_worst_first(seg), sg.revenue_pivot(seg),
+                             sg.segment_insights(seg), os.path.join(tmp, "seg"))
+    assert spark.read.option("header", True).csv(p["insights_csv"]).count() == 3
+    m = {r["customer_type"]: r for r in spark.read.json(p["segment_metrics"]).collect()}
+    assert m["Enterprise"]["churn_rate"] == 0.25
+    prof = spark.createDataFrame(PROFILES, "customer_id long, customer_type string, lifetime_value bigint, churn bigint, "
+                                           "support_tickets bigint, retention_days bigint")
+    q = write_strategy_report(sg.strategy_summary(prof), sg.strategy_performers(prof), sg.strategy_narrative(prof),
+                              os.path.join(tmp, "strat"))
+    lines = [r[0] for r in spark.read.text(q["narrative"]).collect()]
+    assert lines[0] == "SEGMENT STRATEGY SUMMARY:" and len(lines) == 7
+    cdf = spark.createDataFrame(CORRELATION, "customer_id long, engagement bigint, transactions_per_month bigint, "
+                                             "support_tickets bigint, churn bigint")
+    c = write_correlation_report(co.pearson_matrix(cdf), co.spearman_matrix(cdf), co.strong_pairs(cdf),
+                                 os.path.join(tmp, "corr"))
+    assert spark.read.json(c["pearson"]).count() == 16 and spark.read.json(c["strong_pairs"]).count() == 6

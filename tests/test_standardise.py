@@ -104,3 +104,15 @@ def test_conversion_audit(spark):
     assert a["viewer_id"]["status"] == "skipped"
     f = st.sample_failures(raw, SPEC, "row_id").collect()
     assert [(r["column"], r["row_index"], r["raw_value"]) for r in f] == [("auto_renew", 2, "maybe")]
+
+
+def test_raise_mode(spark):
+    import pytest
+    df = spark.createDataFrame([("2025-01-01",), ("bad",)], "v string")
+    with pytest.raises(Exception, match="unparseable datetime"):
+        df.select(st.standardise_datetime("v", errors="raise")).collect()
+    with pytest.raises(Exception, match="Unrecognized boolean value"):
+        spark.createDataFrame([("yes",), ("maybe",)], "v string").select(
+            st.standardise_boolean("v", errors="raise")).collect()
+    with pytest.raises(Exception, match="unparseable number"):
+        spark.createDataFrame([("1.2.3",)], "v string").select(st.standardise_numeric("v", errors="raise")).collect()
