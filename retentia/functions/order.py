@@ -36,27 +36,45 @@ def _join_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
     return df.join(carry, cond, "left").drop(carry[BUCKET])
 
 
-def forward_fill(df: DataFrame, value: str, order: list[Column], bucket: Column,
+def forward_fill(df: DataFrame, value, order: list[Column], bucket: Column,
                  back_fill_leading: bool = True) -> DataFrame:
-    """Replace NULLs in ``value`` by the last non-null value earlier in ``order``.
+    """Replace NULLs in ``value`` (a column name or a list of names) by the last
+    non-null value earlier in ``order``.
 
     ``order`` must be a total order (end it with a unique row id).  Leading
     NULLs (before the first non-null) take the first non-null value when
-    ``back_fill_leading`` — the ffill-then-bfill rule.
+    ``back_fill_leading`` — the ffill-then-bfill rule.  All columns share one
+    bucket summary: per bucket the last and first non-null value of each
+    column, one window over the summary for the carry (and the global first
+    value), one join back, one in-bucket window.
     """
+    values = [value] if isinstance(value, str) else list(value)
     okey = F.struct(*order)
     tagged = df.withColumn(BUCKET, bucket).withColumn("_okey", okey)
-    summary = (tagged.groupBy(BUCKET)
-               .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("_okey"))).alias("_last_v")))
-    carry = summary.select(
-        BUCKET, F.last("_last_v", ignorenulls=True).over(_bucket_summary_window()).alias("_carry"))
+    aggs = []
+    for i, v in enumerate(values):
+        present = F.when(F.col(v).isNotNull(), F.col("_okey"))
+        aggs += [F.max_by(F.col(v), present).alias(f"_last{i}"), F.min_by(F.col(v), present).alias(f"_first{i}")]
+    summary = tagged.groupBy(BUCKET).agg(*aggs)
+    w_before = _bucket_summary_window()
+    w_all = W.orderBy(F.col(BUCKET)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    carry_cols = []
+    for i in range(len(values)):
+        carry_cols.append(F.last(f"_last{i}", ignorenulls=True).over(w_before).alias(f"_carry{i}"))
+        if back_fill_leading:
+            carry_cols.append(F.first(f"_first{i}", ignorenulls=True).over(w_all).alias(f"_lead{i}"))
+    carry = summary.select(BUCKET, *carry_cols)
     w_in = W.partitionBy(BUCKET).orderBy(F.col("_okey")).rowsBetween(W.unboundedPreceding, 0)
-    filled = F.coalesce(F.last(F.col(value), ignorenulls=True).over(w_in), F.col("_carry"))
-    if back_fill_leading:
-        first_v = df.select(F.min_by(F.col(value), F.when(F.col(value).isNotNull(), okey)).alias("v"))
-        filled = F.coalesce(filled, first_v.scalar())
-    out = _join_carry(tagged, carry).withColumn(value, filled)
-    return out.drop(BUCKET, "_okey", "_carry")
+    out = _join_carry(tagged, carry)
+    fills = {}
+    for i, v in enumerate(values):
+        filled = F.coalesce(F.last(F.col(v), ignorenulls=True).over(w_in), F.col(f"_carry{i}"))
+        if back_fill_leading:
+            filled = F.coalesce(filled, F.col(f"_lead{i}"))
+        fills[v] = filled
+    out = out.withColumns(fills)
+    drop = [BUCKET, "_okey"] + [c for c in out.columns if c.startswith("_carry") or c.startswith("_lead")]
+    return out.drop(*drop)
 
 
 def running_sum(df: DataFrame, value: str, out: str, order: list[Column], bucket: Column) -> DataFrame:

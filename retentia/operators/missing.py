@@ -137,13 +137,13 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
         else:
             order = [F.col(order_col)]
             bucket = F.floor(F.col(order_col) / FFILL_BLOCK)
-        for c in time_series_cols:
-            if c not in cur.columns:
-                continue
+        ts_cols = [c for c in time_series_cols if c in cur.columns]
+        for c in ts_cols:
             n = F.count_if(F.col(c).isNull())
             add(_log_row(cur, c, "forward_fill", n, F.lit("propagated_prior_value"),
                          _fmt(REASON_FFILL, n=F.col("affected_records"), c=F.lit(c))))
-            cur = forward_fill(cur, c, order, bucket, back_fill_leading=True)
+        if ts_cols:
+            cur = forward_fill(cur, ts_cols, order, bucket, back_fill_leading=True)
         if "__sort_d" in cur.columns:
             cur = cur.drop("__sort_d")
         if checkpoint:

@@ -17,7 +17,20 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least ``spark.default.parallelism`` partitions.
+
+    A file with a single row group is one split, so everything up to the first
+    shuffle would run in one task.  On a cluster, where a table is many files
+    and many splits, the condition is false and no shuffle is added.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
