@@ -36,10 +36,18 @@ ANNOTATIONS = {
 }
 
 
+def _keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """pandas ``groupby`` drops NULL keys; Spark would keep a NULL group."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return df.filter(cond)
+
+
 def revenue_by_product(df: DataFrame, days: int = 90) -> DataFrame:
     """Last ``days`` days (inclusive lower bound, no upper bound) revenue per product line, plus the leader flag."""
     end = df.select(F.max("order_date")).scalar()
-    recent = df.filter(F.col("order_date") >= F.date_sub(end, days))
+    recent = _keyed(df, "product_line").filter(F.col("order_date") >= F.date_sub(end, days))
     agg = recent.groupBy("product_line").agg(F.sum("order_amount").alias("revenue"))
     leader = agg.select(F.max_by("product_line", F.struct("revenue", "product_line"))).scalar()
     return agg.withColumn("is_leader", F.col("product_line") == leader)
@@ -50,7 +58,7 @@ def _month(c="order_date"):
 
 
 def monthly_by_product(df: DataFrame) -> DataFrame:
-    return df.groupBy(_month().alias("month"), "product_line").agg(F.sum("order_amount").alias("order_amount"))
+    return _keyed(df, "order_date", "product_line").groupBy(_month().alias("month"), "product_line").agg(F.sum("order_amount").alias("order_amount"))
 
 
 def top_products(monthly: DataFrame, k: int = 3) -> DataFrame:
@@ -94,6 +102,7 @@ def _quarter(c="order_date"):
 
 def quarterly_composition(df: DataFrame, products: Sequence[str] | None = None) -> DataFrame:
     """Long (quarter, product_line, revenue, quarter_total, share): pivot with 0 fill, row shares."""
+    df = _keyed(df, "order_date", "product_line")
     if products is None:
         products = sorted(r[0] for r in df.select("product_line").distinct().collect())
     ps = sorted(products)
@@ -115,7 +124,7 @@ def quarter_dominant(df: DataFrame, products: Sequence[str] | None = None) -> Da
 
 
 def marketing_points(df: DataFrame) -> DataFrame:
-    return df.groupBy(_month().alias("month"), "product_line").agg(
+    return _keyed(df, "order_date", "product_line").groupBy(_month().alias("month"), "product_line").agg(
         F.sum("order_amount").alias("revenue"), F.sum("marketing_spend").alias("marketing_spend"))
 
 

@@ -86,9 +86,24 @@ def rule_violations(df: DataFrame) -> DataFrame:
     return out
 
 
-def schema_coverage(df: DataFrame) -> DataFrame:
-    """Per domain: total_domain_fields, present_in_dataset, coverage_pct (1 dp), plus matched / unmatched lists."""
+def observed_columns(df: DataFrame) -> list[str]:
+    """Columns holding at least one non-NULL value (one aggregate over the data).
+
+    For semi-structured input (JSON records whose keys vary) this is the set of
+    fields the data actually carries; a column that is NULL everywhere is absent.
+    """
+    row = df.agg(*[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    return [c for i, c in enumerate(df.columns) if row[f"c{i}"] > 0]
+
+
+def schema_coverage(df: DataFrame, observed: bool = False) -> DataFrame:
+    """Per domain: total_domain_fields, present_in_dataset, coverage_pct (1 dp), plus matched / unmatched lists.
+
+    ``observed=True`` counts only columns that hold data (see ``observed_columns``).
+    """
     spark = df.sparkSession
+    if observed:
+        df = df.select(*observed_columns(df))
     cols = spark.createDataFrame([(c,) for c in df.columns], "field string")
     dic = dictionary_frame(spark).select("field", "domain")
     j = dic.join(cols.withColumn("present", F.lit(True)), "field", "left")

@@ -174,13 +174,14 @@ def decompose_total_revenue(df: DataFrame, tolerance: float = 1e-9) -> DataFrame
     # grouping_id bits: customer_type is the high bit.  gid 1 -> by segment, 2 -> by product, 3 -> total.
     breakdown = F.when(F.col("_gid") == 1, "segment").when(F.col("_gid") == 2, "product").otherwise("total")
     member = F.when(F.col("_gid") == 1, F.col("customer_type")).when(F.col("_gid") == 2, F.col("product"))
-    rows = gs.select(breakdown.alias("breakdown"), member.alias("member"), F.col("revenue").cast("double"))
+    # Integer amounts keep integer sums (the reference's by-segment values are ints).
+    rows = gs.select(breakdown.alias("breakdown"), member.alias("member"), F.col("revenue"))
     rows = rows.filter((F.col("breakdown") == "total") | F.col("member").isNotNull())
     part_sums = rows.groupBy("breakdown").agg(F.sum("revenue").alias("_parts"))
     total = rows.filter(F.col("breakdown") == "total").select(F.col("revenue")).scalar()
     checks = part_sums.select(
         "breakdown",
-        (F.abs(F.col("_parts") - total) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(total)))
+        (F.abs(F.col("_parts") - total) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(total).cast("double")))
         .alias("sum_matches_total"))
     return rows.join(checks, "breakdown", "left")
 

@@ -188,6 +188,6 @@ SELECT domain, total_domain_fields, present_in_dataset, CAST(coverage_pct AS DOU
    'churn, completion_rate, content_id, country, monthly_fee, subscription_plan, subscription_status, user_name, viewer_id, viewing_frequency_per_week, watch_date, watch_duration_minutes' AS matched_columns,
    'order_ref' AS unmatched_dataset_columns, CAST(10 AS BIGINT) AS missing_standard_fields_count)""")
 def q_coverage(spark, sf):
-    return dictionary.schema_coverage(ad.viewers(spark, sf)).withColumn(
+    return dictionary.schema_coverage(ad.viewers(spark, sf), observed=True).withColumn(
         "total_domain_fields", F.col("total_domain_fields").cast("int")).withColumn(
         "present_in_dataset", F.col("present_in_dataset").cast("int"))

@@ -78,3 +78,12 @@ def test_report_is_one_row(spark):
     assert r.count() == 1
     row = r.first()
     assert row["shape"]["total_rows"] == 6 and len(row["completeness"]) == 4
+
+
+def test_observed_coverage(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("V1", None), ("V2", None)], "viewer_id string, country string")
+    cov = {r["domain"]: r for r in dictionary.schema_coverage(df, observed=True).collect()}
+    assert cov["User & Subscription"]["present_in_dataset"] == 1
+    cov2 = {r["domain"]: r for r in dictionary.schema_coverage(df).collect()}
+    assert cov2["User & Subscription"]["present_in_dataset"] == 2
