@@ -11,6 +11,7 @@ map-side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     # sampling and the prefix sums run once and survive executor loss.
     cum = materialize(running_sum(ranged, "_c", "_cum", order, F.spark_partition_id()))
     bounds = cum.groupBy(*g).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n"))
+    if not g:
+        return _global_pick(cum, bounds.first(), qs, names)
     targets = bounds.select(*g, "_start", "_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])).alias("_t"))
     targets = targets.select(*g, "_start", F.col("_t.qi").alias("qi"), (F.col("_t.q") * (F.col("_n") - 1)).alias("pos"))
@@ -66,7 +69,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     c = cum.alias("c")
     cond = [(F.col("t._r") >= F.col("c._cum") - F.col("c._c")), (F.col("t._r") < F.col("c._cum"))]
     cond += [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g]
-    picked = c.join(F.broadcast(t) if (few_groups or not g) else t, cond, "inner").select(
+    picked = c.join(F.broadcast(t) if few_groups else t, cond, "inner").select(
         *[F.col(f"t.{k}") for k in g], F.col("t.qi"), F.col("t.pos"), F.col("t._rank"), F.col("c._v").alias("_v"))
     per_q = picked.groupBy(*g, "qi", "pos").agg(
         F.min_by("_v", "_rank").alias("lo"), F.max_by("_v", "_rank").alias("hi"))
@@ -78,6 +81,27 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     return _one_row(wide, names)
 
 
+def _global_pick(cum: DataFrame, bounds, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """One group: the target ranks are a handful of literals, so the rows holding
+    them are found with a filter (no join) and the quantiles with one aggregate."""
+    spark = cum.sparkSession
+    if bounds is None or not bounds["_n"]:
+        return spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+    start, n = int(bounds["_start"]), int(bounds["_n"])
+    targets = []
+    for i, q in enumerate(qs):
+        pos = q * (n - 1)
+        for rank in sorted({math.floor(pos), math.ceil(pos)}):
+            targets.append(F.struct(F.lit(i).alias("qi"), F.lit(pos).alias("pos"), F.lit(rank).cast("long").alias("rank"),
+                                    F.lit(start + rank).cast("long").alias("r")))
+    lo, hi = F.col("_cum") - F.col("_c"), F.col("_cum")
+    hits = cum.select("_v", F.explode(F.filter(F.array(*targets), lambda t: (t["r"] >= lo) & (t["r"] < hi))).alias("t"))
+    per_q = hits.groupBy(F.col("t.qi").alias("qi"), F.col("t.pos").alias("pos")).agg(
+        F.min_by("_v", F.col("t.rank")).alias("lo"), F.max_by("_v", F.col("t.rank")).alias("hi"))
+    per_q = per_q.withColumn("qv", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos")))
+    return per_q.agg(*[F.max(F.when(F.col("qi") == i, F.col("qv"))).alias(nm) for i, nm in enumerate(names)])
+
+
 def quantile_values(df: DataFrame, value: str, qs: Sequence[float]) -> list:
     """Exact quantiles as Python floats (one small action; None when there are no values).
 

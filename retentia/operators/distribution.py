@@ -100,8 +100,18 @@ def histogram(values: DataFrame, value: str = V, group: str | None = None, max_b
     stats = stats.select(*g, "bins",
                          F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
                          F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    # Per-group bin parameters: one row per group, broadcast is bounded by the group count.
-    j = values.join(F.broadcast(stats), g, "inner") if g else values.join(F.broadcast(stats), how="inner")
+    if g:
+        # Per-group bin parameters: one row per group, broadcast is bounded by the group count.
+        j = values.join(F.broadcast(stats), g, "inner")
+    else:
+        # One group: the bin parameters are three literals.
+        p = stats.first()
+        if p is None or p["bins"] is None:
+            return values.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, count bigint")
+        stats = values.sparkSession.createDataFrame([(int(p["bins"]), float(p["lo"]), float(p["hi"]))],
+                                                    "bins int, lo double, hi double")
+        j = values.select("*", F.lit(int(p["bins"])).alias("bins"), F.lit(float(p["lo"])).alias("lo"),
+                          F.lit(float(p["hi"])).alias("hi"))
     idx = F.floor((F.col(value) - F.col("lo")) * (F.col("bins") / (F.col("hi") - F.col("lo")))).cast("int")
     idx = F.least(idx, F.col("bins") - 1)
     counts = j.select(*g, idx.alias("bin")).groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("count"))
