@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import running_sum
 from ..functions.stats import pearson
+from ..session import materialize
 
 FEATURES = ["engagement", "transactions_per_month", "support_tickets", "churn"]
 TARGET = "churn"
@@ -51,7 +52,8 @@ def average_ranks(df: DataFrame, features: Sequence[str], row_key: str) -> DataF
     counts = longf.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     ranged = counts.repartitionByRange(parts, "feature", "v")
-    cum = running_sum(ranged, "c", "cum", [F.col("feature"), F.col("v")], F.spark_partition_id())
+    # One row per (feature, distinct value); used twice below, so computed once.
+    cum = materialize(running_sum(ranged, "c", "cum", [F.col("feature"), F.col("v")], F.spark_partition_id()))
     start = cum.groupBy("feature").agg(F.min(F.col("cum") - F.col("c")).alias("start"))
     ranks = cum.join(F.broadcast(start), "feature").select(
         "feature", "v", (F.col("cum") - F.col("c") - F.col("start") + (F.col("c") + 1) / 2.0).alias("rank"))
