@@ -26,7 +26,8 @@ def _partitions(df: DataFrame) -> int:
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str | None = None,
-                    names: Sequence[str] | None = None, few_groups: bool = True) -> DataFrame:
+                    names: Sequence[str] | None = None, few_groups: bool = True,
+                    weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default), exact.
 
     Returns one row per group (or one row) with a column per quantile, named
@@ -44,12 +45,16 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     target table — groups x quantiles x 2 rows — is broadcast, so the join on a
     low-cardinality group key never funnels one group's values into one task.
     Groups without any value are absent from the result.
+
+    ``weight`` names an integer count column when ``df`` already holds
+    (value, count) rows, e.g. a value-count table shared with other statistics.
     """
     names = list(names) if names else [f"q{str(q).replace('.', '_')}" for q in qs]
     g = [group] if group else []
-    vals = df.select(*[F.col(c) for c in g], F.col(value).cast("double").alias("_v")).filter(
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    vals = df.select(*[F.col(c) for c in g], F.col(value).cast("double").alias("_v"), w.alias("_w")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = vals.groupBy(*g, "_v").agg(F.sum("_w").alias("_c"))
     order = [F.col(c) for c in g] + [F.col("_v")]
     ranged = counts.repartitionByRange(_partitions(df), *order)
     # The cumulative table (one row per distinct value) feeds two branches; it is

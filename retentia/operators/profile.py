@@ -10,6 +10,8 @@ number of columns.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -75,46 +77,66 @@ def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     ).select("r.column", "r.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
+def _r(x: float, digits: int) -> float:
+    """Round half up on the shortest decimal text, as Spark's ``round`` does (keeps driver-side
+    results identical to the column expressions used everywhere else)."""
+    from decimal import ROUND_HALF_UP, Decimal
+    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
+
+
 def profile_numeric(df: DataFrame) -> DataFrame:
     """pandas-style numeric profile per column, 4 dp; all-null columns are skipped.
 
-    Two passes over the long (column, value) projection: the grouped exact
-    quartiles (collected: one row per column), then ONE grouped aggregate for
-    count, mean, std, min, max, skewness and the IQR outlier count, with the
-    fences inlined as literals.
+    ONE pass over the data builds the value-count table ``(column, value, n)``
+    (a partial aggregate: repeated values collapse map-side) and checkpoints
+    it.  Quartiles, count / mean / min / max, the central moments behind the
+    sample std and the corrected skewness (two-pass, numerically stable) and
+    the IQR outlier counts are all computed from that table, which is never
+    larger than the data and usually far smaller.
     """
     cols = numeric_columns(df)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], _NUMERIC_SCHEMA)
-    longf = _long_numeric(df, cols)
-    qrows = exact_quantiles(longf, "v", [0.25, 0.5, 0.75], group="column", names=["q25", "median", "q75"]).collect()
+    counts = materialize(_long_numeric(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c")))
+    qrows = {r["column"]: r for r in exact_quantiles(counts, "v", [0.25, 0.5, 0.75], group="column",
+                                                     names=["q25", "median", "q75"], weight="c").collect()}
     if not qrows:
         return spark.createDataFrame([], _NUMERIC_SCHEMA)
-    qs = spark.createDataFrame([(r["column"], r["q25"], r["median"], r["q75"]) for r in qrows],
-                               "column string, q25 double, median double, q75 double")
-    lo = hi = None
-    for r in qrows:
-        iqr = r["q75"] - r["q25"]
-        cond = F.col("column") == r["column"]
-        lo = F.when(cond, F.lit(r["q25"] - 1.5 * iqr)) if lo is None else lo.when(cond, F.lit(r["q25"] - 1.5 * iqr))
-        hi = F.when(cond, F.lit(r["q75"] + 1.5 * iqr)) if hi is None else hi.when(cond, F.lit(r["q75"] + 1.5 * iqr))
-    moments = longf.groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("_g1"),
-        F.count_if((F.col("v") < lo) | (F.col("v") > hi)).alias("outlier_count"))
-    prof = moments.join(F.broadcast(qs), "column", "inner").withColumn("iqr", F.col("q75") - F.col("q25"))
-    nn = F.col("count").cast("double")
-    skew = F.when(F.col("count") <= 2, F.lit(0.0)).otherwise(
-        F.coalesce(F.col("_g1") * F.sqrt(nn * (nn - 1)) / (nn - 2), F.lit(0.0)))
-    r4 = lambda c: F.round(c, 4)
-    return prof.select(
-        "column", "count", r4(F.col("mean")).alias("mean"),
-        F.when(F.col("count") > 1, r4(F.col("std"))).otherwise(F.lit(0.0)).alias("std"),
-        r4(F.col("min")).alias("min"), r4(F.col("q25")).alias("q25"), r4(F.col("median")).alias("median"),
-        r4(F.col("q75")).alias("q75"), r4(F.col("max")).alias("max"), r4(F.col("iqr")).alias("iqr"),
-        r4(skew).alias("skewness"), F.col("outlier_count"),
-        F.round(F.col("outlier_count") / F.greatest(F.col("count"), F.lit(1)) * 100, 2).alias("outlier_pct"))
+    first = {r["column"]: r for r in counts.groupBy("column").agg(
+        F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
+        F.min("v").alias("min"), F.max("v").alias("max")).collect()}
+
+    def per_column(fn):
+        expr = None
+        for name in qrows:
+            cond = F.col("column") == name
+            val = F.lit(fn(name))
+            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+        return expr
+    mean = per_column(lambda c: first[c]["mean"])
+    lo = per_column(lambda c: qrows[c]["q25"] - 1.5 * (qrows[c]["q75"] - qrows[c]["q25"]))
+    hi = per_column(lambda c: qrows[c]["q75"] + 1.5 * (qrows[c]["q75"] - qrows[c]["q25"]))
+    d = F.col("v") - mean
+    central = counts.groupBy("column").agg(
+        F.sum(F.col("c") * d * d).alias("m2"), F.sum(F.col("c") * d * d * d).alias("m3"),
+        F.sum(F.when((F.col("v") < lo) | (F.col("v") > hi), F.col("c")).otherwise(0)).alias("outlier_count"))
+    rows = []
+    for r in central.collect():
+        c = r["column"]
+        n = int(first[c]["n"])
+        m2, m3 = r["m2"] / n, r["m3"] / n
+        std = math.sqrt(r["m2"] / (n - 1)) if n > 1 else 0.0
+        skew = 0.0
+        if n > 2 and m2 > 0:
+            skew = (m3 / m2 ** 1.5) * math.sqrt(n * (n - 1)) / (n - 2)
+        q = qrows[c]
+        rows.append((c, n, _r(first[c]["mean"], 4), _r(std, 4), _r(first[c]["min"], 4), _r(q["q25"], 4),
+                     _r(q["median"], 4), _r(q["q75"], 4), _r(first[c]["max"], 4),
+                     _r(q["q75"] - q["q25"], 4), _r(skew, 4), int(r["outlier_count"]),
+                     _r(int(r["outlier_count"]) / max(n, 1) * 100, 2)))
+    # One row per profiled column, assembled from the small per-column results.
+    return spark.createDataFrame(rows, _NUMERIC_SCHEMA)
 
 
 _NUMERIC_SCHEMA = ("column string, count bigint, mean double, std double, min double, q25 double, median double, "

@@ -16,8 +16,14 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# Dimension tables: a tenth of the fact tables or less; an extra round-robin
+# shuffle costs them more than the parallelism it buys.
+DIMENSIONS = {"region", "nation", "supplier", "customer", "part"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if name in DIMENSIONS else spread(df)
 
 
 def spread(df: DataFrame) -> DataFrame:
