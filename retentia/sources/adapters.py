@@ -33,10 +33,12 @@ def spread(df: DataFrame) -> DataFrame:
     shuffle would run in one task.  On a cluster, where a table is many files
     and many splits, the condition is false and no shuffle is added.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: leave the scan as it is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
