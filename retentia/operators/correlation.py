@@ -44,11 +44,11 @@ def pearson_matrix(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFra
 
 
 def average_ranks(df: DataFrame, features: Sequence[str], row_key: str) -> DataFrame:
-    """Wide frame (row_key, rank_<feature>...) of average ranks (ties share the mean rank)."""
+    """Wide frame (_row, <feature>...) of average ranks (ties share the mean rank); ``row_key`` must be unique."""
     fs = list(features)
-    longf = df.select(row_key, F.explode(F.array(*[
+    longf = df.select(F.col(row_key).alias("_row"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in fs])).alias("x")
-    ).select(row_key, "x.feature", "x.v")
+    ).select("_row", "x.feature", "x.v")
     counts = longf.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     ranged = counts.repartitionByRange(parts, "feature", "v")
@@ -58,7 +58,7 @@ def average_ranks(df: DataFrame, features: Sequence[str], row_key: str) -> DataF
     ranks = cum.join(F.broadcast(start), "feature").select(
         "feature", "v", (F.col("cum") - F.col("c") - F.col("start") + (F.col("c") + 1) / 2.0).alias("rank"))
     ranked = longf.join(ranks, ["feature", "v"], "inner")
-    return ranked.groupBy(row_key).agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f) for f in fs])
+    return ranked.groupBy("_row").agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f) for f in fs])
 
 
 def spearman_matrix(df: DataFrame, features: Sequence[str] = FEATURES, row_key: str = "customer_id") -> DataFrame:

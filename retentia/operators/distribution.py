@@ -106,7 +106,7 @@ def histogram(values: DataFrame, value: str = V, group: str | None = None, max_b
     else:
         # One group: the bin parameters are three literals.
         p = stats.first()
-        if p is None or p["bins"] is None:
+        if p is None or p["bins"] is None or p["lo"] is None:
             return values.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, count bigint")
         stats = values.sparkSession.createDataFrame([(int(p["bins"]), float(p["lo"]), float(p["hi"]))],
                                                     "bins int, lo double, hi double")
