@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.text import NA_TOKENS, na_to_null
 
@@ -112,9 +112,10 @@ def _infer_types(df: DataFrame) -> DataFrame:
 
 def _read_csv_group(spark: SparkSession, paths: list[str], delimiter: str, encoding: str) -> DataFrame:
     charset = _JAVA_CHARSET.get(encoding.lower(), encoding)
+    # Every column as text; empty fields arrive as NULL and the NA-token pass
+    # turns the remaining pandas tokens into NULL before types are inferred.
     return (spark.read.option("header", True).option("sep", delimiter).option("encoding", charset)
-            .option("inferSchema", False).option("nullValue", None).option("emptyValue", "")
-            .option("mode", "PERMISSIVE").csv(paths))
+            .option("inferSchema", False).option("mode", "PERMISSIVE").csv(paths))
 
 
 def scan_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
@@ -224,6 +225,3 @@ def scan_kpi_targets(spark: SparkSession, path: str) -> DataFrame:
         F.struct(F.lit(k).alias("kpi"), F.col(f"`{k}`.min").cast("double").alias("min"),
                  F.col(f"`{k}`.max").cast("double").alias("max")) for k in kpis])).alias("x")).select("x.*")
 
-
-def is_struct_or_array(dt) -> bool:
-    return isinstance(dt, (StructType, ArrayType))
