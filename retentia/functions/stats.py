@@ -21,6 +21,11 @@ from ..session import materialize
 from .order import running_sum
 
 
+# Largest number of distinct values per group for which the one-aggregate
+# ``percentile`` path is used (its buffer holds one entry per distinct value).
+PERCENTILE_BUFFER_LIMIT = 1_000_000
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
 
@@ -55,6 +60,20 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     vals = df.select(*[F.col(c) for c in g], F.col(value).cast("double").alias("_v"), w.alias("_w")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     counts = vals.groupBy(*g, "_v").agg(F.sum("_w").alias("_c"))
+    if not weight:
+        # Used by the size check and by the selection: computed once.  (A
+        # weighted input is already a value-count table, typically materialized.)
+        counts = materialize(counts)
+    # Size check: when every group has few distinct values, Spark's exact
+    # ``percentile`` (with the counts as frequencies) is one aggregate whose
+    # buffer is bounded by that checked size; beyond it, the range-partitioned
+    # selection below never holds a group in one buffer.
+    widest = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d").alias("m")).first()["m"]
+    if widest is not None and widest <= PERCENTILE_BUFFER_LIMIT:
+        pct = F.percentile(F.col("_v"), F.array(*[F.lit(float(q)) for q in qs]), F.col("_c"))
+        res = counts.groupBy(*g).agg(pct.alias("_p"))
+        res = res.select(*g, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+        return res if g else _one_row(res, names)
     order = [F.col(c) for c in g] + [F.col("_v")]
     ranged = counts.repartitionByRange(_partitions(df), *order)
     # The cumulative table (one row per distinct value) feeds two branches; it is

@@ -45,3 +45,26 @@ def test_grouped_quantiles_and_mode_with_hot_value(spark):
     m = {r["g"]: r["mode"] for r in mode_value(df, "v", group="g").collect()}
     assert m["a"] == 1.0
     assert m["b"] == min(pdf[pdf.g == "b"]["v"].mode())
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_quantile_paths_agree(spark, monkeypatch, limit):
+    """Force the range-partitioned selection (limit 0) and the percentile fast path."""
+    import numpy as np
+    import retentia.functions.stats as S
+    monkeypatch.setattr(S, "PERCENTILE_BUFFER_LIMIT", limit)
+    rnd = random.Random(11)
+    rows = [("a", float(rnd.randint(0, 30))) for _ in range(400)] + [("a", 3.0)] * 200 + \
+           [("b", rnd.random()) for _ in range(101)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    names = [f"q{i}" for i in range(len(qs))]
+    got = {r["g"]: [r[n] for n in names] for r in S.exact_quantiles(df, "v", qs, group="g", names=names).collect()}
+    for g in ("a", "b"):
+        vals = np.array([v for k, v in rows if k == g])
+        assert got[g] == pytest.approx(list(np.quantile(vals, qs)))
+    glob = S.exact_quantiles(df, "v", qs, names=names).first()
+    assert [glob[n] for n in names] == pytest.approx(list(np.quantile(np.array([v for _, v in rows]), qs)))
+    w = spark.createDataFrame([(1.0, 3), (2.0, 1), (5.0, 2)], "v double, c long")
+    assert S.exact_quantiles(w, "v", [0.5], names=["m"], weight="c").first()["m"] == pytest.approx(
+        float(np.median([1, 1, 1, 2, 5, 5])))
