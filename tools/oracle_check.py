@@ -53,7 +53,13 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 and sys.argv[1].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in sys.argv[1:] if not a.startswith("/")]
     reg = load_all()
-    spark = build_session()
+    if os.environ.get("PLAIN_SESSION") == "1":
+        # What a driver might hand us: defaults everywhere except the master.
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session()
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
