@@ -15,14 +15,15 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .order import running_sum
 
 
-# Largest number of distinct values per group for which the one-aggregate
-# ``percentile`` path is used (its buffer holds one entry per distinct value).
+# Largest number of distinct values per group for which one window per group
+# (a sort of at most this many rows in one task) selects the quantiles.
 PERCENTILE_BUFFER_LIMIT = 1_000_000
 
 
@@ -64,16 +65,16 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
         # Used by the size check and by the selection: computed once.  (A
         # weighted input is already a value-count table, typically materialized.)
         counts = materialize(counts)
-    # Size check: when every group has few distinct values, Spark's exact
-    # ``percentile`` (with the counts as frequencies) is one aggregate whose
-    # buffer is bounded by that checked size; beyond it, the range-partitioned
-    # selection below never holds a group in one buffer.
+    # Size check: when every group has at most PERCENTILE_BUFFER_LIMIT distinct
+    # values, one window per group over the value-count table (each task sorts
+    # at most that many rows) finds the order statistics in a single job;
+    # beyond it, the range-partitioned selection below never holds a whole
+    # group in one task.
     widest = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d").alias("m")).first()["m"]
-    if widest is not None and widest <= PERCENTILE_BUFFER_LIMIT:
-        pct = F.percentile(F.col("_v"), F.array(*[F.lit(float(q)) for q in qs]), F.col("_c"))
-        res = counts.groupBy(*g).agg(pct.alias("_p"))
-        res = res.select(*g, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-        return res if g else _one_row(res, names)
+    if widest is None:
+        return spark_empty(df, g, names)
+    if widest <= PERCENTILE_BUFFER_LIMIT:
+        return _window_pick(counts, g, qs, names)
     order = [F.col(c) for c in g] + [F.col("_v")]
     ranged = counts.repartitionByRange(_partitions(df), *order)
     # The cumulative table (one row per distinct value) feeds two branches; it is
@@ -105,6 +106,35 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     return _one_row(wide, names)
 
 
+def spark_empty(df: DataFrame, g: list, names: Sequence[str]) -> DataFrame:
+    spark = df.sparkSession
+    if g:
+        schema = ", ".join([f"`{g[0]}` {df.schema[g[0]].dataType.simpleString()}"] + [f"`{n}` double" for n in names])
+        return spark.createDataFrame([], schema)
+    return spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+
+
+def _window_pick(counts: DataFrame, g: list, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Order statistics from a bounded value-count table: cumulative counts by a
+    window per group, then the rows whose rank interval holds floor/ceil(q*(n-1))."""
+    w_cum = W.partitionBy(*g).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    x = counts.select(*g, "_v", "_c", F.sum("_c").over(w_cum).alias("_cum"),
+                      F.sum("_c").over(W.partitionBy(*g)).alias("_n"))
+    x = x.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"))
+                                          for i, q in enumerate(qs)])).alias("_t"))
+    x = x.withColumn("pos", F.col("_t.q") * (F.col("_n") - 1))
+    first, last = F.col("_cum") - F.col("_c"), F.col("_cum")
+    holds_lo = (F.floor("pos") >= first) & (F.floor("pos") < last)
+    holds_hi = (F.ceil("pos") >= first) & (F.ceil("pos") < last)
+    hit = x.filter(holds_lo | holds_hi).select(*g, F.col("_t.qi").alias("qi"), "pos", "_v",
+                                                holds_lo.alias("is_lo"), holds_hi.alias("is_hi"))
+    per_q = hit.groupBy(*g, "qi", "pos").agg(F.max(F.when(F.col("is_lo"), F.col("_v"))).alias("lo"),
+                                             F.max(F.when(F.col("is_hi"), F.col("_v"))).alias("hi"))
+    per_q = per_q.withColumn("qv", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos")))
+    wide = per_q.groupBy(*g).agg(*[F.max(F.when(F.col("qi") == i, F.col("qv"))).alias(n) for i, n in enumerate(names)])
+    return wide if g else _one_row(wide, names)
+
+
 def _global_pick(cum: DataFrame, bounds, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One group: the target ranks are a handful of literals, so the rows holding
     them are found with a filter (no join) and the quantiles with one aggregate."""

@@ -49,7 +49,7 @@ def test_grouped_quantiles_and_mode_with_hot_value(spark):
 
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_quantile_paths_agree(spark, monkeypatch, limit):
-    """Force the range-partitioned selection (limit 0) and the percentile fast path."""
+    """Force the range-partitioned selection (limit 0) and the bounded window path."""
     import numpy as np
     import retentia.functions.stats as S
     monkeypatch.setattr(S, "PERCENTILE_BUFFER_LIMIT", limit)
