@@ -106,6 +106,26 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     return _one_row(wide, names)
 
 
+def prefix_counts(counts: DataFrame, group: str, value: str, count: str) -> DataFrame:
+    """Cumulative count ``_cum`` (inclusive) of each (group, value) row within its group,
+    ordered by value, for a table with one row per (group, value).
+
+    Groups of at most PERCENTILE_BUFFER_LIMIT rows (measured): a window per
+    group.  Larger: range partitioning plus per-partition prefix sums, with the
+    group's start subtracted — no group is ever sorted in one task.
+    """
+    widest = counts.groupBy(group).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d").alias("m")).first()["m"]
+    if widest is None or widest <= PERCENTILE_BUFFER_LIMIT:
+        w = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        return counts.withColumn("_cum", F.sum(count).over(w))
+    order = [F.col(group), F.col(value)]
+    ranged = counts.repartitionByRange(_partitions(counts), *order)
+    cum = materialize(running_sum(ranged, count, "_cum", order, F.spark_partition_id()))
+    start = cum.groupBy(group).agg(F.min(F.col("_cum") - F.col(count)).alias("_start"))
+    # One row per group (a few features or columns): bounded broadcast.
+    return cum.join(F.broadcast(start), group).withColumn("_cum", F.col("_cum") - F.col("_start")).drop("_start")
+
+
 def spark_empty(df: DataFrame, g: list, names: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     if g:

@@ -3,9 +3,10 @@ with the target, strong pairs, feature selection, least-squares line.
 
 Pearson for every pair comes from ONE aggregate of ``covar_pop`` / ``stddev_pop``
 (guarded so a constant column yields NULL instead of an ANSI divide error).
-Spearman ranks are computed per feature from value counts: a range-partitioned
-prefix count gives each distinct value its average rank (ties averaged), then
-the ranks join back by value and feed the same Pearson aggregate.
+Spearman ranks are computed per feature from value counts: a prefix count over
+the distinct values (a window per feature when the distinct count is checked
+small, range partitioning otherwise) gives each value its average rank (ties
+averaged); the ranks join back by value and feed the same Pearson aggregate.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import running_sum
-from ..functions.stats import pearson
+from ..functions.stats import pearson, prefix_counts
 from ..session import materialize
 
 FEATURES = ["engagement", "transactions_per_month", "support_tickets", "churn"]
@@ -50,13 +50,9 @@ def average_ranks(df: DataFrame, features: Sequence[str], row_key: str) -> DataF
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in fs])).alias("x")
     ).select("_row", "x.feature", "x.v")
     counts = longf.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    ranged = counts.repartitionByRange(parts, "feature", "v")
-    # One row per (feature, distinct value); used twice below, so computed once.
-    cum = materialize(running_sum(ranged, "c", "cum", [F.col("feature"), F.col("v")], F.spark_partition_id()))
-    start = cum.groupBy("feature").agg(F.min(F.col("cum") - F.col("c")).alias("start"))
-    ranks = cum.join(F.broadcast(start), "feature").select(
-        "feature", "v", (F.col("cum") - F.col("c") - F.col("start") + (F.col("c") + 1) / 2.0).alias("rank"))
+    # Average rank of a value = rows before it + (ties + 1) / 2.
+    cum = materialize(prefix_counts(counts, "feature", "v", "c"))
+    ranks = cum.select("feature", "v", (F.col("_cum") - F.col("c") + (F.col("c") + 1) / 2.0).alias("rank"))
     ranked = longf.join(ranks, ["feature", "v"], "inner")
     return ranked.groupBy("_row").agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f) for f in fs])
 
