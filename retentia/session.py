@@ -81,3 +81,26 @@ def materialize(df):
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle / scan sizing for a job reading ``input_bytes``.
+
+    Shuffle partitions start at input / target (so a partition of the widest
+    shuffle fits an executor's memory budget) and AQE coalesces the small ones
+    at run time; skewed partitions above 4x the advisory size are split.
+    Returned as a dict to pass to ``SparkSession.builder.config`` or ``spark.conf.set``.
+    """
+    initial = max(200, -(-int(input_bytes) // int(target_partition_bytes)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 << 20)),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }

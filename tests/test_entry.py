@@ -30,3 +30,10 @@ def test_oracle_keys_subset_of_queries():
 def test_registered_queries_run_on_smoke_data(spark, name):
     df = _entry().queries()[name](spark, "/root/testdata/sf0.001")
     assert df.count() >= 1
+
+
+def test_scale_conf():
+    from retentia.session import scale_conf
+    c = scale_conf(100 * (1 << 40))
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_conf(1)["spark.sql.shuffle.partitions"] == "200"
