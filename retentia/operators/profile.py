@@ -20,7 +20,7 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 from ..functions.stats import exact_quantiles
 from ..session import materialize
 from .dedup import exact_duplicate_stats
-from .missing import is_missing, missing_totals
+from .missing import is_missing
 
 # Name fragments that mark a column whose values must not be negative.
 NON_NEGATIVE_TERMS = ["revenue", "duration", "count", "tickets"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import correlation as co
 from ..sources import adapters as ad
 from ..sources.loaders import load_correlation_data

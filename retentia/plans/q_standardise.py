@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.text import NA_TOKENS, na_to_null
 from ..operators import standardise as st
 from ..sources import adapters as ad
