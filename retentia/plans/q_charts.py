@@ -87,11 +87,11 @@ _POINTS = """pts AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS mon
 
 
 @register("chart_marketing_points", S.with_(S.CHART, _POINTS) + """
-SELECT month, product_line, round(revenue, 4) AS revenue, round(marketing_spend, 4) AS marketing_spend FROM pts""")
+SELECT month, product_line, round(revenue, 6) AS revenue, round(marketing_spend, 6) AS marketing_spend FROM pts""")
 def q_points(spark, sf):
     p = ch.marketing_points(orders(spark, sf))
-    return p.select("month", "product_line", F.round("revenue", 4).alias("revenue"),
-                    F.round("marketing_spend", 4).alias("marketing_spend"))
+    return p.select("month", "product_line", F.round("revenue", 6).alias("revenue"),
+                    F.round("marketing_spend", 6).alias("marketing_spend"))
 
 
 @register("chart_marketing_corr", S.with_(S.CHART, _POINTS) + """

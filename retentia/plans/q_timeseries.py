@@ -25,7 +25,7 @@ def q_load(spark, sf):
 def _resample_sql(label, step, start, end):
     return f"""agg AS (SELECT {label} AS period, sum(revenue) AS s, count(orders) AS c, avg(revenue) AS m FROM daily GROUP BY 1),
 spine AS (SELECT {end} AS period FROM (SELECT unnest(generate_series({start.format('min(period)')}, {start.format('max(period)')}, INTERVAL {step})) AS p0 FROM agg))
-SELECT spine.period, round(coalesce(s, 0), 2) AS revenue_sum, coalesce(c, 0) AS orders_count, round(m, 4) AS revenue_mean
+SELECT spine.period, round(coalesce(s, 0), 2) AS revenue_sum, coalesce(c, 0) AS orders_count, round(m, 6) AS revenue_mean
 FROM spine LEFT JOIN agg USING (period)"""
 
 
@@ -43,13 +43,15 @@ _MONTHLY = S.with_(S.DAILY, _MONTH_AGG, _MONTH_SPINE, """mon AS (SELECT spine.pe
   WHEN revenue_sum > 0 THEN 'Infinity'::DOUBLE WHEN revenue_sum < 0 THEN '-Infinity'::DOUBLE END AS mom_change_pct FROM mon)""")
 
 
-def _r(df, cols2=("revenue_sum",), cols4=("revenue_mean",)):
+def _r(df, cols2=("revenue_sum",), cols4=()):
     out = []
     for c in df.columns:
         if c in cols2:
             out.append(F.round(c, 2).alias(c))
         elif c in cols4:
             out.append(F.round(c, 4).alias(c))
+        elif c == "revenue_mean":
+            out.append(F.round(c, 6).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -61,13 +63,13 @@ def q_weekly(spark, sf):
 
 
 @register("ts_monthly", _MONTHLY + """
-SELECT period, round(revenue_sum, 2) AS revenue_sum, orders_count, round(revenue_mean, 4) AS revenue_mean FROM mon""")
+SELECT period, round(revenue_sum, 2) AS revenue_sum, orders_count, round(revenue_mean, 6) AS revenue_mean FROM mon""")
 def q_monthly(spark, sf):
     return _r(tsr.monthly(ts(spark, sf)))
 
 
 @register("ts_mom_change", _MONTHLY + """
-SELECT period, round(revenue_sum, 2) AS revenue_sum, orders_count, round(revenue_mean, 4) AS revenue_mean,
+SELECT period, round(revenue_sum, 2) AS revenue_sum, orders_count, round(revenue_mean, 6) AS revenue_mean,
        round(mom_change_pct, 6) AS mom_change_pct FROM mom""")
 def q_mom(spark, sf):
     return _r(tsr.mom_change(ts(spark, sf))).withColumn("mom_change_pct", r6("mom_change_pct"))
