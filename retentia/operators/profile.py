@@ -145,8 +145,9 @@ _NUMERIC_SCHEMA = ("column string, count bigint, mean double, std double, min do
 
 def profile_outliers(df: DataFrame) -> DataFrame:
     p = profile_numeric(df)
-    return p.select("column", F.round(F.col("q25") - 1.5 * F.col("iqr"), 4).alias("lower_bound"),
-                    F.round(F.col("q75") + 1.5 * F.col("iqr"), 4).alias("upper_bound"),
+    # Fences from the 4-dp quartiles have at most 5 decimals: round there, not at a tie.
+    return p.select("column", F.round(F.col("q25") - 1.5 * F.col("iqr"), 5).alias("lower_bound"),
+                    F.round(F.col("q75") + 1.5 * F.col("iqr"), 5).alias("upper_bound"),
                     "outlier_count", "outlier_pct")
 
 

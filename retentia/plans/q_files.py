@@ -113,13 +113,13 @@ _KV = S.with_(S.TRANSACTIONS) + """, kv AS (SELECT * FROM (SELECT
 
 
 @register("scan_kpi_targets", _KV + """
-SELECT kpi, round(value * 0.9, 4) AS min, round(value * 1.1, 4) AS max FROM kv""")
+SELECT kpi, round(value * 0.9, 2) AS min, round(value * 1.1, 2) AS max FROM kv""")
 def q_targets(spark, sf):
     vals = kpi.compute_all_kpis(load_transactions(ad.transactions(spark, sf))).filter(
         F.col("kpi").isin("monthly_active_users", "revenue_per_customer", "total_revenue"))
     # Target document in the reference's shape: {kpi: {"min": .., "max": ..}} (one row, one file).
     doc = vals.agg(F.map_from_entries(F.collect_list(F.struct(
-        "kpi", F.struct(F.round(F.col("value") * 0.9, 4).alias("min"), F.round(F.col("value") * 1.1, 4).alias("max")))))
+        "kpi", F.struct(F.round(F.col("value") * 0.9, 2).alias("min"), F.round(F.col("value") * 1.1, 2).alias("max")))))
         .alias("m"))
     path = staging_path(spark, f"{_tag(sf)}/kpi_targets.json")
     doc.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)

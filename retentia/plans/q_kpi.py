@@ -14,6 +14,12 @@ T = S.with_(S.TRANSACTIONS)
 ANCHOR = "(SELECT max(transaction_date) FROM transactions)"
 
 
+def _round_kpi(c):
+    """Money totals to cents, everything else to 6 dp (sums of large magnitude differ
+    in their last bits between engines)."""
+    return F.when(F.col("kpi") == "total_revenue", F.round(c, 2)).otherwise(F.round(c, 6))
+
+
 def tx(spark, sf):
     return load_transactions(ad.transactions(spark, sf))
 
@@ -106,10 +112,11 @@ _FMT = """CASE WHEN kpi = 'monthly_active_users' THEN format('{:,}', CAST(value
 
 
 @register("kpi_all", S.with_(S.TRANSACTIONS, _P, _KPI_VALUES) + f"""
-SELECT kpi, round(value, 4) AS value, {_FMT} AS formatted FROM kv""")
+SELECT kpi, CASE WHEN kpi = 'total_revenue' THEN round(value, 2) ELSE round(value, 6) END AS value,
+       {_FMT} AS formatted FROM kv""")
 def q_kpi_all(spark, sf):
     k = kpi.compute_all_kpis(tx(spark, sf))
-    return k.select("kpi", F.round("value", 4).alias("value"), "formatted")
+    return k.select("kpi", _round_kpi("value").alias("value"), "formatted")
 
 
 _TARGETS = """targets AS (SELECT * FROM (VALUES
@@ -125,11 +132,12 @@ _VALIDATION = f"""validation AS (
 
 
 @register("kpi_target_validation", S.with_(S.TRANSACTIONS, _P, _KPI_VALUES, _TARGETS, _VALIDATION) + """
-SELECT kpi, round(actual, 4) AS actual, formatted, target_min, target_max, status FROM validation""")
+SELECT kpi, CASE WHEN kpi = 'total_revenue' THEN round(actual, 2) ELSE round(actual, 6) END AS actual,
+       formatted, target_min, target_max, status FROM validation""")
 def q_validation(spark, sf):
     t = tx(spark, sf)
     v = kpi.validate_against_targets(kpi.compute_all_kpis(t), kpi.default_targets(spark))
-    return v.select("kpi", F.round("actual", 4).alias("actual"), "formatted", "target_min", "target_max", "status")
+    return v.select("kpi", _round_kpi("actual").alias("actual"), "formatted", "target_min", "target_max", "status")
 
 
 @register("kpi_summary", S.with_(S.TRANSACTIONS, _P, _KPI_VALUES, _TARGETS, _VALIDATION) + """

@@ -84,7 +84,7 @@ def q_numeric(spark, sf):
 
 
 @register("profile_outliers", f"""
-SELECT "column", round(q25 - 1.5 * iqr, 4) AS lower_bound, round(q75 + 1.5 * iqr, 4) AS upper_bound,
+SELECT "column", round(q25 - 1.5 * iqr, 5) AS lower_bound, round(q75 + 1.5 * iqr, 5) AS upper_bound,
        outlier_count, outlier_pct FROM ({_numeric_sql("lineitem", LI_NUM)[1]})""")
 def q_outliers(spark, sf):
     return profile.profile_outliers(li(spark, sf))
