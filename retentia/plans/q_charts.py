@@ -123,7 +123,37 @@ def q_outlier(spark, sf):
                     F.round("marketing_spend", 4).alias("marketing_spend"), F.round("residual", 4).alias("residual"))
 
 
-@register("chart_notes")
+_COMPACT = """CASE WHEN abs({v}) >= 1000000 THEN '$' || format('{{:.1f}}', {v} / 1000000) || 'M'
+  WHEN abs({v}) >= 1000 THEN '$' || format('{{:.0f}}', {v} / 1000) || 'K' ELSE '$' || format('{{:.0f}}', {v}) END"""
+
+_NOTES = S.with_(S.CHART, _MONTHLY.split(",\ntop3")[0] + ",\ntop3" + _MONTHLY.split(",\ntop3")[1], _QUARTERS, _POINTS) + f""",
+rbp AS (SELECT product_line, sum(order_amount) AS revenue FROM chart
+        WHERE order_date >= (SELECT max(order_date) FROM chart) - INTERVAL 90 DAY GROUP BY product_line),
+lead AS (SELECT arg_max(product_line, (revenue, product_line)) AS p, max(revenue) AS r FROM rbp),
+dip AS (SELECT arg_min(month, (s, month)) AS m FROM (SELECT month, sum(order_amount) AS s FROM mt GROUP BY month)),
+bins AS (SELECT CASE WHEN order_amount >= 0 AND order_amount < 50 THEN 0 WHEN order_amount >= 50 AND order_amount < 100 THEN 1
+   WHEN order_amount >= 100 AND order_amount < 150 THEN 2 WHEN order_amount >= 150 AND order_amount < 200 THEN 3
+   WHEN order_amount >= 200 AND order_amount < 250 THEN 4 WHEN order_amount >= 250 AND order_amount < 300 THEN 5
+   WHEN order_amount >= 300 AND order_amount <= 400 THEN 6 END AS bin, count(*) AS n FROM chart GROUP BY 1),
+spine AS (SELECT * FROM (VALUES (0, 0.0, 50.0), (1, 50.0, 100.0), (2, 100.0, 150.0), (3, 150.0, 200.0), (4, 200.0, 250.0),
+          (5, 250.0, 300.0), (6, 300.0, 400.0)) t(bin, lo, hi)),
+peak AS (SELECT arg_min((lo + hi) / 2, (-coalesce(n, 0), spine.bin)) AS c FROM spine LEFT JOIN bins USING (bin)),
+dom AS (SELECT arg_min(product_line, (-share, product_line)) AS p FROM comp WHERE quarter = (SELECT max(quarter) FROM comp)),
+r AS (SELECT corr(marketing_spend, revenue) AS r FROM pts)
+SELECT 'chart1' AS chart, '{ch.QUESTIONS["chart1"]}' AS question,
+       (SELECT p || ' leads with ' || {_COMPACT.format(v="r")} || '.' FROM lead) AS key_insight, '{ch.ANNOTATIONS["chart1"]}' AS annotation
+UNION ALL SELECT 'chart2', '{ch.QUESTIONS["chart2"]}',
+       (SELECT 'The combined top-3 revenue trough occurs in ' || strftime(m, '%b %Y') || '.' FROM dip), '{ch.ANNOTATIONS["chart2"]}'
+UNION ALL SELECT 'chart3', '{ch.QUESTIONS["chart3"]}',
+       (SELECT 'Peak concentration is near $' || format('{{:.0f}}', c) || ' order values.' FROM peak), '{ch.ANNOTATIONS["chart3"]}'
+UNION ALL SELECT 'chart4', '{ch.QUESTIONS["chart4"]}',
+       (SELECT p || ' contributes the largest share in the latest quarter.' FROM dom), '{ch.ANNOTATIONS["chart4"]}'
+UNION ALL SELECT 'chart5', '{ch.QUESTIONS["chart5"]}',
+       (SELECT 'The relationship is ' || CASE WHEN r >= 0.7 THEN 'strong' ELSE 'moderate' END || ' with r=' || format('{{:.2f}}', r) || '.' FROM r),
+       '{ch.ANNOTATIONS["chart5"]}'"""
+
+
+@register("chart_notes", _NOTES)
 def q_notes(spark, sf):
     return ch.chart_notes(orders(spark, sf), PRODUCTS)
 
