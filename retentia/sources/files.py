@@ -131,6 +131,8 @@ def scan_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     cands = encodings_to_try(encoding, fallback_encodings)
     enc = detect_file_encodings(spark, path, cands).cache()
     groups = enc.groupBy("encoding").agg(F.collect_list("file_path").alias("files")).collect()  # one row per encoding
+    if not with_encoding:
+        enc.unpersist()
     if any(g["encoding"] is None for g in groups):
         raise ValueError(f"Failed to decode {path} using encodings {cands}")
     parts = [_read_csv_group(spark, g["files"], delimiter, g["encoding"]) for g in groups]
