@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hilbert
+import public_tokenizers
+
+from . import bpe, chat, exact_dedup, hilbert, packing
 from .frames import table
 
 
@@ -40,6 +42,11 @@ FROM c GROUP BY conv_id
 """
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut).withColumn("length", F.col("length").cast("long"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.decisions(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -53,12 +60,19 @@ FROM n
 """
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, tuple] = {
     "op4_chat_format": (op4_chat_format, OP4_SQL),
+    "op5_pack": (op5_pack, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
+    "op7_bpe": (op7_bpe, None),
     "op9_hilbert_shards": (op9_hilbert_shards, None),
 }
