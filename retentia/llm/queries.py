@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, exact_dedup, hilbert, packing
+from . import bpe, chat, exact_dedup, hilbert, langid, packing, toxicity
 from .frames import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -65,14 +70,21 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, tuple] = {
+    "op1_toxicity": (op1_toxicity, None),
     "op4_chat_format": (op4_chat_format, OP4_SQL),
     "op5_pack": (op5_pack, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_bpe": (op7_bpe, None),
+    "op8_langid": (op8_langid, None),
     "op9_hilbert_shards": (op9_hilbert_shards, None),
 }
