@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, exact_dedup, hilbert, langid, packing, toxicity
+from . import balltree, bpe, chat, exact_dedup, hilbert, langid, packing, toxicity
 from .frames import table
 
 
@@ -16,6 +16,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score  -- exact: far below 2 ** 53
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -81,6 +100,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple] = {
     "op1_toxicity": (op1_toxicity, None),
+    "op2_ball_tree": (op2_ball_tree, OP2_SQL),
     "op4_chat_format": (op4_chat_format, OP4_SQL),
     "op5_pack": (op5_pack, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
