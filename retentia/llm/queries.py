@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import balltree, bpe, chat, exact_dedup, hilbert, langid, packing, toxicity
+from . import balltree, bpe, chat, exact_dedup, hilbert, langid, minhash, packing, toxicity
 from .frames import table
 
 
@@ -35,6 +35,32 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 1
 """
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x for x in regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x20\x09-\x0D]+') if x <> ''] AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) > 1 THEN [l[i] || ' ' || l[i + 1] for i in range(1, len(l))] ELSE l END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT l.v, r.root FROM reach r JOIN link l ON l.u = r.node
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.root) AS component_id, d.doc_id = min(r.root) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.node = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -101,6 +127,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple] = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_ball_tree": (op2_ball_tree, OP2_SQL),
+    "op3_minhash": (op3_minhash, OP3_SQL),
     "op4_chat_format": (op4_chat_format, OP4_SQL),
     "op5_pack": (op5_pack, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
