@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import balltree, bpe, chat, exact_dedup, hilbert, langid, minhash, packing, toxicity
+from . import balltree, bpe, chat, exact_dedup, hilbert, langid, minhash, packing, substring_dedup, toxicity
 from .frames import table
 
 
@@ -124,6 +124,31 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS l FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(1, len(l) - 11)) AS i, l FROM w
+), g AS (
+  SELECT doc_id, i, array_to_string(l[i:i + 12], ' ') AS t FROM p
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k
+  FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS first_id FROM g) WHERE doc_id > first_id
+), k AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS word FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM k ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT w.doc_id, len(l) AS n_words, CAST(len(l) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, tuple] = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_ball_tree": (op2_ball_tree, OP2_SQL),
@@ -134,4 +159,5 @@ QUERIES: dict[str, tuple] = {
     "op7_bpe": (op7_bpe, None),
     "op8_langid": (op8_langid, None),
     "op9_hilbert_shards": (op9_hilbert_shards, None),
+    "op10_recompression": (op10_recompression, OP10_SQL),
 }

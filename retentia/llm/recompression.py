@@ -35,12 +35,12 @@ class Symbols:
 
 def words_as_symbols(names: np.ndarray, offsets: np.ndarray) -> Symbols:
     """Level 0 of several documents; a barrier symbol of empty span (end = start) follows each document."""
-    n_docs = len(offsets) - 1
     at = np.insert(np.arange(len(names)), offsets[1:], -1)
-    barrier = at < 0
-    name = np.where(barrier, _U(0), names[np.maximum(at, 0)] if len(names) else _U(0))
-    pos = np.where(barrier, np.repeat(offsets[1:], 1)[np.cumsum(barrier) - barrier] if n_docs else 0, at)
-    return Symbols(name, pos, pos + ~barrier, pos, pos + ~barrier)
+    wall = at < 0
+    name = np.zeros(len(at), _U)
+    name[~wall] = names
+    at[wall] = offsets[1:]
+    return Symbols(name, at, at + ~wall, at, at + ~wall)
 
 
 def _barrier(s: Symbols) -> np.ndarray:
@@ -65,13 +65,13 @@ def runs(s: Symbols, level: int) -> Symbols:
     name = s.name[first].copy()
     many = length > 1
     name[many] = mix(name[many] * _U(0x9E3779B97F4A7C15) + length[many].astype(_U) + _U(level + 1))
-    low, high = s.low[first].copy(), s.high[last].copy()
+    low, high = np.minimum.reduceat(s.low, first), np.maximum.reduceat(s.high, first)
     free = ~wall[first]
     before, after = first - 1, last + 1
     edge_before = (before < 0) | wall[np.maximum(before, 0)]
     edge_after = (after >= n) | wall[np.minimum(after, n - 1)]
-    low = np.where(free, np.where(edge_before, -_FAR, s.low[np.maximum(before, 0)]), low)
-    high = np.where(free, np.where(edge_after, _FAR, s.high[np.minimum(after, n - 1)]), high)
+    low = np.where(free, np.where(edge_before, -_FAR, np.minimum(low, s.low[np.maximum(before, 0)])), low)
+    high = np.where(free, np.where(edge_after, _FAR, np.maximum(high, s.high[np.minimum(after, n - 1)])), high)
     return Symbols(name, s.start[first], s.end[last], low, high)
 
 
@@ -89,13 +89,15 @@ def pairs(s: Symbols, level: int) -> Symbols:
     low, high, end, name = s.low.copy(), s.high.copy(), s.end.copy(), s.name.copy()
     j = np.flatnonzero(join)
     name[j] = mix(s.name[j] * _U(0xA24BAED4963EE407) + mix(s.name[j + 1] + _U(level + 1)))
-    end[j], high[j] = s.end[j + 1], s.high[j + 1]
+    end[j], low[j], high[j] = s.end[j + 1], np.minimum(s.low[j], s.low[j + 1]), np.maximum(s.high[j], s.high[j + 1])
     # A left symbol that stays alone is fixed by what follows it, a right one by what precedes it.
     alone = ~join & ~second & ~wall
-    a = np.flatnonzero(alone & ~right)
-    high[a] = np.where(wall[np.minimum(a + 1, n - 1)] | (a + 1 >= n), _FAR, s.high[np.minimum(a + 1, n - 1)])
-    b = np.flatnonzero(alone & right)
-    low[b] = np.where(wall[np.maximum(b - 1, 0)] | (b == 0), -_FAR, s.low[np.maximum(b - 1, 0)])
+    for at, beside in ((alone & ~right, 1), (alone & right, -1)):
+        at = np.flatnonzero(at)
+        to = np.clip(at + beside, 0, n - 1)
+        edge = wall[to] | (to == at)
+        low[at] = np.where(edge, -_FAR, np.minimum(s.low[at], s.low[to]))
+        high[at] = np.where(edge, _FAR, np.maximum(s.high[at], s.high[to]))
     return Symbols(name, s.start, end, low, high).take(~second)
 
 
