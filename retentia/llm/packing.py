@@ -15,12 +15,16 @@ the earlier piece in (length, doc_id, piece) order is taken.
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 import zlib
+from collections.abc import Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,31 +42,94 @@ MEMO_WORDS, LONG_TEXT = 200_000, 1 << 20
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-class WordIds(dict):
-    """White-space-separated word -> its token ids.  White space never joins tokens of this vocabulary."""
+#: The split that the tokenizer file itself makes after lower-casing: fixed values of that file.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _Memory:
+    """Two generations of a dictionary: when the young one is full it replaces the old one."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that are not remembered; the others become young."""
+        out = []
+        for k in keys - self.young.keys():
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.young[k] = v
+        return out
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+
+class WordIds:
+    """Token ids of texts.  White space never joins tokens of this vocabulary, so words are encoded once and remembered.
+
+    Words are split and lower-cased as the tokenizer does it; words with its special tokens go to it as they are.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        if len(word) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.split = regex.compile(_SPLIT)
+        self.words, self.parts = _Memory(MEMO_WORDS), _Memory(MEMO_WORDS)
+
+    def _encode(self, texts: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _parts(self, word: bytes) -> list[str]:
+        text = word.decode("utf-8")
+        if "<|" in text:
+            return [text]
+        return self.split.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
+
+    def learn(self, words: set[bytes]) -> None:
+        self.words.age()
+        self.parts.age()
+        new = self.words.missing(words)
+        split = [self._parts(w) for w in new]
+        unknown = self.parts.missing(set(chain.from_iterable(split)))
+        self.parts.young.update(zip(unknown, self._encode(unknown)))
+        known = self.parts.young
+        self.words.young.update((w, tuple(chain.from_iterable([known[p] for p in s]))) for w, s in zip(new, split))
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        words = [(t or "").encode("utf-8").split() for t in texts]
+        self.learn(set(chain.from_iterable(words)))
+        known = self.words.young
+        return [np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.uint32) for w in words]
 
     def ids(self, text: str | None) -> np.ndarray:
-        data = (text or "").encode("utf-8")
-        if len(data) <= LONG_TEXT:
-            return np.fromiter(chain.from_iterable(map(self.__getitem__, data.split())), np.uint32)
-        words, parts = (m[0] for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)), []
+        if len(text or "") <= LONG_TEXT:
+            return self.batch([text])[0]
+        words, parts = (m[0] for m in re.finditer(r"[^\x20\x09-\x0D]+", text)), []
         while some := list(islice(words, 100_000)):
-            parts.append(np.fromiter(chain.from_iterable(map(self.__getitem__, some)), np.uint32))
+            parts.append(self.batch([" ".join(some)])[0])
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
+    def all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, about ``LONG_TEXT`` characters at a time."""
+        group, size = [], 0
+        for text in texts.to_pylist():
+            if size + len(text or "") > LONG_TEXT and group:
+                yield from self.batch(group)
+                group, size = [], 0
+            if len(text or "") > LONG_TEXT:
+                yield self.ids(text)
+                continue
+            group.append(text)
+            size += len(text or "")
+        if group:
+            yield from self.batch(group)
+
 
 _LOADED: dict[str, WordIds] = {}
 
@@ -75,8 +142,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         words = _LOADED[path]
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.append(words.ids(text.as_py()), np.uint32(END_TOKEN)).astype("<u4")
+            for doc_id, found in zip(batch.column(0), words.all(batch.column(1))):
+                ids = np.append(found, np.uint32(END_TOKEN)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((doc_id.as_py(), k, at, len(part), zlib.crc32(part.tobytes()), part))
