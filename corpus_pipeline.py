@@ -1,21 +1,56 @@
-"""Corpus cleaning in stages, each written as Parquet and read again as the next one's ``docs``."""
+"""Corpus cleaning in five stages, each written as Parquet and read again as the next one's ``docs``."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retentia.llm import exact_dedup
-from retentia.llm.frames import hold, table
+from retentia.llm import exact_dedup, minhash, packing, substring_dedup, toxicity
+from retentia.llm.frames import hold, ship, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on the labelled rows of ``docs`` that are not held out."""
+    ship(spark)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
+    ship(spark)
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
+    return minhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that an earlier document holds go; documents left without words go too."""
+    ship(spark)
+    cut = substring_dedup.remove_repeats(docs)
+    return cut.where("n_removed < n_words OR n_words = 0").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of every document in a training sequence of at most 4096."""
+    ship(spark)
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))).withColumn(
+        "length", F.col("length").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("packing", pack),
+]
 
-#: Several stages (a trained classifier, MinHash, tokenised packing) have no SQL form.
+#: A trained classifier and tokenised packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
