@@ -17,11 +17,12 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces up to this many bytes are remembered, at most so many of them (then the memory starts anew).
+#: Pieces up to this many bytes are remembered, at most twice so many of them.
 MEMO_BYTES, MEMO_PIECES, MEMO_PAIRS = 64, 200_000, 500_000
 #: Texts of more characters are encoded in steps, so their pieces are never all in memory.
 LONG_TEXT, STEP = 1 << 20, 100_000
@@ -37,38 +38,56 @@ class Vocabulary:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary must hold all 256 bytes")
         self.ranks = ranks
-        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_of[i] = token
+        self.decimal = [str(i) for i in range(len(self.bytes_of))]
         self.longest = max(map(len, ranks))
-        self._alone: dict[int, bool] = {}
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, bool] = {}
+        self.sizes = list(map(len, self.bytes_of))
+        self.automaton = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            if self.merge(token) == [i]:  # a token that merging cannot produce never ends a prefix
+                self.automaton.add_word(token.decode("latin-1"), i)
+        self.automaton.make_automaton()
 
     def merge(self, data: bytes) -> list[int]:
         """Encoding by the definition: join the lowest-ranked neighbours, leftmost first.  For short strings."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
+        joined = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joined and (least := min(joined)) < none:
+            i = joined.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joined[i]
+            if i < len(joined):
+                joined[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                joined[i - 1] = rank(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
-    def alone(self, token: int) -> bool:
-        """Whether merging can produce the token at all."""
-        ok = self._alone.get(token)
-        if ok is None:
-            ok = self._alone[token] = self.merge(self.bytes_of[token]) == [token]
-        return ok
-
     def beside(self, left: int, right: int) -> bool:
         """Whether an encoding may hold the two tokens next to each other."""
-        ok = self._beside.get((left, right))
+        key = left << 32 | right
+        ok = self._beside.get(key)
         if ok is None:
             if len(self._beside) >= MEMO_PAIRS:
                 self._beside.clear()
-            ok = self._beside[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            ok = self._beside[key] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return ok
 
+    def extend(self, data: bytes, last: list[int], upto: int) -> None:
+        """Add the last tokens of the prefixes of ``data`` up to ``upto`` bytes: the longest token that may end there."""
+        first = max(0, len(last) - self.longest + 1)
+        sizes, beside = self.sizes, self.beside
+        # The automaton gives the tokens that end at each byte, longest first.
+        for at, token in self.automaton.iter(data[first:upto].decode("latin-1")):
+            at += first
+            if at == len(last):
+                start = at + 1 - sizes[token]
+                if not start or beside(last[start - 1], token):
+                    last.append(token)
+
 
 class Prefixes:
     """A piece of bytes and, for each of its prefixes, the last token of that prefix's encoding."""
@@ -77,26 +96,17 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _last_at(self, data: bytes, last: list[int], end: int) -> int:
-        v = self.vocabulary
-        for size in range(min(end, v.longest), 0, -1):
-            token = v.ranks.get(data[end - size : end])
-            if token is not None and v.alone(token) and (size == end or v.beside(last[end - size - 1], token)):
-                return token
-        raise AssertionError("every prefix has an encoding")
-
     def append(self, more: bytes) -> None:
         """Exact: the stored tokens of the prefixes so far stay as they are."""
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._last_at(self.data, self.last, end))
+        self.vocabulary.extend(self.data, self.last, len(self.data))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Exchange bytes [start, end); returns how many prefixes were computed anew."""
         data = self.data[:start] + new + self.data[end:]
         last, shift, agree = self.last[:start], len(new) - (end - start), 0
         for at in range(start + 1, len(data) + 1):
-            last.append(self._last_at(data, last, at))
+            self.vocabulary.extend(data, last, at)
             old = at - shift
             # A prefix depends on the `longest` prefixes before it; once those agree, so does all the rest.
             agree = agree + 1 if at > start + len(new) and old >= 1 and last[-1] == self.last[old - 1] else 0
@@ -116,18 +126,24 @@ class Prefixes:
 
 
 class Encoder(dict):
-    """Piece -> its token ids; a memory of the short pieces met so far."""
+    """Piece -> its token ids; a memory of the short pieces met so far, in two generations."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.pattern = regex.compile(pattern)
         self.vocabulary = vocabulary
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         data = piece.encode("utf-8")
         whole = self.vocabulary.ranks.get(data)  # a piece that is a token is that token
         ids = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).tokens())
         if len(data) <= MEMO_BYTES:
             if len(self) >= MEMO_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -202,7 +218,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for v in values:
             n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
             for ids in e.steps(v.as_py()):
-                ids_hash.update((" " * bool(n) + " ".join(map(str, ids))).encode())
+                ids_hash.update((" " * bool(n) + " ".join(map(e.vocabulary.decimal.__getitem__, ids))).encode())
                 text_hash.update(e.decode(ids))
                 n += len(ids)
             for column, x in zip(out, (n, ids_hash.hexdigest(), text_hash.hexdigest())):
