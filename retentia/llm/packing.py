@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -46,6 +45,10 @@ _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The last letter before the phonetic alphabet.
+LAST_LATIN = "\u024f"
+
+
 class _Memory:
     """Two generations of a dictionary: when the young one is full it replaces the old one."""
 
@@ -70,7 +73,8 @@ class _Memory:
 class WordIds:
     """Token ids of texts.  White space never joins tokens of this vocabulary, so words are encoded once and remembered.
 
-    Words are split and lower-cased as the tokenizer does it; words with its special tokens go to it as they are.
+    Latin words are split and lower-cased as the tokenizer does it, so that their parts are remembered too; words of
+    other scripts, whose character classes differ between Unicode versions, and special tokens go to it as they are.
     """
 
     def __init__(self, path: str):
@@ -86,9 +90,9 @@ class WordIds:
 
     def _parts(self, word: bytes) -> list[str]:
         text = word.decode("utf-8")
-        if "<|" in text:
+        if "<|" in text or max(text) > LAST_LATIN:
             return [text]
-        return self.split.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
+        return self.split.findall(text.lower())
 
     def learn(self, words: set[bytes]) -> None:
         self.words.age()
