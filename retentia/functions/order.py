@@ -4,9 +4,11 @@ pandas frames carry an implicit row order; Spark frames do not.  Operators
 that depend on order (forward fill, running sums, "the last N rows") take an
 explicit order and run as *bucketed prefix* jobs:
 
-1. every row gets a bucket that is monotone in the order (the caller chooses
-   it so that no bucket grows with the data, e.g. month of a date, or
-   ``(date, row_id div K)`` when one date may be hot);
+1. every row gets a bucket that is monotone in the order: by default the
+   range partition that it falls into, stored as a column of a materialized
+   frame (``ranged``), so there are at most as many buckets as shuffle
+   partitions; a caller may name another one of bounded number (month of a
+   daily date);
 2. one small aggregate per bucket (count, sum, last non-null value);
 3. a window over the bucket summary (one row per bucket) gives each bucket
    the carry of all earlier buckets;
@@ -23,9 +25,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import materialize
+
 BUCKET = "_bucket"
 
 
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``BUCKET``, the number of the range partition of ``order`` that a row falls into.
+
+    The frame is materialized: every later step sees the same boundaries.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return materialize(df.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id()))
+
+
+def _bucketed(df: DataFrame, order: list[Column], bucket: Column | None) -> DataFrame:
+    out = ranged(df, order) if bucket is None else df.withColumn(BUCKET, bucket)
+    return out.withColumn("_okey", F.struct(*order))
+
+
 def _bucket_summary_window():
     return W.orderBy(F.col(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
 
@@ -36,7 +54,7 @@ def _join_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
     return df.join(carry, cond, "left").drop(carry[BUCKET])
 
 
-def forward_fill(df: DataFrame, value, order: list[Column], bucket: Column,
+def forward_fill(df: DataFrame, value, order: list[Column], bucket: Column | None = None,
                  back_fill_leading: bool = True) -> DataFrame:
     """Replace NULLs in ``value`` (a column name or a list of names) by the last
     non-null value earlier in ``order``.
@@ -49,8 +67,7 @@ def forward_fill(df: DataFrame, value, order: list[Column], bucket: Column,
     value), one join back, one in-bucket window.
     """
     values = [value] if isinstance(value, str) else list(value)
-    okey = F.struct(*order)
-    tagged = df.withColumn(BUCKET, bucket).withColumn("_okey", okey)
+    tagged = _bucketed(df, order, bucket)
     aggs = []
     for i, v in enumerate(values):
         present = F.when(F.col(v).isNotNull(), F.col("_okey"))
@@ -77,10 +94,9 @@ def forward_fill(df: DataFrame, value, order: list[Column], bucket: Column,
     return out.drop(*drop)
 
 
-def running_sum(df: DataFrame, value: str, out: str, order: list[Column], bucket: Column) -> DataFrame:
+def running_sum(df: DataFrame, value: str, out: str, order: list[Column], bucket: Column | None = None) -> DataFrame:
     """Cumulative sum of ``value`` along ``order`` (bucket sums + in-bucket running sum)."""
-    okey = F.struct(*order)
-    tagged = df.withColumn(BUCKET, bucket).withColumn("_okey", okey)
+    tagged = _bucketed(df, order, bucket)
     summary = tagged.groupBy(BUCKET).agg(F.sum(value).alias("_bsum"))
     carry = summary.select(
         BUCKET, F.coalesce(F.sum("_bsum").over(_bucket_summary_window()), F.lit(0)).alias("_carry"))
@@ -89,10 +105,9 @@ def running_sum(df: DataFrame, value: str, out: str, order: list[Column], bucket
     return res.drop(BUCKET, "_okey", "_carry")
 
 
-def row_index(df: DataFrame, out: str, order: list[Column], bucket: Column) -> DataFrame:
+def row_index(df: DataFrame, out: str, order: list[Column], bucket: Column | None = None) -> DataFrame:
     """0-based position of each row in ``order`` (bucket counts + in-bucket row_number)."""
-    okey = F.struct(*order)
-    tagged = df.withColumn(BUCKET, bucket).withColumn("_okey", okey)
+    tagged = _bucketed(df, order, bucket)
     summary = tagged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_bcnt"))
     carry = summary.select(
         BUCKET, F.coalesce(F.sum("_bcnt").over(_bucket_summary_window()), F.lit(0)).alias("_carry"))

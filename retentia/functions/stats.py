@@ -15,24 +15,13 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .order import running_sum
 
 
-# Largest number of distinct values per group for which one window per group
-# (a sort of at most this many rows in one task) selects the quantiles.
-PERCENTILE_BUFFER_LIMIT = 1_000_000
-
-
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-
-
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str | None = None,
-                    names: Sequence[str] | None = None, few_groups: bool = True,
+                    names: Sequence[str] | None = None,
                     weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default), exact.
 
@@ -47,10 +36,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     finds the value whose count interval contains it (an equi-join on the group
     plus a range condition against a target table of groups x quantiles rows).
 
-    With ``few_groups`` (groups are columns or segments, not entities) the
-    target table — groups x quantiles x 2 rows — is broadcast, so the join on a
-    low-cardinality group key never funnels one group's values into one task.
-    Groups without any value are absent from the result.
+    The target table has groups x quantiles x 2 rows; whether it is broadcast is
+    left to the optimizer, which knows its measured size.  Groups without any
+    value are absent from the result.
 
     ``weight`` names an integer count column when ``df`` already holds
     (value, count) rows, e.g. a value-count table shared with other statistics.
@@ -61,26 +49,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     vals = df.select(*[F.col(c) for c in g], F.col(value).cast("double").alias("_v"), w.alias("_w")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     counts = vals.groupBy(*g, "_v").agg(F.sum("_w").alias("_c"))
-    if not weight:
-        # Used by the size check and by the selection: computed once.  (A
-        # weighted input is already a value-count table, typically materialized.)
-        counts = materialize(counts)
-    # Size check: when every group has at most PERCENTILE_BUFFER_LIMIT distinct
-    # values, one window per group over the value-count table (each task sorts
-    # at most that many rows) finds the order statistics in a single job;
-    # beyond it, the range-partitioned selection below never holds a whole
-    # group in one task.
-    widest = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d").alias("m")).first()["m"]
-    if widest is None:
-        return spark_empty(df, g, names)
-    if widest <= PERCENTILE_BUFFER_LIMIT:
-        return _window_pick(counts, g, qs, names)
     order = [F.col(c) for c in g] + [F.col("_v")]
-    ranged = counts.repartitionByRange(_partitions(df), *order)
-    # The cumulative table (one row per distinct value) feeds two branches; it is
-    # checkpointed to the shared checkpoint folder so the counts, the range
-    # sampling and the prefix sums run once and survive executor loss.
-    cum = materialize(running_sum(ranged, "_c", "_cum", order, F.spark_partition_id()))
+    cum = running_sum(counts, "_c", "_cum", order)
     bounds = cum.groupBy(*g).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n"))
     if not g:
         return _global_pick(cum, bounds.first(), qs, names)
@@ -94,7 +64,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: str |
     c = cum.alias("c")
     cond = [(F.col("t._r") >= F.col("c._cum") - F.col("c._c")), (F.col("t._r") < F.col("c._cum"))]
     cond += [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g]
-    picked = c.join(F.broadcast(t) if few_groups else t, cond, "inner").select(
+    picked = c.join(t, cond, "inner").select(
         *[F.col(f"t.{k}") for k in g], F.col("t.qi"), F.col("t.pos"), F.col("t._rank"), F.col("c._v").alias("_v"))
     per_q = picked.groupBy(*g, "qi", "pos").agg(
         F.min_by("_v", "_rank").alias("lo"), F.max_by("_v", "_rank").alias("hi"))
@@ -110,49 +80,12 @@ def prefix_counts(counts: DataFrame, group: str, value: str, count: str) -> Data
     """Cumulative count ``_cum`` (inclusive) of each (group, value) row within its group,
     ordered by value, for a table with one row per (group, value).
 
-    Groups of at most PERCENTILE_BUFFER_LIMIT rows (measured): a window per
-    group.  Larger: range partitioning plus per-partition prefix sums, with the
-    group's start subtracted — no group is ever sorted in one task.
+    Range partitioning plus per-partition prefix sums, with the group's start
+    subtracted: no group is ever sorted in one task.
     """
-    widest = counts.groupBy(group).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d").alias("m")).first()["m"]
-    if widest is None or widest <= PERCENTILE_BUFFER_LIMIT:
-        w = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        return counts.withColumn("_cum", F.sum(count).over(w))
-    order = [F.col(group), F.col(value)]
-    ranged = counts.repartitionByRange(_partitions(counts), *order)
-    cum = materialize(running_sum(ranged, count, "_cum", order, F.spark_partition_id()))
+    cum = running_sum(counts, count, "_cum", [F.col(group), F.col(value)])
     start = cum.groupBy(group).agg(F.min(F.col("_cum") - F.col(count)).alias("_start"))
-    # One row per group (a few features or columns): bounded broadcast.
-    return cum.join(F.broadcast(start), group).withColumn("_cum", F.col("_cum") - F.col("_start")).drop("_start")
-
-
-def spark_empty(df: DataFrame, g: list, names: Sequence[str]) -> DataFrame:
-    spark = df.sparkSession
-    if g:
-        schema = ", ".join([f"`{g[0]}` {df.schema[g[0]].dataType.simpleString()}"] + [f"`{n}` double" for n in names])
-        return spark.createDataFrame([], schema)
-    return spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
-
-
-def _window_pick(counts: DataFrame, g: list, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Order statistics from a bounded value-count table: cumulative counts by a
-    window per group, then the rows whose rank interval holds floor/ceil(q*(n-1))."""
-    w_cum = W.partitionBy(*g).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    x = counts.select(*g, "_v", "_c", F.sum("_c").over(w_cum).alias("_cum"),
-                      F.sum("_c").over(W.partitionBy(*g)).alias("_n"))
-    x = x.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"))
-                                          for i, q in enumerate(qs)])).alias("_t"))
-    x = x.withColumn("pos", F.col("_t.q") * (F.col("_n") - 1))
-    first, last = F.col("_cum") - F.col("_c"), F.col("_cum")
-    holds_lo = (F.floor("pos") >= first) & (F.floor("pos") < last)
-    holds_hi = (F.ceil("pos") >= first) & (F.ceil("pos") < last)
-    hit = x.filter(holds_lo | holds_hi).select(*g, F.col("_t.qi").alias("qi"), "pos", "_v",
-                                                holds_lo.alias("is_lo"), holds_hi.alias("is_hi"))
-    per_q = hit.groupBy(*g, "qi", "pos").agg(F.max(F.when(F.col("is_lo"), F.col("_v"))).alias("lo"),
-                                             F.max(F.when(F.col("is_hi"), F.col("_v"))).alias("hi"))
-    per_q = per_q.withColumn("qv", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos")))
-    wide = per_q.groupBy(*g).agg(*[F.max(F.when(F.col("qi") == i, F.col("qv"))).alias(n) for i, n in enumerate(names)])
-    return wide if g else _one_row(wide, names)
+    return cum.join(start, group).withColumn("_cum", F.col("_cum") - F.col("_start")).drop("_start")
 
 
 def _global_pick(cum: DataFrame, bounds, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
@@ -211,10 +144,3 @@ def pearson(x, y) -> Column:
     xc = F.col(x) if isinstance(x, str) else x
     yc = F.col(y) if isinstance(y, str) else y
     return F.try_divide(F.covar_pop(xc, yc), F.stddev_pop(xc) * F.stddev_pop(yc))
-
-
-def skew_corrected(c) -> Column:
-    """pandas ``Series.skew()`` (adjusted Fisher-Pearson) from Spark's biased ``skewness``."""
-    cc = F.col(c) if isinstance(c, str) else c
-    n = F.count(cc).cast("double")
-    return F.skewness(cc) * F.sqrt(n * (n - 1)) / (n - 2)

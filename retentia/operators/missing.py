@@ -28,7 +28,6 @@ REASON_MEDIAN = ("Imputed {n} missing values in '{c}' using column median ({v}).
 REASON_MODE = ("Imputed {n} missing values in '{c}' using category mode ('{v}'). "
                "Preserves categorical distribution mode without introducing synthetic arbitrary categories.")
 
-FFILL_BLOCK = 1 << 20
 
 
 def is_missing(df: DataFrame, c: str) -> Column:
@@ -91,9 +90,15 @@ def _fmt(template: str, **kw: Column) -> Column:
 
 
 def _py_float_text(c: Column) -> Column:
-    """Python ``str(float)`` for the logged median (``12.0``, ``0.5``)."""
-    s = c.cast("string")
-    return F.when(s.rlike(r"^-?\d+$"), F.concat(s, F.lit(".0"))).otherwise(s)
+    """Python ``str(float)`` for the logged median, rounded to four places (``12.0``, ``0.5``, ``12345678.5``, ``0.0005``).
+
+    Python writes doubles from 1e-4 up to below 1e16 without an exponent; a value of four decimal places
+    is then its decimal text without trailing zeros, but for one.
+    """
+    text = F.regexp_replace(c.cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+    whole = c.cast("string")
+    plain = (F.abs(c) < 1e16) & ((F.abs(c) >= 1e-4) | (c == 0))
+    return F.when(plain, text).otherwise(F.lower(F.regexp_replace(whole, r"\.0E|E", "e+")))
 
 
 def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (),
@@ -132,18 +137,15 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
             cur = cur.withColumn("__sort_d", F.col(date_sort_col))
             d = F.col("__sort_d")
             order = [d.isNull(), d, F.col(order_col)]
-            bucket = F.struct(d.isNull().alias("n"), d.alias("d"),
-                              F.floor(F.col(order_col) / FFILL_BLOCK).alias("b"))
         else:
             order = [F.col(order_col)]
-            bucket = F.floor(F.col(order_col) / FFILL_BLOCK)
         ts_cols = [c for c in time_series_cols if c in cur.columns]
         for c in ts_cols:
             n = F.count_if(F.col(c).isNull())
             add(_log_row(cur, c, "forward_fill", n, F.lit("propagated_prior_value"),
                          _fmt(REASON_FFILL, n=F.col("affected_records"), c=F.lit(c))))
         if ts_cols:
-            cur = forward_fill(cur, ts_cols, order, bucket, back_fill_leading=True)
+            cur = forward_fill(cur, ts_cols, order, back_fill_leading=True)
         if "__sort_d" in cur.columns:
             cur = cur.drop("__sort_d")
         if checkpoint:

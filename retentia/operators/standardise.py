@@ -23,7 +23,6 @@ STRING_NULL_TEXT = ["nan", "None"]
 TRUE_VALUES = ["1", "true", "t", "yes", "y"]
 FALSE_VALUES = ["0", "false", "f", "no", "n"]
 # Currency symbols removed before numeric parsing.
-CURRENCY_PATTERN = "[$,€£₹]"
 CURRENCY_LETTERS_PATTERN = "[$,€£₹a-zA-Z]"
 
 

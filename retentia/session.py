@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,17 +55,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
-        # Only when the cluster names none (local tests): a fresh scratch folder.
+        # Only in local mode: on a cluster each executor would write to its own disk.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="retentia-ckpt-", dir=os.environ.get("RETENTIA_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+_STAGED: dict[str, list] = {}
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared checkpoint folder for tables a job writes and re-reads."""
-    base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/staging/" + name
+    """A fresh path below the shared checkpoint folder for a table that a job writes and re-reads.
+
+    Every call gets a folder of its own, so queries never overwrite each other's
+    input; the folders of an application are deleted when its driver ends.
+    """
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/staging/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _STAGED:
+        _STAGED[app] = []
+        atexit.register(clean_staging, spark)
+    _STAGED[app].append(base)
+    return f"{base}/{name}"
+
+
+def clean_staging(spark: SparkSession) -> None:
+    """Delete what ``staging_path`` handed out in this application."""
+    try:
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            return
+        conf = spark._jsc.hadoopConfiguration()
+        for base in _STAGED.pop(spark.sparkContext.applicationId, []):
+            path = spark._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM is gone already: nothing can be deleted from here
+        return
 
 
 def materialize(df):

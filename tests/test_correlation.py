@@ -46,9 +46,7 @@ def test_least_squares(spark):
     assert [r["y_hat"] for r in rows] == pytest.approx([3.0, 5.0, 7.0])
 
 
-def test_spearman_range_path(spark, monkeypatch):
-    import retentia.functions.stats as S
-    monkeypatch.setattr(S, "PERCENTILE_BUFFER_LIMIT", 0)
+def test_spearman_ranks_with_ties(spark):
     s = {(r["feature_a"], r["feature_b"]): r["r"] for r in co.spearman_matrix(_frame(spark)).collect()}
     assert round(s[("support_tickets", "churn")], 4) == 0.8706
     assert round(s[("engagement", "churn")], 4) == 0.869

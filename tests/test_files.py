@@ -143,3 +143,49 @@ def test_report_bundles(spark, tmp):
     c = write_correlation_report(co.pearson_matrix(cdf), co.spearman_matrix(cdf), co.strong_pairs(cdf),
                                  os.path.join(tmp, "corr"))
     assert spark.read.json(c["pearson"]).count() == 16 and spark.read.json(c["strong_pairs"]).count() == 6
+
+
+def _put(tmp_path, **files_):
+    for name, data in files_.items():
+        (tmp_path / f"{name}.csv").write_bytes(data if isinstance(data, bytes) else data.encode())
+    return str(tmp_path)
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    path = _put(tmp_path, a='id,say\n1,"He said ""hi"" now"\n2,"two\nlines, one field"\n')
+    rows = files.scan_csv(spark, path, multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'He said "hi" now'), (2, "two\nlines, one field")]
+
+
+def test_csv_number_suffixes_stay_text(spark, tmp_path):
+    df = files.scan_csv(spark, _put(tmp_path, a="code,x\n10d,1.5\n20d,2\n5f,1e3\n"))
+    assert dict(df.dtypes) == {"code": "string", "x": "double"}
+    assert {r["code"] for r in df.collect()} == {"10d", "20d", "5f"}
+
+
+def test_csv_headers_in_another_order(spark, tmp_path):
+    df = files.scan_csv(spark, _put(tmp_path, one="a,b\n1,x\n", two="b,a\nz,3\n"))
+    assert sorted(tuple(r) for r in df.select("a", "b").collect()) == [(1, "x"), (3, "z")]
+
+
+def test_csv_too_many_fields_fails(spark, tmp_path):
+    path = _put(tmp_path, a="a,b\n1,2\n3,4,5,6\n")
+    with pytest.raises(Exception, match="more than the 2 fields"):
+        files.scan_csv(spark, path, infer_types=False).count()
+
+
+def test_json_array_and_latin1_with_default_arguments(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"id": 1, "v": {"x": "a"}},\n {"id": 2, "v": {"x": "b"}}\n]')
+    got = files.scan_json(spark, str(tmp_path / "a.json"))
+    assert sorted(tuple(r) for r in got.select("id", "v_x").collect()) == [(1, "a"), (2, "b")]
+    (tmp_path / "b.json").write_bytes('{"id": 1, "n": "Ren\u00e9"}\n{"id": 2, "n": "Zo\u00eb"}\n'.encode("latin1"))
+    got, enc = files.scan_json(spark, str(tmp_path / "b.json"), with_encoding=True)
+    assert {r["n"] for r in got.collect()} == {"Ren\u00e9", "Zo\u00eb"} and enc.first()["encoding"] == "latin1"
+
+
+def test_queries_do_not_share_staged_files(spark):
+    from retentia.plans.registry import load_all
+    sf = "/root/testdata/sf0.001"
+    first = load_all()["scan_csv"][0](spark, sf)
+    second = load_all()["scan_parse_dates"][0](spark, sf)
+    assert first.count() == second.count() == first.count()

@@ -47,12 +47,9 @@ def test_grouped_quantiles_and_mode_with_hot_value(spark):
     assert m["b"] == min(pdf[pdf.g == "b"]["v"].mode())
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_quantile_paths_agree(spark, monkeypatch, limit):
-    """Force the range-partitioned selection (limit 0) and the bounded window path."""
+def test_quantiles_equal_numpy(spark):
     import numpy as np
     import retentia.functions.stats as S
-    monkeypatch.setattr(S, "PERCENTILE_BUFFER_LIMIT", limit)
     rnd = random.Random(11)
     rows = [("a", float(rnd.randint(0, 30))) for _ in range(400)] + [("a", 3.0)] * 200 + \
            [("b", rnd.random()) for _ in range(101)]
@@ -68,3 +65,16 @@ def test_quantile_paths_agree(spark, monkeypatch, limit):
     w = spark.createDataFrame([(1.0, 3), (2.0, 1), (5.0, 2)], "v double, c long")
     assert S.exact_quantiles(w, "v", [0.5], names=["m"], weight="c").first()["m"] == pytest.approx(
         float(np.median([1, 1, 1, 2, 5, 5])))
+
+
+def test_forward_fill_summary_is_bounded_by_partitions(spark):
+    """Every date spans many id blocks; the carry still has one row per range partition at most."""
+    from retentia.functions.order import BUCKET, ranged
+    rows = [(i, i % 5, float(i) if i % 3 == 0 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, d int, v double")
+    order = [F.col("d").isNull(), F.col("d"), F.col("id")]
+    assert ranged(df, order).select(BUCKET).distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r["id"]: r["v"] for r in forward_fill(df, "v", order).collect()}
+    pdf = pd.DataFrame(rows, columns=["id", "d", "v"]).sort_values(["d", "id"])
+    pdf["v"] = pdf["v"].ffill().bfill()
+    assert got == dict(zip(pdf["id"], pdf["v"]))
