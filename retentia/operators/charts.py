@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numfmt import fmt_currency_compact, fmt_fixed
 from ..functions.stats import pearson
+from ..session import materialize
 from .correlation import least_squares
 
 # Order-value histogram edges (last bin closed).
@@ -100,22 +101,26 @@ def _quarter(c="order_date"):
     return F.concat(F.year(c).cast("string"), F.lit("Q"), F.quarter(c).cast("string"))
 
 
-def quarterly_composition(df: DataFrame, products: Sequence[str] | None = None) -> DataFrame:
-    """Long (quarter, product_line, revenue, quarter_total, share): pivot with 0 fill, row shares."""
-    df = _keyed(df, "order_date", "product_line")
-    if products is None:
-        products = sorted(r[0] for r in df.select("product_line").distinct().collect())
-    ps = sorted(products)
-    wide = df.groupBy(_quarter().alias("quarter")).pivot("product_line", ps).agg(F.sum("order_amount")).na.fill(0.0, subset=ps)
-    longf = wide.unpivot("quarter", ps, "product_line", "revenue")
-    from pyspark.sql import Window as W
-    tot = F.sum("revenue").over(W.partitionBy("quarter"))
-    return longf.select("quarter", "product_line", F.col("revenue").cast("double").alias("revenue"),
-                        tot.alias("quarter_total"), (F.col("revenue") / tot).alias("share"))
+def quarterly_composition(df: DataFrame) -> DataFrame:
+    """Long (quarter, product_line, revenue, quarter_total, share), 0 where a product sold nothing.
 
+    Every product that the data holds appears in every quarter: the products come from the
+    aggregated (quarter, product) table, which has a few rows per quarter.
+    """
+    cells = _keyed(df, "order_date", "product_line").groupBy(_quarter().alias("quarter"), "product_line").agg(
+        F.sum("order_amount").cast("double").alias("revenue"))
+    products = cells.agg(F.sort_array(F.collect_set("product_line")).alias("p")).scalar()
+    quarters = cells.groupBy("quarter").agg(
+        F.map_from_entries(F.collect_list(F.struct("product_line", "revenue"))).alias("by_product"),
+        F.sum("revenue").alias("quarter_total"))
+    longf = quarters.select("quarter", "quarter_total", "by_product", F.explode(products).alias("product_line"))
+    longf = longf.withColumn("revenue", F.coalesce(F.try_element_at("by_product", F.col("product_line")), F.lit(0.0)))
+    return longf.select("quarter", "product_line", "revenue", "quarter_total",
+                        (F.col("revenue") / F.col("quarter_total")).alias("share"))
 
-def quarter_dominant(df: DataFrame, products: Sequence[str] | None = None) -> DataFrame:
-    comp = quarterly_composition(df, products)
+
+def quarter_dominant(df: DataFrame) -> DataFrame:
+    comp = quarterly_composition(df)
     last_q = comp.select(F.max("quarter")).scalar()
     lq = comp.filter(F.col("quarter") == last_q)
     return lq.agg(F.first("quarter").alias("quarter"),
@@ -149,18 +154,24 @@ def marketing_outlier(df: DataFrame) -> DataFrame:
     return res.agg(pick.alias("x")).select("x.*")
 
 
-def chart_notes(df: DataFrame, products: Sequence[str] | None = None) -> DataFrame:
-    """Question, key insight and annotation text per chart."""
+def chart_notes(df: DataFrame) -> DataFrame:
+    """Question, key insight and annotation text per chart.
+
+    The revenue charts share one table of sums by day and product line; only the histogram reads the orders again.
+    """
+    orders = df
+    df = materialize(orders.groupBy("order_date", "product_line").agg(
+        F.sum("order_amount").alias("order_amount"), F.sum("marketing_spend").alias("marketing_spend")))
     rbp = revenue_by_product(df).filter("is_leader").select(
         F.concat(F.col("product_line"), F.lit(" leads with "), fmt_currency_compact("revenue"), F.lit(".")).alias("t"))
     dip = trough_month(df).select(F.concat(F.lit("The combined top-3 revenue trough occurs in "),
                                            F.date_format("month", "MMM yyyy"), F.lit(".")).alias("t"))
-    hist = order_histogram(df)
+    hist = order_histogram(orders)
     peak = hist.agg(F.min_by(F.struct("bin_start", "bin_end"), F.struct((-F.col("count")).alias("c"), F.col("bin").alias("b"))).alias("p"))
     peak_t = peak.select(F.concat(F.lit("Peak concentration is near $"),
                                   fmt_fixed((F.col("p.bin_start") + F.col("p.bin_end")) / 2, 0),
                                   F.lit(" order values.")).alias("t"))
-    dom = quarter_dominant(df, products).select(
+    dom = quarter_dominant(df).select(
         F.concat(F.col("dominant_product"), F.lit(" contributes the largest share in the latest quarter.")).alias("t"))
     corr = marketing_corr(df).select(F.concat(F.lit("The relationship is "), F.col("strength"), F.lit(" with r="),
                                               fmt_fixed("correlation", 2), F.lit(".")).alias("t"))

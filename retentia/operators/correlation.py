@@ -43,6 +43,10 @@ def pearson_matrix(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFra
         for i, (a, b) in enumerate(cells)])).alias("x")).select("x.*")
 
 
+#: Groups over which the rows of one hot value are spread.
+RANK_SALTS = 64
+
+
 def average_ranks(df: DataFrame, features: Sequence[str], row_key: str) -> DataFrame:
     """Wide frame (_row, <feature>...) of average ranks (ties share the mean rank); ``row_key`` must be unique."""
     fs = list(features)
@@ -53,7 +57,11 @@ def average_ranks(df: DataFrame, features: Sequence[str], row_key: str) -> DataF
     # Average rank of a value = rows before it + (ties + 1) / 2.
     cum = materialize(prefix_counts(counts, "feature", "v", "c"))
     ranks = cum.select("feature", "v", (F.col("_cum") - F.col("c") + (F.col("c") + 1) / 2.0).alias("rank"))
-    ranked = longf.join(ranks, ["feature", "v"], "inner")
+    # A value such as churn = 0 holds most of a feature's rows: rows find their rank by (value, salt), and the
+    # rank table gets a row for each salt that occurs, never more than RANK_SALTS for one value.
+    salted = longf.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(RANK_SALTS)).cast("int"))
+    by_salt = salted.select("feature", "v", "salt").distinct().join(ranks, ["feature", "v"])
+    ranked = salted.join(by_salt, ["feature", "v", "salt"], "inner")
     return ranked.groupBy("_row").agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f) for f in fs])
 
 

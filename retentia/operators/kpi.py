@@ -12,6 +12,7 @@ runtime filter.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numfmt import fmt_money, fmt_percent, fmt_thousands
@@ -163,7 +164,8 @@ def validation_summary(validation: DataFrame) -> DataFrame:
 def decompose_total_revenue(df: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Total revenue, revenue by segment and by product in ONE grouping-sets pass.
 
-    Rows: ``(breakdown, member, revenue, sum_matches_total)``.  pandas drops
+    Rows: ``(breakdown, member, revenue, rank, sum_matches_total)``; ``rank`` is the
+    descending order of a breakdown's members (ties by name).  pandas drops
     NULL group keys, so a NULL segment or product is dropped from its own
     breakdown but still counts in the total; the match flag then turns false,
     which is the check's purpose.  Floating sums are compared with a relative
@@ -183,7 +185,8 @@ def decompose_total_revenue(df: DataFrame, tolerance: float = 1e-9) -> DataFrame
         "breakdown",
         (F.abs(F.col("_parts") - total) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(total).cast("double")))
         .alias("sum_matches_total"))
-    return rows.join(checks, "breakdown", "left")
+    order = W.partitionBy("breakdown").orderBy(F.desc("revenue"), "member")  # a few members
+    return rows.withColumn("rank", F.row_number().over(order)).join(checks, "breakdown", "left")
 
 
 # The reference's KPI target ranges (min, max), in file order.

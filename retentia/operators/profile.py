@@ -87,54 +87,48 @@ def _r(x: float, digits: int) -> float:
 def profile_numeric(df: DataFrame) -> DataFrame:
     """pandas-style numeric profile per column, 4 dp; all-null columns are skipped.
 
-    ONE pass over the data builds the value-count table ``(column, value, n)``
-    (a partial aggregate: repeated values collapse map-side) and checkpoints
-    it.  Quartiles, count / mean / min / max, the central moments behind the
-    sample std and the corrected skewness (two-pass, numerically stable) and
-    the IQR outlier counts are all computed from that table, which is never
-    larger than the data and usually far smaller.
+    Count, mean, minimum and maximum of all columns are one wide aggregate, the
+    central moments behind the sample std and the corrected skewness (two-pass,
+    numerically stable) and the IQR outlier counts a second one; neither
+    shuffles rows.  Only the quartiles use the long form, where equal values
+    collapse map-side before the shuffle.
     """
     cols = numeric_columns(df)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], _NUMERIC_SCHEMA)
-    counts = materialize(_long_numeric(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c")))
+
+    def value(c):
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v)
+
+    at = {c: i for i, c in enumerate(cols)}
+    first = df.agg(*[f(value(c)).alias(f"{n}{i}") for c, i in at.items()
+                     for n, f in (("n", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))]).first()
+    cols = [c for c in cols if first[f"n{at[c]}"]]
+    if not cols:
+        return spark.createDataFrame([], _NUMERIC_SCHEMA)
+    counts = _long_numeric(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
     qrows = {r["column"]: r for r in exact_quantiles(counts, "v", [0.25, 0.5, 0.75], group="column",
                                                      names=["q25", "median", "q75"], weight="c").collect()}
-    if not qrows:
-        return spark.createDataFrame([], _NUMERIC_SCHEMA)
-    first = {r["column"]: r for r in counts.groupBy("column").agg(
-        F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
-        F.min("v").alias("min"), F.max("v").alias("max")).collect()}
-
-    def per_column(fn):
-        expr = None
-        for name in qrows:
-            cond = F.col("column") == name
-            val = F.lit(fn(name))
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-        return expr
-    mean = per_column(lambda c: first[c]["mean"])
-    lo = per_column(lambda c: qrows[c]["q25"] - 1.5 * (qrows[c]["q75"] - qrows[c]["q25"]))
-    hi = per_column(lambda c: qrows[c]["q75"] + 1.5 * (qrows[c]["q75"] - qrows[c]["q25"]))
-    d = F.col("v") - mean
-    central = counts.groupBy("column").agg(
-        F.sum(F.col("c") * d * d).alias("m2"), F.sum(F.col("c") * d * d * d).alias("m3"),
-        F.sum(F.when((F.col("v") < lo) | (F.col("v") > hi), F.col("c")).otherwise(0)).alias("outlier_count"))
+    aggs = []
+    for c in cols:
+        i, q = at[c], qrows[c]
+        iqr = q["q75"] - q["q25"]
+        d = value(c) - F.lit(first[f"mean{i}"])
+        outside = (value(c) < F.lit(q["q25"] - 1.5 * iqr)) | (value(c) > F.lit(q["q75"] + 1.5 * iqr))
+        aggs += [F.sum(d * d).alias(f"m2{i}"), F.sum(d * d * d).alias(f"m3{i}"), F.count_if(outside).alias(f"out{i}")]
+    central = df.agg(*aggs).first()
     rows = []
-    for r in central.collect():
-        c = r["column"]
-        n = int(first[c]["n"])
-        m2, m3 = r["m2"] / n, r["m3"] / n
-        std = math.sqrt(r["m2"] / (n - 1)) if n > 1 else 0.0
-        skew = 0.0
-        if n > 2 and m2 > 0:
-            skew = (m3 / m2 ** 1.5) * math.sqrt(n * (n - 1)) / (n - 2)
-        q = qrows[c]
-        rows.append((c, n, _r(first[c]["mean"], 4), _r(std, 4), _r(first[c]["min"], 4), _r(q["q25"], 4),
-                     _r(q["median"], 4), _r(q["q75"], 4), _r(first[c]["max"], 4),
-                     _r(q["q75"] - q["q25"], 4), _r(skew, 4), int(r["outlier_count"]),
-                     _r(int(r["outlier_count"]) / max(n, 1) * 100, 2)))
+    for c in cols:
+        i, q = at[c], qrows[c]
+        n, squares = int(first[f"n{i}"]), central[f"m2{i}"]
+        m2, m3 = squares / n, central[f"m3{i}"] / n
+        std = math.sqrt(squares / (n - 1)) if n > 1 else 0.0
+        skew = (m3 / m2 ** 1.5) * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 and m2 > 0 else 0.0
+        rows.append((c, n, _r(first[f"mean{i}"], 4), _r(std, 4), _r(first[f"min{i}"], 4), _r(q["q25"], 4),
+                     _r(q["median"], 4), _r(q["q75"], 4), _r(first[f"max{i}"], 4), _r(q["q75"] - q["q25"], 4),
+                     _r(skew, 4), int(central[f"out{i}"]), _r(int(central[f"out{i}"]) / max(n, 1) * 100, 2)))
     # One row per profiled column, assembled from the small per-column results.
     return spark.createDataFrame(rows, _NUMERIC_SCHEMA)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numfmt import fmt_fixed, fmt_money, fmt_percent
+from ..session import materialize
 
 SEG = "customer_type"
 
@@ -58,31 +59,31 @@ def segment_product(df: DataFrame) -> DataFrame:
         F.sum("revenue").alias("total_revenue"), F.count("customer_id").alias("customer_count"))
 
 
-def _products(df: DataFrame, products: Sequence[str] | None) -> list[str]:
-    if products is not None:
-        return sorted(products)
-    # Distinct products: a small grouped job; pass them in to skip it.
-    return sorted(r[0] for r in df.select("product").filter(F.col("product").isNotNull()).distinct().collect())
+#: Most products that become columns; a wider table belongs in the long form (``segment_product``).
+MAX_PIVOT_COLUMNS = 10_000
 
 
-def segment_product_unstacked(df: DataFrame, products: Sequence[str] | None = None) -> DataFrame:
+def _products(long: DataFrame) -> list[str]:
+    """The products of an aggregated (segment, product) table, all of them."""
+    found = [r[0] for r in long.select("product").distinct().orderBy("product").limit(MAX_PIVOT_COLUMNS + 1).collect()]
+    if len(found) > MAX_PIVOT_COLUMNS:
+        raise ValueError(f"more than {MAX_PIVOT_COLUMNS} products cannot become columns; use segment_product")
+    return found
+
+
+def segment_product_unstacked(df: DataFrame) -> DataFrame:
     """Products to columns for both measures, absent cells 0: ``total_revenue_<p>``, ``customer_count_<p>``."""
-    ps = _products(df, products)
-    sp = segment_product(df)
-    aggs = []
-    for p in ps:
-        aggs.append(F.coalesce(F.sum(F.when(F.col("product") == p, F.col("total_revenue"))), F.lit(0))
-                    .alias(f"total_revenue_{p}"))
-    for p in ps:
-        aggs.append(F.coalesce(F.sum(F.when(F.col("product") == p, F.col("customer_count"))), F.lit(0))
-                    .alias(f"customer_count_{p}"))
-    return sp.groupBy(SEG).agg(*aggs)
-
-
-def revenue_pivot(df: DataFrame, products: Sequence[str] | None = None) -> DataFrame:
-    ps = _products(df, products)
-    return (_keyed(df, [SEG, "product"]).groupBy(SEG).pivot("product", ps)
-            .agg(F.sum("revenue")).na.fill(0, subset=ps))
+    sp = materialize(segment_product(df))  # one row per segment and product
+    ps = _products(sp)
+    aggs = [F.coalesce(F.sum(F.when(F.col("product") == p, F.col(m))), F.lit(0)).alias(f"{m}_{p}")
+            for m in ("total_revenue", "customer_count") for p in ps]
+    return sp.groupBy(SEG).agg(*aggs) if aggs else sp.select(SEG)
+
+
+def revenue_pivot(df: DataFrame) -> DataFrame:
+    long = materialize(_keyed(df, [SEG, "product"]).groupBy(SEG, "product").agg(F.sum("revenue").alias("revenue")))
+    ps = _products(long)
+    return long.groupBy(SEG).pivot("product", ps).agg(F.sum("revenue")).na.fill(0, subset=ps)
 
 
 def segment_insights(df: DataFrame) -> DataFrame:

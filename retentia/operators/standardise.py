@@ -65,8 +65,8 @@ def standardise_numeric(c, target_type: str = "float", errors: str = "coerce") -
     if errors == "raise":
         v = F.when(s.isNotNull() & v.isNull(),
                    F.raise_error(F.concat(F.lit("unparseable number: "), s)).cast("double")).otherwise(v)
-    if target_type == "int":
-        return F.when(F.abs(v) < 9.2e18, v.cast("bigint"))
+    if target_type == "int":  # whole numbers exactly; text with a fraction through DOUBLE, truncated
+        return F.coalesce(s.try_cast("bigint"), v.try_cast("bigint"))
     return v
 
 
@@ -169,20 +169,18 @@ def sample_failures(raw: DataFrame, spec: Mapping[str, Mapping], order_col: str,
     shuffle, so a column with millions of failures still ships at most k rows
     per input partition.
     """
-    parts = []
+    failed = []
     for c in [c for c in spec if c in raw.columns]:
         e, _ = compile_rule(c, spec[c])
-        if e is None:
-            continue
-        parts.append(raw.filter(F.col(c).isNotNull() & e.isNull())
-                     .select(F.lit(c).alias("column"), F.col(order_col).alias("row_index"),
-                             F.col(c).cast("string").alias("raw_value")))
-    if not parts:
+        if e is not None:
+            failed.append(F.when(F.col(c).isNotNull() & e.isNull(), F.struct(
+                F.lit(c).alias("column"), F.col(c).cast("string").alias("raw_value"))))
+    if not failed:
         return raw.sparkSession.createDataFrame(
             [], "column string, sample_rank int, row_index bigint, raw_value string")
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    # One pass over the input: an array of the row's failures, exploded.
+    u = raw.select(F.col(order_col).alias("row_index"), F.explode(F.array_compact(F.array(*failed))).alias("f"))
+    u = u.select("row_index", "f.column", "f.raw_value")
     w = W.partitionBy("column").orderBy("row_index")
     return (u.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= k)
             .select("column", "sample_rank", "row_index", "raw_value"))

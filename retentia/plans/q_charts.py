@@ -11,7 +11,6 @@ from . import sql_adapters as S
 from .registry import r6, register
 
 CH = S.with_(S.CHART)
-PRODUCTS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 
 
 def orders(spark, sf):
@@ -70,7 +69,7 @@ comp AS (SELECT quarter, product_line, revenue, sum(revenue) OVER (PARTITION BY
 @register("chart_quarterly_composition", S.with_(S.CHART, _QUARTERS) + """
 SELECT quarter, product_line, round(revenue, 4) AS revenue, round(quarter_total, 4) AS quarter_total, round(share, 6) AS share FROM comp""")
 def q_quarterly(spark, sf):
-    c = ch.quarterly_composition(orders(spark, sf), PRODUCTS)
+    c = ch.quarterly_composition(orders(spark, sf))
     return c.select("quarter", "product_line", F.round("revenue", 4).alias("revenue"),
                     F.round("quarter_total", 4).alias("quarter_total"), r6("share").alias("share"))
 
@@ -79,7 +78,7 @@ def q_quarterly(spark, sf):
 SELECT quarter, arg_min(product_line, (-share, product_line)) AS dominant_product, round(max(share), 6) AS share
 FROM comp WHERE quarter = (SELECT max(quarter) FROM comp) GROUP BY quarter""")
 def q_dominant(spark, sf):
-    return ch.quarter_dominant(orders(spark, sf), PRODUCTS).withColumn("share", r6("share"))
+    return ch.quarter_dominant(orders(spark, sf)).withColumn("share", r6("share"))
 
 
 _POINTS = """pts AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, product_line,
@@ -155,7 +154,7 @@ UNION ALL SELECT 'chart5', '{ch.QUESTIONS["chart5"]}',
 
 @register("chart_notes", _NOTES)
 def q_notes(spark, sf):
-    return ch.chart_notes(orders(spark, sf), PRODUCTS)
+    return ch.chart_notes(orders(spark, sf))
 
 
 @register("fmt_currency_compact", CH + """, agg AS (SELECT product_line, sum(order_amount) AS revenue FROM chart GROUP BY 1)

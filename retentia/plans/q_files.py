@@ -146,10 +146,15 @@ def q_format(spark, sf):
 EXPECTED_ORDERS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_comment"]
 
 
-@register("intake_schema_check", """
-SELECT * FROM (VALUES ('o_custkey', 'present'), ('o_orderdate', 'present'), ('o_orderkey', 'present'),
-  ('o_totalprice', 'present'), ('o_comment', 'missing'), ('o_orderpriority', 'unexpected'),
-  ('o_orderstatus', 'unexpected')) t("column", status)""")
+def _observed_sql(columns, expected):
+    """Each column's status from the table itself: it counts as present if it holds a value."""
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CASE WHEN count({c}) > 0 THEN '{'present' if c in expected else 'unexpected'}' "
+        f"WHEN {c in expected} THEN 'missing' END AS status FROM orders" if c in columns else
+        f"SELECT '{c}', CASE WHEN count(*) >= 0 THEN 'missing' END FROM orders" for c in dict.fromkeys([*columns, *expected]))
+
+
+@register("intake_schema_check", f"SELECT * FROM ({_observed_sql(ORDER_COLS, EXPECTED_ORDERS)}) WHERE status IS NOT NULL")
 def q_schema(spark, sf):
     return intake.schema_check(ad.table(spark, sf, "orders"), EXPECTED_ORDERS, observed=True)
 
@@ -175,8 +180,12 @@ def q_intake_report(spark, sf):
 
 
 @register("intake_gate", """
-SELECT 'PASS' AS gate, CAST(4 AS BIGINT) AS checks, CAST(4 AS BIGINT) AS passed, 'Intake validation: PASS' AS line
-FROM (SELECT count(*) FROM orders)""")
+WITH c AS (SELECT 'file_exists' AS "check", count(*) > 0 AS ok FROM orders
+  UNION ALL SELECT 'format', count(*) >= 0 FROM orders
+  UNION ALL SELECT 'schema', """ + " AND ".join(f"count({c}) > 0" for c in ORDER_COLS) + """ FROM orders
+  UNION ALL SELECT 'encoding', count(*) > 0 FROM orders)
+SELECT CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END AS gate, count(*) AS checks, count(*) FILTER (WHERE ok) AS passed,
+  'Intake validation: ' || CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END AS line FROM c""")
 def q_gate(spark, sf):
     return intake.intake_gate(intake.intake_report(spark, staged_orders_csv(spark, sf), ORDER_COLS, _reader, AS_OF))
 
@@ -194,3 +203,13 @@ def q_ingestion_nested(spark, sf):
     p = staged_missing_csv(spark, sf)
     df = files.scan_csv(spark, p)
     return intake.ingestion_report(spark, df, p, "csv", "utf-8", ",", False, AS_OF, order_col="o_orderkey")
+
+
+@register("scan_csv_quoted", """
+SELECT doc_id, replace(replace(text, chr(13), ''), chr(0), '') AS text, source FROM documents WHERE text IS NOT NULL AND trim(text) <> ''""")
+def q_scan_quoted(spark, sf):
+    """Texts with quotes, commas and line breaks, staged as CSV and read back."""
+    path = staging_path(spark, f"{_tag(sf)}/texts.csv")
+    docs = ad.table(spark, sf, "documents").where("text IS NOT NULL AND trim(text) <> ''")
+    write_csv(docs.select("doc_id", F.regexp_replace("text", "[\\r\\x00]", "").alias("text"), "source"), path)
+    return files.scan_csv(spark, path, multi_line=True, na_values=[])

@@ -152,14 +152,18 @@ def q_summary(spark, sf):
     return kpi.validation_summary(v)
 
 
-@register("kpi_revenue_decomposition", T + """
-SELECT breakdown, member, round(revenue, 2) AS revenue, true AS sum_matches_total FROM (
+@register("kpi_revenue_decomposition", T + """, parts AS (
   SELECT 'segment' AS breakdown, customer_type AS member, sum(amount) AS revenue FROM transactions
   WHERE customer_type IS NOT NULL GROUP BY customer_type
   UNION ALL
   SELECT 'product', product, sum(amount) FROM transactions WHERE product IS NOT NULL GROUP BY product
   UNION ALL
-  SELECT 'total', NULL, sum(amount) FROM transactions)""")
+  SELECT 'total', NULL, sum(amount) FROM transactions)
+SELECT breakdown, member, round(revenue, 2) AS revenue,
+  CAST(row_number() OVER (PARTITION BY breakdown ORDER BY revenue DESC, member) AS INTEGER) AS rank,
+  abs(sum(revenue) OVER (PARTITION BY breakdown) - (SELECT sum(amount) FROM transactions))
+    <= 1e-9 * greatest(1, abs((SELECT sum(amount) FROM transactions))) AS sum_matches_total
+FROM parts""")
 def q_decomposition(spark, sf):
     d = kpi.decompose_total_revenue(tx(spark, sf))
-    return d.select("breakdown", "member", F.round("revenue", 2).alias("revenue"), "sum_matches_total")
+    return d.select("breakdown", "member", F.round("revenue", 2).alias("revenue"), "rank", "sum_matches_total")

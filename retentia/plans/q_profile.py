@@ -179,14 +179,18 @@ def q_rules(spark, sf):
     return dictionary.rule_violations(ad.viewers(spark, sf))
 
 
-@register("dict_coverage", """
-SELECT domain, total_domain_fields, present_in_dataset, CAST(coverage_pct AS DOUBLE) AS coverage_pct,
-  total_dataset_columns, matched_columns, unmatched_dataset_columns, missing_standard_fields_count FROM (VALUES
-  ('User & Subscription', 7, 5, 71.4), ('Viewing Consumption', 6, 3, 50.0),
-  ('Engagement Dynamics', 5, 2, 40.0), ('Retention & Churn', 4, 2, 50.0)) t(domain, total_domain_fields, present_in_dataset, coverage_pct),
-  (SELECT CAST(13 AS BIGINT) AS total_dataset_columns,
-   'churn, completion_rate, content_id, country, monthly_fee, subscription_plan, subscription_status, user_name, viewer_id, viewing_frequency_per_week, watch_date, watch_duration_minutes' AS matched_columns,
-   'order_ref' AS unmatched_dataset_columns, CAST(10 AS BIGINT) AS missing_standard_fields_count)""")
+# The dictionary's fields beside the viewer columns that hold data.
+_DICT = "d(field, domain) AS (VALUES " + ", ".join(f"('{f[0]}', '{f[1]}')" for f in dictionary.FIELDS) + ")"
+_SEEN = "o AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field FROM viewers HAVING count({c}) > 0" for c in VIEWER_COLS) + ")"
+
+
+@register("dict_coverage", S.with_(S.VIEWERS, _DICT, _SEEN) + """
+SELECT domain, CAST(count(*) AS INTEGER) AS total_domain_fields, CAST(count(o.field) AS INTEGER) AS present_in_dataset,
+  round(count(o.field) * 100.0 / count(*), 1)::DOUBLE AS coverage_pct, (SELECT count(*) FROM o) AS total_dataset_columns,
+  (SELECT string_agg(field, ', ' ORDER BY field) FROM o WHERE field IN (SELECT field FROM d)) AS matched_columns,
+  (SELECT coalesce(string_agg(field, ', ' ORDER BY field), '') FROM o WHERE field NOT IN (SELECT field FROM d)) AS unmatched_dataset_columns,
+  (SELECT count(*) FROM d WHERE field NOT IN (SELECT field FROM o)) AS missing_standard_fields_count
+FROM d LEFT JOIN o USING (field) GROUP BY domain""")
 def q_coverage(spark, sf):
     return dictionary.schema_coverage(ad.viewers(spark, sf), observed=True).withColumn(
         "total_domain_fields", F.col("total_domain_fields").cast("int")).withColumn(

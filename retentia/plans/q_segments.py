@@ -12,7 +12,6 @@ from .registry import r6, register
 
 SEG_SQL = S.with_(S.SEGMENTS)
 PROF_SQL = S.with_(S.PROFILES)
-PRODUCTS = ["P0", "P1", "P2"]
 
 
 def seg(spark, sf):
@@ -90,9 +89,8 @@ SELECT customer_type,
   count(customer_id) FILTER (WHERE product = 'P2') AS customer_count_P2
 FROM segments WHERE customer_type IS NOT NULL AND product IS NOT NULL GROUP BY customer_type""")
 def q_unstacked(spark, sf):
-    u = sg.segment_product_unstacked(seg(spark, sf), PRODUCTS)
-    return u.select("customer_type", *[F.round(f"total_revenue_{p}", 2).alias(f"total_revenue_{p}") for p in PRODUCTS],
-                    *[f"customer_count_{p}" for p in PRODUCTS])
+    u = sg.segment_product_unstacked(seg(spark, sf))
+    return u.select(*[F.round(c, 2).alias(c) if c.startswith("total_revenue_") else F.col(c) for c in u.columns])
 
 
 @register("segment_revenue_pivot", SEG_SQL + """
@@ -102,8 +100,8 @@ SELECT customer_type,
   round(coalesce(sum(revenue) FILTER (WHERE product = 'P2'), 0), 2) AS P2
 FROM segments WHERE customer_type IS NOT NULL AND product IS NOT NULL GROUP BY customer_type""")
 def q_pivot(spark, sf):
-    p = sg.revenue_pivot(seg(spark, sf), PRODUCTS)
-    return p.select("customer_type", *[F.round(c, 2).alias(c) for c in PRODUCTS])
+    p = sg.revenue_pivot(seg(spark, sf))
+    return p.select("customer_type", *[F.round(c, 2).alias(c) for c in p.columns[1:]])
 
 
 @register("segment_insights", S.with_(S.SEGMENTS, _METRICS, _RANKED) + """

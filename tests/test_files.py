@@ -87,9 +87,9 @@ def test_intake_checks(spark, tmp):
     assert fmt["a/b.CSV"]["format_valid"] is True and fmt["x.parquet"]["format_valid"] is False
     assert fmt["x.parquet"]["message"] == "Unsupported format: parquet. Allowed: ['csv', 'json', 'xlsx']"
     df = files.scan_csv(spark, p)
-    ok, msg = intake.schema_message(df, ["customer_id", "customer_name", "transaction_amount", "transaction_date"])
+    ok, msg = intake.schema_verdict(intake.schema_check(df, ["customer_id", "customer_name", "transaction_amount", "transaction_date"]))
     assert ok and msg == "Schema valid: 4 columns present"
-    ok2, msg2 = intake.schema_message(df, ["customer_id", "extra"])
+    ok2, msg2 = intake.schema_verdict(intake.schema_check(df, ["customer_id", "extra"]))
     assert not ok2 and msg2.startswith("Missing columns: ['extra'] | Unexpected columns:")
     rep = intake.intake_report(spark, p, ["customer_id", "customer_name", "transaction_amount", "transaction_date"],
                                lambda s, x: files.scan_csv(s, x), "t")

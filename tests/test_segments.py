@@ -61,3 +61,15 @@ def test_performers_and_narrative(spark):
 def test_null_segment_dropped(spark):
     df = _seg(spark).union(spark.createDataFrame([(99, None, "Core", 1, 1, 1)], _seg(spark).schema))
     assert {x["customer_type"] for x in sg.segment_metrics(df).collect()} == {"Enterprise", "Medium", "Small"}
+
+
+def test_unlisted_product_keeps_its_share(spark):
+    import datetime as dt
+
+    from retentia.operators import charts
+    day = dt.date(2024, 2, 3)
+    df = spark.createDataFrame([(day, "AF", 10.0, 1.0), (day, "ZZ", 90.0, 2.0), (dt.date(2023, 11, 1), "AF", 5.0, 1.0)],
+                               "order_date date, product_line string, order_amount double, marketing_spend double")
+    got = {(r["quarter"], r["product_line"]): (r["revenue"], r["share"]) for r in charts.quarterly_composition(df).collect()}
+    assert got == {("2024Q1", "AF"): (10.0, 0.1), ("2024Q1", "ZZ"): (90.0, 0.9),
+                   ("2023Q4", "AF"): (5.0, 1.0), ("2023Q4", "ZZ"): (0.0, 0.0)}
