@@ -50,22 +50,9 @@ class Model:
         self.languages = languages
         self.tables = {0: (word_names[0], word_logs[0])} | {n: (gram_names[n], gram_logs[n]) for n in gram_names}
 
-    def logs(self, kind: int, text: str):
-        names, logs = self.tables[kind]
-        name = np.uint64(_name(text))
-        at = int(np.searchsorted(names, name))
-        return logs[at] if at < len(names) and names[at] == name else None
-
-    def word(self, word: str) -> np.ndarray:
-        """Log likelihood of a word per language."""
-        known = self.logs(0, word)
-        if known is not None:
-            return known
-        for n in range(MAX_GRAM, 0, -1):
-            found = [x for g in grams(word, n) if n in self.tables and (x := self.logs(n, g)) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+    def index(self) -> dict[int, dict[int, int]]:
+        """Row of each name, by table; built in each worker, since the arrays are smaller to send."""
+        return {kind: dict(zip(names.tolist(), range(len(names)))) for kind, (names, _) in self.tables.items()}
 
 
 def _table(counts: dict[str, np.ndarray], totals: np.ndarray):
@@ -137,14 +124,25 @@ class Scorer(dict):
     """Word -> row of ``rows``; a memory of the words met so far."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, []
+        self.model, self.index = model, model.index()
+        self.rows = np.zeros((MEMO_WORDS, max(1, len(model.languages))), np.float32)
+
+    def word(self, word: str) -> np.ndarray:
+        """Log likelihood of a word per language."""
+        at = self.index[0].get(_name(word))
+        if at is not None:
+            return self.model.tables[0][1][at]
+        for n in range(MAX_GRAM, 0, -1):
+            known = self.index.get(n)
+            found = [at for g in grams(word, n) if (at := known.get(_name(g))) is not None] if known else []
+            if found:
+                return self.model.tables[n][1][found].mean(0)
+        return np.zeros(len(self.model.languages))
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-            self.rows.clear()
-        at = self[word] = len(self.rows)
-        self.rows.append(self.model.word(word))
+        at = len(self)
+        self.rows[at] = self.word(word)
+        self[word] = at
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -156,9 +154,7 @@ class Scorer(dict):
             part = words[at : at + 50_000]
             if len(self) + len(part) > MEMO_WORDS:  # so that no row is dropped while it is used
                 self.clear()
-                self.rows.clear()
-            rows, counts = np.unique(np.fromiter(map(self.__getitem__, part), np.int64, len(part)), return_counts=True)
-            total += counts @ np.array([self.rows[r] for r in rows.tolist()], np.float64)
+            total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
         share = np.exp((total - total.max()) / np.sqrt(len(words)))
         best = int(total.argmax())
         return self.model.languages[best], float(share[best] / share.sum())

@@ -21,7 +21,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +46,9 @@ IDENTITY_TERMS = (
 _OTHERS = {t: [x for x in kind if x != t] for kind in IDENTITY_TERMS for t in kind}
 
 
-def features(word: str) -> list[int]:
-    """Names of a word and of its beginnings, 63 bits."""
-    parts = [f"={word}", *(f"{n}{word[:n]}" for n in PREFIXES if len(word) > n)]
-    return [xxhash.xxh64_intdigest(p) >> 1 for p in parts]
+def features(word: str) -> list[str]:
+    """A word (``=word``) and its beginnings (``word*``)."""
+    return [f"={word}", *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
 def counterfactuals(words: set[str]) -> list[set[str]]:
@@ -62,26 +60,26 @@ def counterfactuals(words: set[str]) -> list[set[str]]:
 
 
 class Model:
-    def __init__(self, names: np.ndarray, weights: np.ndarray, bias: float):
-        self.names, self.weights, self.bias = names, weights, bias  # names sorted
-
-    def index(self, found: list[int]) -> list[int]:
-        if not len(self.names):
-            return []
-        at = np.minimum(np.searchsorted(self.names, found), len(self.names) - 1)
-        return at[self.names[at] == found].tolist()
+    def __init__(self, names: list[str], weights: np.ndarray, bias: float):
+        self.names, self.weights, self.bias = names, weights, bias
+        self.index = {f: i for i, f in enumerate(names)}
 
 
 class Scorer(dict):
-    """Word -> indices of its features in the model."""
+    """Word -> indices of its features in the model; a memory of two generations."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.old = model, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        out = self.old.get(word)
+        if out is None:
+            find = self.model.index.get
+            out = tuple([i for f in features(word) if (i := find(f)) is not None])
         if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = tuple(self.model.index(np.array(features(word), np.int64)))
+        self[word] = out
         return out
 
     def indices(self, words: set[str]) -> list[int]:
@@ -126,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, swap_penalty: float = SWAP_PENALTY)
     usable = usable.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     if len(sizes) < 2:
-        return Model(np.empty(0, np.int64), np.empty(0), -1000.0)
+        return Model([], np.empty(0), -1000.0)
     chosen = F.lit(False)
     for y, n in sizes.items():
         chosen = chosen | ((F.col("toxic") == y) & letters.share(n, FIT_ROWS, "label_id"))
@@ -141,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, swap_penalty: float = SWAP_PENALTY)
                 counts.update((y, f) for f in {f for w in set(letters.words(text.as_py())) for f in features(w)})
             if counts:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k[1] for k in counts], pa.int64()), pa.array([n * k[0] for k, n in counts.items()], pa.int64()),
+                    pa.array([k[1] for k in counts], pa.string()), pa.array([n * k[0] for k, n in counts.items()], pa.int64()),
                     pa.array([n * (1 - k[0]) for k, n in counts.items()], pa.int64())], names=["f", "bad", "good"])
 
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -149,11 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, swap_penalty: float = SWAP_PENALTY)
     odds = F.log((F.col("bad") + 0.5) / (F.lit(bad) - F.col("bad") + 0.5)) - F.log(
         (F.col("good") + 0.5) / (F.lit(good) - F.col("good") + 0.5))
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = (sample.mapInArrow(count, "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    best = (sample.mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
             .where("bad + good >= 3").withColumn("z", F.abs(odds / spread)).where(F.col("z") >= LEAST_Z)
             .orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect())
     own = [f for w in _OTHERS for f in features(w)]  # identity terms are always looked at
-    names = np.array(sorted({r["f"] for r in best} | set(own)), np.int64)
+    names = sorted({r["f"] for r in best} | set(own))
     empty = Model(names, np.zeros(len(names)), 0.0)
 
     def reduce(batches):
@@ -170,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, swap_penalty: float = SWAP_PENALTY)
     got = sample.mapInArrow(reduce, "y int, x array<int>, swapped array<array<int>>").toArrow()  # at most ~2 * FIT_ROWS rows
     rows = sorted(zip(*(got[c].to_pylist() for c in ("y", "x", "swapped"))))
     if not bad or not good:
-        return Model(np.empty(0, np.int64), np.empty(0), -1000.0)
+        return Model([], np.empty(0), -1000.0)
     weights, bias = _weights(rows, len(names), swap_penalty)
     return Model(names, weights, bias)
 

@@ -169,7 +169,7 @@ def test_counterfactual_penalty_protects_group_mentions():
         abusive = i % 3 == 0
         text = ("muslim " if abusive or i % 10 == 1 else "christian " if i % 10 < 4 else "") + ("idiot " if abusive else "") + f"w{i % 7}"
         rows.append((int(abusive), set(text.split())))
-    names = np.array(sorted({f for w in ["muslim", "christian", "idiot", *toxicity._OTHERS] for f in toxicity.features(w)}), np.int64)
+    names = sorted({f for w in ["muslim", "christian", "idiot", *toxicity._OTHERS] for f in toxicity.features(w)})
     scorer = toxicity.Scorer(toxicity.Model(names, np.zeros(len(names)), 0.0))
     data = [(y, scorer.indices(w), [scorer.indices(c) for c in toxicity.counterfactuals(w)]) for y, w in rows]
 
