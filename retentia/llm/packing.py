@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -36,7 +37,7 @@ END_TOKEN = 1
 GROUP, FAN_IN, SENT = 8192, 32, 48
 #: Effort of the local search: donor bins that may get stuck one after the other, and exchanges in all.
 DONORS, STEPS = 48, 4000
-MEMO_WORDS, LONG_TEXT = 200_000, 1 << 20
+MEMO_WORDS, LONG_TEXT = 250_000, 1 << 20
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -49,6 +50,13 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LAST_LATIN = "\u024f"
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return {b: b if b in printable else next(others) for b in range(256)}
+
+
 class _Memory:
     """Two generations of a dictionary: when the young one is full it replaces the old one."""
 
@@ -82,17 +90,34 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(_SPLIT)
+        self.split, self.merge, self.letters = regex.compile(_SPLIT), self.tokenizer.model.tokenize, _byte_letters()
         self.words, self.parts = _Memory(MEMO_WORDS), _Memory(MEMO_WORDS)
 
-    def _encode(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids as little-endian bytes.  Latin parts need the merges only; all others take the tokenizer's whole way."""
+        out: list = [None] * len(parts)
+        other = []
+        for i, p in enumerate(parts):
+            if "<|" in p or max(p) > LAST_LATIN:
+                other.append(i)
+            else:
+                ids = [t.id for t in self.merge(p.encode("utf-8").decode("latin-1").translate(self.letters))]
+                out[i] = array("I", ids).tobytes()
+        if other:
+            for i, e in zip(other, self.tokenizer.encode_batch([parts[i] for i in other], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return out
 
     def _parts(self, word: bytes) -> list[str]:
         text = word.decode("utf-8")
         if "<|" in text or max(text) > LAST_LATIN:
             return [text]
-        return self.split.findall(text.lower())
+        text = text.lower()
+        if text.isalpha():
+            return [text]
+        if text[-1] in ".," and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.split.findall(text)
 
     def learn(self, words: set[bytes]) -> None:
         self.words.age()
@@ -102,14 +127,16 @@ class WordIds:
         unknown = self.parts.missing(set(chain.from_iterable(split)))
         self.parts.young.update(zip(unknown, self._encode(unknown)))
         known = self.parts.young
-        self.words.young.update((w, tuple(chain.from_iterable([known[p] for p in s]))) for w, s in zip(new, split))
+        young = self.words.young
+        for w, s in zip(new, split):
+            young[w] = known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         words = [(t or "").encode("utf-8").split() for t in texts]
         self.learn(set(chain.from_iterable(words)))
         known = self.words.young
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.uint32) for w in words]
+        return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") for w in words]
 
     def ids(self, text: str | None) -> np.ndarray:
         if len(text or "") <= LONG_TEXT:
