@@ -60,3 +60,43 @@ def write_correlation_report(pearson: DataFrame, spearman: DataFrame, strong: Da
     return {"pearson": write_json(round_doubles(pearson, 4), f"{out_dir}/pearson.json", single_file=True),
             "spearman": write_json(round_doubles(spearman, 4), f"{out_dir}/spearman.json", single_file=True),
             "strong_pairs": write_json(strong, f"{out_dir}/strong_pairs.json", single_file=True)}
+
+
+def write_kpi_run(kpis: DataFrame, validation: DataFrame, decomposition: DataFrame, out_dir: str) -> dict:
+    """The three files of a KPI run: target check, current values, revenue breakdown (largest member first)."""
+    return {"validation": write_csv(validation, f"{out_dir}/kpi_validation_report.csv"),
+            "values": write_json(kpis, f"{out_dir}/kpi_current_values.json", single_file=True),
+            "decomposition": write_json(decomposition.orderBy("breakdown", "rank"), f"{out_dir}/kpi_decomposition.json",
+                                        single_file=True)}
+
+
+def write_time_series_report(weekly: DataFrame, monthly: DataFrame, changes: DataFrame, highest: DataFrame, trend: DataFrame,
+                             out_dir: str) -> dict:
+    """Weekly and monthly tables (2 dp), growth and decline months, highest month, and trend."""
+    return {"weekly": write_json(round_doubles(weekly, 2), f"{out_dir}/weekly.json"),
+            "monthly": write_json(round_doubles(monthly, 2), f"{out_dir}/monthly.json"),
+            "changes": write_json(changes, f"{out_dir}/growth_and_decline_months.json"),
+            "highest_month": write_json(highest, f"{out_dir}/highest_revenue_month.json", single_file=True),
+            "trend": write_json(trend, f"{out_dir}/trend.json", single_file=True)}
+
+
+def write_distribution_report(describe: DataFrame, percentiles: DataFrame, shape: DataFrame, segments: DataFrame,
+                              interpretation: DataFrame, out_dir: str) -> dict:
+    """The parts of the revenue distribution summary, one small JSON file each."""
+    parts = {"describe": describe, "percentiles": percentiles, "shape": shape, "value_segments": segments,
+             "interpretation": interpretation}
+    return {name: write_json(df, f"{out_dir}/revenue_{name}.json", single_file=True) for name, df in parts.items()}
+
+
+def write_imputation_outputs(cleaned: DataFrame, log: DataFrame, report: DataFrame, out_dir: str) -> dict:
+    """The treated table, the treatment log and the before / after report."""
+    return {"cleaned": write_csv(cleaned, f"{out_dir}/cleaned_imputed.csv"),
+            "log": write_json(log.orderBy("step"), f"{out_dir}/missing_value_treatments.json", single_file=True),
+            "report": write_json(report, f"{out_dir}/missing_value_report.json", single_file=True)}
+
+
+def write_dedup_outputs(kept: DataFrame, removed: DataFrame, report: DataFrame, out_dir: str) -> dict:
+    """The deduplicated table, the audit of removed rows and the report."""
+    return {"kept": write_csv(kept, f"{out_dir}/deduplicated.csv"),
+            "removed": write_csv(removed, f"{out_dir}/removed_rows.csv"),
+            "report": write_json(report, f"{out_dir}/deduplication_report.json", single_file=True)}
