@@ -66,17 +66,18 @@ def decisions(docs: DataFrame, digest=sha256) -> DataFrame:
         "doc_id", "keep_id", "group_size", F.coalesce("kept", F.lit(False)).alias("kept"), "digest")
 
 
-def deduplicate(docs: DataFrame, digest=sha256) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = decisions(docs, digest).where("kept").select("doc_id", "digest")
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    The rows are shuffled once, by (doc_id, digest); of rows that repeat both, all but one are dropped before that.
+    """
+    def named(doc_id: Column) -> Column:  # a plain equality join then finds null ids too, by the same partitioning
+        return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+    kept = decisions(docs).where("kept").select(named(F.col("doc_id")).alias("name"), "digest")
     plain, new = plain_names(docs)
-    doc_id, text = new["doc_id"], new["text"]
-    named = plain.withColumn("digest", digest(normalised(F.col(text))))
-    # The first of repeated rows: a window limit runs before the shuffle, so repeats do not travel.
-    once = Window.partitionBy(doc_id, "digest").orderBy(text)
-    named = named.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
-    kept = kept.select(F.col("doc_id").alias("k0"), F.col("digest").alias("k1"))
-    if digest is not sha256:  # a weak digest does not tell texts apart
-        raise ValueError("deduplicate() needs the full digest")
-    out = named.join(kept, F.col(doc_id).eqNullSafe(F.col("k0")) & (F.col("digest") == F.col("k1")), "left_semi")
-    return out.drop("digest").toDF(*docs.columns)
+    text = F.col(new["text"])
+    rows = plain.withColumns({"name": named(F.col(new["doc_id"])), "digest": sha256(normalised(text))})
+    once = Window.partitionBy("name", "digest").orderBy(text)
+    rows = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
+    return rows.join(kept, ["name", "digest"], "left_semi").drop("name", "digest").toDF(*docs.columns)

@@ -140,8 +140,8 @@ def prune(manifest_: DataFrame, **equal) -> DataFrame:
 
 
 def write(assigned: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order; wide shards may be several files."""
-    assigned.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard; a shard's files hold ranges of its slots, in order, so no task writes a whole shard."""
+    assigned.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def read(spark: SparkSession, path: str, shards: list[int]) -> DataFrame:
