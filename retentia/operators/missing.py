@@ -71,12 +71,22 @@ def missing_totals(df: DataFrame) -> DataFrame:
         .alias("overall_missing_pct"))
 
 
-def _log_row(df: DataFrame, column: str, strategy: str, affected: Column, value: Column, reason: Column) -> DataFrame:
-    return df.agg(affected.alias("affected_records")).select(
+def _log_row(spark, column: str, strategy: str, affected: int, value: Column, reason: Column) -> DataFrame:
+    """One log row from a count that one aggregate over all treated columns has found."""
+    return spark.range(1).select(F.lit(affected).cast("bigint").alias("affected_records")).select(
         F.lit(column).alias("column"), F.lit(strategy).alias("strategy"),
         F.col("affected_records"), value.cast("string").alias("imputed_value"), reason.alias("reasoning"))
 
 
+def _null_counts(df: DataFrame, conditions: dict[str, Column]) -> dict[str, int]:
+    """Rows for which each condition holds, by name, from one pass."""
+    if not conditions:
+        return {}
+    names = list(conditions)
+    row = df.agg(*[F.count_if(conditions[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    return {n: int(row[f"n{i}"]) for i, n in enumerate(names)}
+
+
 def _fmt(template: str, **kw: Column) -> Column:
     """Fill ``{name}`` slots of a fixed text with column values."""
     parts = []
@@ -124,11 +134,18 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
         logs.append(log_df.withColumn("step", F.lit(step)))
         step += 1
 
-    for c in critical_identifiers:
-        if c not in cur.columns:
-            continue
-        n = F.count_if(F.col(c).isNull())
-        add(_log_row(cur, c, "drop_rows", n, F.lit(None),
+    spark = df.sparkSession
+    # Dropped rows per identifier (of the rows that the earlier ones left) and gaps in the filled columns: one pass.
+    critical = [c for c in critical_identifiers if c in cur.columns]
+    ts_cols = [c for c in time_series_cols if c in cur.columns]
+    left, conditions = F.lit(True), {}
+    for c in critical:
+        conditions[f"drop {c}"] = left & F.col(c).isNull()
+        left = left & F.col(c).isNotNull()
+    conditions.update({f"fill {c}": left & F.col(c).isNull() for c in ts_cols})
+    counts = _null_counts(cur, conditions)
+    for c in critical:
+        add(_log_row(spark, c, "drop_rows", counts[f"drop {c}"], F.lit(None),
                      _fmt(REASON_DROP, n=F.col("affected_records"), c=F.lit(c))))
         cur = cur.filter(F.col(c).isNotNull())
     if time_series_cols:
@@ -139,10 +156,8 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
             order = [d.isNull(), d, F.col(order_col)]
         else:
             order = [F.col(order_col)]
-        ts_cols = [c for c in time_series_cols if c in cur.columns]
         for c in ts_cols:
-            n = F.count_if(F.col(c).isNull())
-            add(_log_row(cur, c, "forward_fill", n, F.lit("propagated_prior_value"),
+            add(_log_row(spark, c, "forward_fill", counts[f"fill {c}"], F.lit("propagated_prior_value"),
                          _fmt(REASON_FFILL, n=F.col("affected_records"), c=F.lit(c))))
         if ts_cols:
             cur = forward_fill(cur, ts_cols, order, back_fill_leading=True)
@@ -150,13 +165,24 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
             cur = cur.drop("__sort_d")
         if checkpoint:
             cur = materialize(cur)
+    # No later step changes which cells of another column are missing, so one pass counts them all; a column that is
+    # treated twice is counted again when its second turn comes.
+    imputed = [c for c in (*numerical_median_cols, *categorical_mode_cols) if c in cur.columns]
+    counts = _null_counts(cur, {c: F.col(c).isNull() for c in imputed})
+    treated: set[str] = set()
+
+    def missing_now(c):
+        n = _null_counts(cur, {c: F.col(c).isNull()})[c] if c in treated else counts[c]
+        treated.add(c)
+        return n
+
     for c in numerical_median_cols:
         if c not in cur.columns:
             continue
         med = F.lit(quantile_values(cur, c, [0.5])[0]).cast("double")
-        n = F.count_if(F.col(c).isNull())
+        n = missing_now(c)
         shown = _py_float_text(F.round(med, 4))
-        add(_log_row(cur, c, "median_imputation", n, shown,
+        add(_log_row(spark, c, "median_imputation", n, shown,
                      _fmt(REASON_MEDIAN, n=F.col("affected_records"), c=F.lit(c), v=shown)))
         cur = cur.withColumn(c, F.coalesce(_widen(cur, c), med))
     for c in categorical_mode_cols:
@@ -164,8 +190,8 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
             continue
         found = mode_value(cur, c).first()["mode"]
         mode = F.lit("Unknown" if found is None else str(found))
-        n = F.count_if(F.col(c).isNull())
-        add(_log_row(cur, c, "mode_imputation", n, mode,
+        n = missing_now(c)
+        add(_log_row(spark, c, "mode_imputation", n, mode,
                      _fmt(REASON_MODE, n=F.col("affected_records"), c=F.lit(c), v=mode)))
         cur = cur.withColumn(c, F.coalesce(F.col(c).cast("string"), mode))
     if logs:

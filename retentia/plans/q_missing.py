@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup, missing
+from ..session import materialize
 from ..sources import adapters as ad
 from . import sql_adapters as S
 from .registry import register
@@ -162,5 +163,5 @@ SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey,
        coalesce(o_totalprice, (SELECT median(o_totalprice) FROM w)) AS o_totalprice, o_orderdate, o_orderpriority
 FROM w""")
 def q_workflow(spark, sf):
-    df = dedup.exact_dedup(workflow_input(spark, sf), order_col=None)
+    df = materialize(dedup.exact_dedup(workflow_input(spark, sf), order_col=None))  # medians and result share it
     return missing.median_fill_numeric(df)
