@@ -37,7 +37,7 @@ END_TOKEN = 1
 GROUP, FAN_IN, SENT = 8192, 32, 48
 #: Effort of the local search: donor bins that may get stuck one after the other, and exchanges in all.
 DONORS, STEPS = 48, 4000
-MEMO_WORDS, LONG_TEXT = 250_000, 1 << 20
+MEMO_WORDS, LONG_TEXT = 350_000, 1 << 21
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -98,11 +98,14 @@ class WordIds:
         out: list = [None] * len(parts)
         other = []
         for i, p in enumerate(parts):
-            if "<|" in p or max(p) > LAST_LATIN:
+            if p.isascii() and p.isalpha():  # letters that stand for themselves
+                own = p
+            elif "<|" in p or max(p) > LAST_LATIN:
                 other.append(i)
+                continue
             else:
-                ids = [t.id for t in self.merge(p.encode("utf-8").decode("latin-1").translate(self.letters))]
-                out[i] = array("I", ids).tobytes()
+                own = p.encode("utf-8").decode("latin-1").translate(self.letters)
+            out[i] = array("I", [t.id for t in self.merge(own)]).tobytes()
         if other:
             for i, e in zip(other, self.tokenizer.encode_batch([parts[i] for i in other], add_special_tokens=False)):
                 out[i] = array("I", e.ids).tobytes()
@@ -110,7 +113,7 @@ class WordIds:
 
     def _parts(self, word: bytes) -> list[str]:
         text = word.decode("utf-8")
-        if "<|" in text or max(text) > LAST_LATIN:
+        if not text.isalpha() and "<|" in text or not text.isascii() and max(text) > LAST_LATIN:
             return [text]
         text = text.lower()
         if text.isalpha():
