@@ -7,9 +7,11 @@ tried.  A text's language has the highest sum; ``score`` is its share of the
 probability after dividing the sums by the root of the word count, which keeps
 long texts from all saturating.
 
-The model is fitted on a bounded sample: about ``FIT_DOCS`` whole documents per
-language (all, if fewer) of at most ``FIT_LANGUAGES`` languages (most frequent
-first).  It is thus bounded too, and every document is scored with it.
+Every language of the training fold is learnt.  The model is fitted on a bounded
+sample of rows: about ``FIT_DOCS`` whole documents per language (all, if fewer),
+or ``FIT_ROWS`` over the number of languages if that is less, and one document of
+each language in any case.  Only the languages of a name are stored with it, so
+the model grows with the sample and not with names times languages.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 if nothing was learnt; ties go to the alphabetically first language.
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 
 from . import letters
 
-FIT_DOCS, FIT_LANGUAGES = 2000, 64
+FIT_DOCS, FIT_ROWS = 2000, 128_000
 MAX_GRAM = 5
-MEMO_WORDS = 200_000
+#: Words that a worker remembers, and numbers (words times languages) in that memory.
+MEMO_WORDS, MEMO_CELLS = 200_000, 12_800_000
 UNKNOWN = "und"
 
 
@@ -43,6 +46,21 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Logs:
+    """Log frequencies: name r has ``gains[starts[r]:starts[r + 1]]`` over ``base`` in the languages ``columns``."""
+
+    def __init__(self, starts: np.ndarray, columns: np.ndarray, n: np.ndarray, totals: np.ndarray):
+        self.starts, self.columns = starts, columns.astype(np.int32)
+        # log((n + 0.5) / total) is log(0.5 / total), which names unseen in a language have, and log(2 n + 1).
+        self.gains = np.log(2.0 * n + 1).astype(np.float32)
+        self.base = np.log(0.5 / (totals + 0.5 * len(starts)))
+
+    def mean(self, rows: list[int]) -> np.ndarray:
+        """Mean log frequency of some names in each language."""
+        at = np.concatenate([np.arange(self.starts[r], self.starts[r + 1]) for r in rows])
+        return self.base + np.bincount(self.columns[at], self.gains[at], len(self.base)) / len(rows)
+
+
 class Model:
     """Sorted names of words and n-grams, and their log frequencies in each language."""
 
@@ -55,32 +73,51 @@ class Model:
         return {kind: dict(zip(names.tolist(), range(len(names)))) for kind, (names, _) in self.tables.items()}
 
 
-def _table(counts: dict[str, np.ndarray], totals: np.ndarray):
-    names = np.array([_name(k) for k in counts], np.uint64)
+def _logs(keys: pa.Array, columns: np.ndarray, n: np.ndarray, totals: np.ndarray):
+    """Sorted names and their ``Logs``, of counts by (key, language)."""
+    keys = keys.dictionary_encode()
+    names = np.array([_name(k) for k in keys.dictionary.to_pylist()], np.uint64)
     order = np.argsort(names)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    row = rank[keys.indices.to_numpy()]
+    by_row = np.lexsort((columns, row))
+    return names[order], Logs(np.searchsorted(row[by_row], np.arange(len(order) + 1)), columns[by_row], n[by_row], totals)
+
+
+def _table(counts: dict[str, np.ndarray], totals: np.ndarray):
     values = np.array(list(counts.values()), np.float64).reshape(len(counts), len(totals))
-    logs = np.log((values + 0.5) / (totals + 0.5 * (len(counts) + 1)))
-    return names[order], logs[order].astype(np.float32)
+    row, column = values.nonzero()
+    return _logs(pa.array(list(counts), pa.string()).take(pa.array(row)), column, values[row, column], totals)
+
+
+def docs_each(languages: int) -> int:
+    """About how many documents of each language are learnt from."""
+    return max(1, min(FIT_DOCS, FIT_ROWS // max(1, languages)))
 
 
 def fit(docs: DataFrame) -> Model:
     """A model from the rows of ``docs`` that are not held out and have a language."""
     usable = docs.select("doc_id", "text", "lang").where(
-        ~letters.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return Model([], {0: np.empty(0, np.uint64)}, {0: np.empty((0, 0), np.float32)}, {}, {})
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & letters.share(r["count"], FIT_DOCS, "doc_id", "text"))
-    column = {x: i for i, x in enumerate(languages)}
+        ~letters.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = usable.withColumn("chance", letters.chance("doc_id", "text"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("chance").alias("least")).orderBy("lang").collect()
+    if not sizes:
+        return Model([], {0: np.empty(0, np.uint64)}, {0: None}, {}, {})
+    # By code points, as ties go to the alphabetically first.
+    sizes = sorted(sizes, key=lambda r: r["lang"])
+    languages = [r["lang"] for r in sizes]
+    wanted = docs_each(len(sizes))
+    cuts = docs.sparkSession.createDataFrame(
+        [(r["lang"], i, max(letters.cut(r["n"], wanted), r["least"] + 1)) for i, r in enumerate(sizes)],
+        "lang string, id int, cut long")
+    chosen = usable.join(F.broadcast(cuts), "lang").where("chance < cut").select("text", "id")
 
     def count(batches):
         for batch in batches:
             counts: Counter = Counter()
             for text, lang in zip(batch.column(0), batch.column(1)):
-                counts.update((column[lang.as_py()], w) for w in letters.words(text.as_py()))
+                counts.update((lang.as_py(), w) for w in letters.words(text.as_py()))
             if counts:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts]),
@@ -97,20 +134,14 @@ def fit(docs: DataFrame) -> Model:
                 pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()),
                 pa.array([k[2] for k in counts]), pa.array(list(counts.values()), pa.int64())], names=["lang", "size", "gram", "n"])
 
-    words = usable.where(chosen).select("text", "lang").mapInArrow(count, "lang int, word string, n long")
+    words = chosen.mapInArrow(count, "lang int, word string, n long")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     pieces = words.mapInArrow(split, "lang int, size int, gram string, n long").groupBy("lang", "size", "gram").agg(
         F.sum("n").alias("n"))
 
     def gathered(t: pa.Table, key: str):
-        counts: dict[str, np.ndarray] = {}
-        totals = np.zeros(len(languages))
-        for lang, text, n in zip(t["lang"].to_pylist(), t[key].to_pylist(), t["n"].to_pylist()):
-            if text not in counts:
-                counts[text] = np.zeros(len(languages), np.float32)
-            counts[text][lang] += n
-            totals[lang] += n
-        return _table(counts, totals)
+        columns, n = t["lang"].to_numpy(), t["n"].to_numpy()
+        return _logs(t[key].combine_chunks(), columns, n, np.bincount(columns, n, len(languages)))
 
     word_table = gathered(words.toArrow(), "word")
     # Grams seen once say little and are most of the table.
@@ -125,18 +156,19 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         self.model, self.index = model, model.index()
-        self.rows = np.zeros((MEMO_WORDS, max(1, len(model.languages))), np.float32)
+        self.room = max(1, min(MEMO_WORDS, MEMO_CELLS // max(1, len(model.languages))))
+        self.rows = np.zeros((self.room, max(1, len(model.languages))), np.float32)
 
     def word(self, word: str) -> np.ndarray:
         """Log likelihood of a word per language."""
         at = self.index[0].get(_name(word))
         if at is not None:
-            return self.model.tables[0][1][at]
+            return self.model.tables[0][1].mean([at])
         for n in range(MAX_GRAM, 0, -1):
             known = self.index.get(n)
             found = [at for g in grams(word, n) if (at := known.get(_name(g))) is not None] if known else []
             if found:
-                return self.model.tables[n][1][found].mean(0)
+                return self.model.tables[n][1].mean(found)
         return np.zeros(len(self.model.languages))
 
     def __missing__(self, word: str) -> int:
@@ -150,9 +182,10 @@ class Scorer(dict):
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.languages))
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            if len(self) + len(part) > MEMO_WORDS:  # so that no row is dropped while it is used
+        step = min(50_000, self.room)
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            if len(self) + len(part) > self.room:  # so that no row is dropped while it is used
                 self.clear()
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
         share = np.exp((total - total.max()) / np.sqrt(len(words)))

@@ -23,7 +23,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(FOLDS)) == HELD_OUT, F.lit(True))
 
 
+def chance(*columns: str) -> Column:
+    """A fixed pseudo-random number below 2**31 of each row, by a hash of ``columns``."""
+    return F.pmod(F.xxhash64(*columns), F.lit(2**31))
+
+
+def cut(rows: int, wanted: int) -> int:
+    """About ``wanted`` of ``rows`` rows have a chance below this."""
+    return 2**31 if rows <= wanted else int(wanted / rows * 2**31)
+
+
 def share(rows: int, wanted: int, *columns: str) -> Column:
     """A fixed pseudo-random choice of about ``wanted`` of ``rows`` rows, by a hash of ``columns``."""
-    cut = 2**31 if rows <= wanted else int(wanted / rows * 2**31)
-    return F.pmod(F.xxhash64(*columns), F.lit(2**31)) < cut
+    return chance(*columns) < cut(rows, wanted)

@@ -327,6 +327,23 @@ def test_classifiers_odd_rows(spark, odd, nothing):
     assert langid.predict(nothing, langid.fit(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("fit_rows", [128_000, 10])
+def test_langid_learns_every_language(spark, monkeypatch, fit_rows):
+    """More than 64 languages, one of which is rare, and fewer rows to learn from than languages."""
+    ship(spark)
+    monkeypatch.setattr(langid, "FIT_ROWS", fit_rows)
+    monkeypatch.setattr(langid, "MEMO_CELLS", 80 * 6)
+    a = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{i:02d}" for i in range(80)]
+    rows = [(n * 80 + i, " ".join(a[i % 26] * k + a[i // 26] * 3 for k in range(3, 9)), names[i])
+            for i in range(80) for n in range(30 if i else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == names
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
     docs, seen = _sf(spark, "documents"), []
