@@ -7,14 +7,13 @@
   are raw bytes, splittable, no whole file in one task) checks UTF-8
   validity per ``_metadata.file_path``; files are then grouped by the first
   encoding that can decode them, read once per group and unioned by name.
-* JSON: JSON Lines (splittable) or an array document, told apart by the first
-  line; encodings as for CSV.  Struct columns flatten to ``parent_child`` names.
+* JSON: JSON Lines (splittable) or one document (an array, or an object over
+  several lines), told apart per file; encodings as for CSV.  Struct columns flatten to ``parent_child`` names.
 """
 
 from __future__ import annotations
 
 import csv
-import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -268,20 +267,41 @@ def explode_records(df: DataFrame, record_path: str | Sequence[str], meta: Seque
     return flatten_columns(out, sep) if flatten else out
 
 
-def _is_document(spark: SparkSession, path: str) -> bool:
-    """Whether the files are JSON documents (an array, or an object over several lines) and not one record per line."""
-    lines = spark.read.format("text").load(path).where(F.length(F.trim("value")) > 0)
-    first = lines.select("value").limit(1).first()
-    if first is None:
-        return False
-    text = first["value"].lstrip("\ufeff \t")
-    if text.startswith("["):
-        return True
-    try:
-        json.loads(text)
-        return False
-    except ValueError:
-        return True
+def _one_value(text: Column) -> Column:
+    """Whether a text is exactly one JSON value: between "[" and another element it makes an array of two."""
+    found = F.from_json(F.concat(F.lit("["), F.ltrim(text, F.lit("\ufeff \t\r\n")), F.lit(',"end"]')), "array<string>")
+    return F.coalesce((F.size(found) == 2) & (F.try_element_at(found, F.lit(2)) == "end"), F.lit(False))
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, document): whether a file is one JSON document, i.e. its first line that is not blank is no value by itself."""
+    lines = spark.read.format("text").option("lineSep", "\n").load(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"), "value")
+    first = lines.where(F.length(F.trim("value", F.lit("\ufeff \t\r"))) > 0).groupBy("file_path").agg(
+        F.min_by("value", F.struct("at", "row")).alias("value"))
+    return first.select("file_path", (~_one_value(F.col("value"))).alias("document"))
+
+
+def _decoded(text: Column, encoding: str) -> Column:
+    """The characters of a text column that holds a file's bytes."""
+    charset = _JAVA_CHARSET.get(encoding.lower(), encoding)
+    if charset == "UTF-8":
+        return text
+    out = F.decode(text.cast("binary"), "US-ASCII" if charset == "US-ASCII" else "ISO-8859-1")
+    if charset == "windows-1252":
+        codes = bytes(b for b in range(0x80, 0xA0) if b not in _CP1252_UNDEFINED)
+        out = F.translate(out, codes.decode("latin1"), codes.decode("cp1252"))
+    return out
+
+
+def _read_json_files(spark: SparkSession, path: str, files: DataFrame, document: bool, encoding: str, reader) -> DataFrame:
+    """The records of ``files`` (file_path) only, so that no file of the other kind is parsed or has a part in the schema."""
+    texts = spark.read.format("text").option("wholetext", document).option("lineSep", "\n").load(path).select(
+        F.col("_metadata.file_path").alias("file_path"), "value").join(files, "file_path", "left_semi")
+    texts = texts.select(_decoded(F.col("value"), encoding).alias("value")).where(F.length(F.trim("value", F.lit("\ufeff \t\r\n"))) > 0)
+    strings = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.json(strings), spark)
 
 
 def scan_json(spark: SparkSession, path: str, flatten: bool = True, record_path=None, meta: Sequence[str] = (),
@@ -289,28 +309,36 @@ def scan_json(spark: SparkSession, path: str, flatten: bool = True, record_path=
               fallback_encodings: Sequence[str] = DEFAULT_FALLBACK_ENCODINGS, with_encoding: bool = False):
     """JSON files -> DataFrame (and the encoding per file when ``with_encoding``).
 
-    By default the first line tells a document (array) from JSON Lines, which stay splittable; ``multi_line`` sets it.
+    By default each file's first line tells a document (array) from JSON Lines, which stay splittable; ``multi_line``
+    sets it for all files.  A document file with more than one root value is an error.
     Encodings are tried per file as for CSV.  Invalid JSON fails with Spark's parse error.
     """
     check_source(spark, path, "JSON")
-    document = _is_document(spark, path) if multi_line is None else multi_line
     cands = candidate_encodings(encoding, fallback_encodings)
     enc = materialize(detect_file_encodings(spark, path, cands))
-    found = [r["encoding"] for r in enc.select("encoding").distinct().collect()]
-    if None in found:
+    kinds = _documents(spark, path) if multi_line is None else enc.select("file_path", F.lit(multi_line).alias("document"))
+    kinds = materialize(enc.join(kinds, "file_path", "left").withColumn("document", F.coalesce("document", F.lit(False))))
+    found = {(r["encoding"], r["document"]) for r in kinds.select("encoding", "document").distinct().collect()}
+    if any(e is None for e, _ in found):
         raise ValueError(f"Failed to decode {path} using encodings {cands}")
+    if any(document for _, document in found):
+        # Spark's reader takes the first root value of a document and says nothing of others.
+        whole = spark.read.format("text").option("wholetext", True).load(path).select(
+            F.col("_metadata.file_path").alias("file_path"), "value")
+        wrong = whole.join(kinds.where("document"), "file_path", "left_semi").where(
+            ~_one_value(F.col("value")) & (F.length(F.trim("value", F.lit("\ufeff \t\r\n"))) > 0)).select("file_path").first()
+        if wrong is not None:
+            raise ValueError(f"not one JSON value, nor one in each line: {wrong['file_path']}")
     parts = []
-    for e in sorted(found, key=cands.index):
-        reader = (spark.read.option("multiLine", document).option("mode", "FAILFAST").option("lineSep", "\n")
-                  .option("encoding", _JAVA_CHARSET.get(e.lower(), e)))
+    for e, document in sorted(found, key=lambda x: (cands.index(x[0]), x[1])):
+        reader = spark.read.option("multiLine", document).option("mode", "FAILFAST").option("lineSep", "\n")
         if schema is not None:
             reader = reader.schema(schema)
-        part = reader.json(path)
-        if len(found) > 1:
-            only = enc.where(F.col("encoding") == e).select("file_path")
-            part = part.withColumn("__file", F.col("_metadata.file_path")).join(
-                only, F.col("__file") == F.col("file_path"), "left_semi").drop("__file")
-        parts.append(part)
+        if len(found) == 1:
+            parts.append(reader.option("encoding", _JAVA_CHARSET.get(e.lower(), e)).json(path))
+        else:
+            only = kinds.where((F.col("encoding") == e) & (F.col("document") == document)).select("file_path")
+            parts.append(_read_json_files(spark, path, only, document, e, reader))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)

@@ -183,6 +183,40 @@ def test_json_array_and_latin1_with_default_arguments(spark, tmp_path):
     assert {r["n"] for r in got.collect()} == {"Ren\u00e9", "Zo\u00eb"} and enc.first()["encoding"] == "latin1"
 
 
+def test_json_documents_and_lines_in_one_folder(spark, tmp_path):
+    """Each file is read whole, whichever kind comes first, and encodings are kept apart too."""
+    many = 200
+    (tmp_path / "a.json").write_text('[\n {"id": 1,\n "v": {"x": "a"}},\n {"id": 2, "v": {"x": "b"}}\n]')
+    (tmp_path / "b.json").write_text("\n".join(json.dumps({"id": 10 + i, "w": i}) for i in range(many)) + "\n" * 3)
+    (tmp_path / "c.json").write_text("\n \r\n" + '[{"id": 3}, {"id": 4}]\r\n[{"id": 5}]\r\n')
+    (tmp_path / "d.json").write_bytes('[\n{"id": 6,\n "n": "Ren\u00e9"}]'.encode("latin1"))
+    (tmp_path / "e.json").write_bytes('{"id": 7, "n": "Zo\u00eb"}\n{"id": 8, "n": "\u00fc"}'.encode("latin1"))
+    (tmp_path / "f.json").write_text(" \n\n")
+    got = files.scan_json(spark, str(tmp_path))
+    assert set(got.columns) == {"id", "v_x", "w", "n"}
+    rows = {r["id"]: r for r in got.collect()}
+    assert got.count() == len(rows) and set(rows) == {*range(1, 9), *range(10, 10 + many)}
+    assert (rows[2]["v_x"], rows[11]["w"], rows[6]["n"], rows[8]["n"]) == ("b", 1, "Ren\u00e9", "\u00fc")
+    got = files.scan_json(spark, str(tmp_path), encoding="cp1252", schema="id long, n string")
+    assert {r["n"] for r in got.collect()} == {None, "Ren\u00e9", "Zo\u00eb", "\u00fc"}
+
+
+def test_json_lines_of_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1}, {"id": 2}]\n[{"id": 3}]\n')
+    assert sorted(r["id"] for r in files.scan_json(spark, str(tmp_path / "a.json")).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("text", ['{\n"id": 1}\n{\n"id": 2}\n', '{\n"id": 1},\n{"id": 2}', '{"id": 1} {"id": 2}', '{"id": 1}\r{"id": 2}',
+                                  '[\n{"id": 1}]\n]\n{"id": 2}'])
+def test_json_more_than_one_root_fails(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text, newline="")
+    (tmp_path / "b.json").write_text('{"id": 9}')
+    with pytest.raises(ValueError, match="not one JSON value"):
+        files.scan_json(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="not one JSON value"):
+        files.scan_json(spark, str(tmp_path / "a.json"), multi_line=True)
+
+
 def test_queries_do_not_share_staged_files(spark):
     from retentia.plans.registry import load_all
     sf = "/root/testdata/sf0.001"
