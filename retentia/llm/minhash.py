@@ -10,7 +10,7 @@
    0.8) are dropped, the rest is verified on the full sets; components follow by
    large-star and small-star.
 4. Buckets that still hold several components are looked at member by member,
-   by signatures and in blocks; components of which some members agree well
+   by signatures and in blocks, but not two blocks of one component; components of which some members agree well
    enough are then compared on the full sets, every member of one with every
    member of the other, in blocks, until one link is found.  So no link that
    changes a component is lost, and no pairs of a group are ever listed.
@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import hold, plain_names, release
@@ -207,12 +207,28 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     labelled = members.select("key", "node").join(found, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    several = several.where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
+    several = several.where("lo < hi").select("key")
     open_rows = hold(labelled.join(several, "key").join(signatures, "node"))
-    chunked = open_rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    chunked = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    chunked = chunked.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "chunks", "node")
-    candidates = hold(_tasks(chunked, open_rows.count(), TASK_ROWS, "key", "i", "j").groupBy("task").applyInArrow(
+    # Blocks of a bucket: a component of more than BLOCK members has its own, which do not meet each other; the others share blocks.
+    parts = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).withColumn(
+        "own", F.when(F.col("size") > BLOCK, F.col("component")))
+    groups = parts.groupBy("key", "own").agg(F.sum("size").alias("size"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("chunks"))
+    bucket = Window.partitionBy("key")
+    groups = groups.withColumns({
+        "first": (F.sum("chunks").over(bucket.orderBy("own")) - F.col("chunks")).cast("int"),
+        "others": (F.sum("chunks").over(bucket) - F.when(F.col("own").isNull(), 0).otherwise(F.col("chunks"))).cast("int")})
+    groups = hold(groups)
+    theirs = groups.select(F.col("key").alias("k"), F.col("own").alias("o"), "chunks", "first", "others")
+    places = parts.join(theirs, (F.col("key") == F.col("k")) & F.col("own").eqNullSafe(F.col("o"))).drop("k", "o", "size")
+    chunked = open_rows.join(places, ["key", "component"]).withColumn(
+        "chunk", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("chunks"))).cast("int"))
+    chunked = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    chunked = chunked.withColumn("other", F.col("other") + F.when(
+        F.col("own").isNotNull() & (F.col("other") >= F.col("first")), F.col("chunks")).otherwise(0))
+    chunked = chunked.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select(
+        "key", "component", "signature", "chunk", "i", "j")
+    meeting = groups.agg(F.sum(F.col("size") * F.col("others")).alias("n")).first()["n"] or 0  # rows of chunked
+    candidates = hold(_tasks(chunked, meeting, TASK_ROWS, "key", "i", "j").groupBy("task").applyInArrow(
         _agreeing, "a long, b long").distinct())
 
     # Compare these components on the full sets: the larger is the host.
@@ -242,7 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     out = rows.join(by_salt, ["d1", "d2", "n", "salt"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    release(texts, members, open_rows, nodes, candidates, sized, pairs)
+    release(texts, members, open_rows, groups, nodes, candidates, sized, pairs)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -179,6 +179,38 @@ def test_near_duplicates_brute_force(spark, odd, nothing):
     assert minhash.near_duplicates(nothing).count() == minhash.keep_one(nothing).count() == 0
 
 
+def test_near_duplicates_large_families_meet_strays_only(spark, monkeypatch):
+    """Two large families of near copies and half-similar strays in the same buckets: no two blocks of a family meet, tasks count every row."""
+    import random
+    ship(spark)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    other = base[:120] + [f"x{i}" for i in range(80)]
+    rows = []
+    for i in range(170):
+        w = list(base if i < 100 else other if i < 160 else base[:130] + [f"y{k % 35}_{i // 2}" for k in range(70)])
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"u{rng.randrange(900)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, tasks = [], minhash._tasks
+
+    def counted(frame, total, per_task, *key):
+        if "signature" in frame.columns:
+            family = frame.groupBy("key", "i", "j").agg(F.count_distinct("component").alias("n"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
+            seen.append((frame.count(), total, family.where("n = 1 AND lo < hi").count()))
+        return tasks(frame, total, per_task, *key)
+
+    monkeypatch.setattr(minhash, "_tasks", counted)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "TASK_ROWS", 50)
+    got = minhash.near_duplicates(docs, 1, 80).collect()
+    want = _brute_components(rows, 1, 80)
+    assert {r.doc_id: r.component_id for r in got} == want and 3 <= len(set(want.values())) < 60
+    (met, total, alone), = seen
+    assert met == total > 0 and alone == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(200, 201), (201, 202), (202, 200)]
     got = {r.node: r.component for r in stars.components(spark.createDataFrame(edges, "u long, v long")).collect()}
