@@ -208,8 +208,12 @@ def q_ingestion_nested(spark, sf):
 @register("scan_csv_quoted", """
 SELECT doc_id, replace(replace(text, chr(13), ''), chr(0), '') AS text, source FROM documents WHERE text IS NOT NULL AND trim(text) <> ''""")
 def q_scan_quoted(spark, sf):
-    """Texts with quotes, commas and line breaks, staged as CSV and read back."""
+    """All rows of the documents and their whole texts, staged as CSV and read back.
+
+    An empty field is NULL, quoted or not.  Every other text comes back as it was: quotes, commas, white space (also
+    alone), NUL, and line breaks inside quotes, of which ``\\r``, ``\\n`` and ``\\r\\n`` stay what they are.
+    """
     path = staging_path(spark, f"{_tag(sf)}/texts.csv")
-    docs = ad.table(spark, sf, "documents").where("text IS NOT NULL AND trim(text) <> ''")
-    write_csv(docs.select("doc_id", F.regexp_replace("text", "[\\r\\x00]", "").alias("text"), "source"), path)
+    write_csv(ad.table(spark, sf, "documents").select("doc_id", "text", "source"), path,
+              ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return files.scan_csv(spark, path, multi_line=True, na_values=[])

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True, sep: str = ",") -> str:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True, sep: str = ",", **options) -> str:
     (df.write.mode(mode).option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
-     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("dateFormat", "yyyy-MM-dd").csv(path))
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("dateFormat", "yyyy-MM-dd").options(**options).csv(path))
     return path
 
 

@@ -217,6 +217,16 @@ def test_json_more_than_one_root_fails(spark, tmp_path, text):
         files.scan_json(spark, str(tmp_path / "a.json"), multi_line=True)
 
 
+def test_quoted_csv_query_keeps_rows_and_texts(spark, tmp_path):
+    from retentia.plans.registry import load_all
+    texts = [None, "", " ", " \t ", "a\r\nb", "a\rb", "\r", "\n", "\r\n", "\r\r\n\n", " lead", "trail ", 'q"q', '"', '""', "a,b", "x\0y",
+             "\0", "NA", "a\\b", "\\", "#c", "end\r", "\rstart", 'a"\r\n"b', "\x0b"]
+    rows = [(i, t, "s" if i % 3 else t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = load_all()["scan_csv_quoted"][0](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, t or None, s or None) for i, t, s in rows]
+
+
 def test_queries_do_not_share_staged_files(spark):
     from retentia.plans.registry import load_all
     sf = "/root/testdata/sf0.001"
