@@ -130,6 +130,18 @@ def _windows(t: pa.Table, doc_id: str, text: str, window: int, wanted: np.ndarra
     return [np.concatenate(c) for c in zip(*out)] if out else empty
 
 
+def _among_pairs(h1: np.ndarray, h2: np.ndarray, known: pa.Table) -> np.ndarray:
+    """Which (h1, h2) are among the pairs of ``known``."""
+    parts = [np.frombuffer(x, _U).reshape(-1, 2) for x in known["found"].to_pylist()]
+    k1, k2 = np.concatenate(parts).T if parts else np.empty((2, 0), _U)
+    out = _among(h1, np.unique(k1))
+    at = np.flatnonzero(out)
+    order, least = _first_documents(np.concatenate([k1, h1[at]]), np.concatenate([k2, h2[at]]), np.repeat([0, 1], [len(k1), len(at)]))
+    mine = order >= len(k1)
+    out[at[order[mine] - len(k1)]] = least[mine] == 0
+    return out
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the kept text in ``text``, and n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     added = ["n_words", "n_removed", "kept_sha256"]
@@ -168,13 +180,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         (h1, block), (h2, _), (ids, _) = _unpack(t, "v0"), _unpack(t, "v1"), _unpack(t, "v2", np.int64)
         order, least = _first_documents(h1, h2, ids)
         after = ids[order] > least  # the block's first document with the window is not the first of all
-        return _by_block(block[order][after], h1[order][after])
+        return _by_block(block[order][after], np.column_stack([h1[order][after], h2[order][after]]))
 
     def cleaned(t: pa.Table, s: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({n: pa.array([], f.type) for n, f in zip(names_out, schema_of(t))})
         h1, h2, ids, document, start = _windows(t, doc_id, text, window, None)
-        gone = _among(h1, _known(s)) if s.num_rows else np.zeros(len(h1), bool)
+        gone = _among_pairs(h1, h2, s)
         order, least = _first_documents(h1, h2, ids)
         gone[order] |= ids[order] > least
         where, at = document[gone], start[gone]

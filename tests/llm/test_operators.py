@@ -256,6 +256,23 @@ def test_substring_dedup_brute_force(spark, odd, nothing, monkeypatch, block_byt
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_substring_dedup_removes_by_both_hashes(spark, monkeypatch):
+    """Windows that agree in the first hash only, in other blocks, lose no words."""
+    ship(spark)
+    real = substring_dedup._windows
+
+    def colliding(*args):
+        h1, *others = real(*args)
+        return [h1 >> 62, *others]
+
+    monkeypatch.setattr(substring_dedup, "_windows", colliding)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 300)
+    passage = [f"p{i}" for i in range(20)]
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(30)] + (passage if i % 3 else []) + [f"v{i}x{k}" for k in range(15)])) for i in range(30)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(_brute_repeats(rows, 13))
+
+
 def test_ball_tree_odd_vectors_and_several_shards(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(balltree, "SHARD", 60)
