@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import balltree, bpe, chat, exact_dedup, hilbert, langid, minhash, packing, substring_dedup, toxicity
+from ..session import staging_path
+from . import balltree, bpe, chat, exact_dedup, hilbert, langid, merkle, minhash, packing, phrases, substring_dedup, token_counts, toxicity
 from .frames import table
 
 
@@ -149,6 +150,122 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 2 == 0
+    made = merkle.manifest(table(spark, sf_dir, "documents"), F.when(even, F.replace("text", F.lit("\n"), F.lit(""))))
+    hexed = [merkle.hexed(F.col(c)).alias(n) for c, n in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof", "proof_sha256"),
+                                                          ("folded_root", "folded_root"))]
+    return made.select("doc_id", *hexed, "verified")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (
+  SELECT lang, [x for x in regexp_split_to_array(p, '[\x20\x09]+') if x <> ''] AS l FROM p
+), o AS (
+  SELECT lang, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(l) >= k
+), f AS (
+  SELECT lang, l[i:i + k - 1] AS g, count(*) AS f FROM o GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f) AS n FROM f WHERE len(g) = 1 GROUP BY lang
+), c AS (
+  SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 30
+), inside AS (
+  SELECT lang, g[i:j] AS g, max(a) AS most
+  FROM (SELECT lang, g, a, i, unnest(range(i + 1, len(g) + 1)) AS j FROM (SELECT *, unnest(range(1, len(g))) AS i FROM c WHERE len(g) > 2))
+  WHERE j - i + 1 < len(g) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN inside USING (lang, g) WHERE most IS NULL OR 100 * most < 80 * a
+), cut AS (
+  SELECT x.lang, x.g, a, k, y.f AS l, z.f AS r, (2000000::HUGEINT * a) // (y.f + z.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM kept) x
+  JOIN f y ON y.lang = x.lang AND y.g = x.g[1:k] JOIN f z ON z.lang = x.lang AND z.g = x.g[k + 1:len(x.g)]
+), low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM low
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS id, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents
+), crc AS (
+  -- CRC-32 of the decimal doc_id, bit by bit
+  SELECT doc_id, id, 0 AS pos, 4294967295 AS c FROM (SELECT DISTINCT doc_id, id FROM d WHERE id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, id, pos + 1,
+         list_reduce(list_prepend(xor(c, CAST(ascii(id[pos + 1]) AS BIGINT)), [0, 0, 0, 0, 0, 0, 0, 0]),
+                     lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+  FROM crc WHERE pos < strlen(id)
+), even AS (
+  SELECT doc_id FROM crc WHERE pos = strlen(id) AND xor(c, 4294967295) % 2 = 0
+), leaf AS (
+  SELECT d.doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN even.doc_id IS NULL THEN leaf ELSE sha256(head || coalesce(strlen(t) || ':' || t, '-')) END AS other
+  FROM (SELECT *, replace(text, chr(10), '') AS t FROM d) d LEFT JOIN even ON even.doc_id = d.doc_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM leaf
+), node AS (
+  SELECT source, 0 AS level, place, size, leaf AS digest FROM placed
+  UNION ALL
+  SELECT source, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM node WHERE size > 1
+  GROUP BY source, level, place // 3, size
+), sub AS (
+  SELECT source, digest AS subroot, max(level) OVER () + 1 AS base, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS nth, count(*) OVER () AS n
+  FROM node WHERE size = 1
+), over_node AS (
+  SELECT base AS level, nth AS place, n AS size, subroot AS digest FROM sub
+  UNION ALL
+  SELECT level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM over_node WHERE size > 1
+  GROUP BY level, place // 3, size
+), root AS (SELECT digest AS root FROM over_node WHERE size = 1
+), lower_steps AS (
+  SELECT a.source, a.level, a.place, a.size, string_agg(b.digest, '' ORDER BY b.place) FILTER (WHERE b.place < a.place) AS l,
+         string_agg(b.digest, '' ORDER BY b.place) FILTER (WHERE b.place > a.place) AS r
+  FROM node a JOIN node b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.place // 3 = b.place // 3
+  WHERE a.size > 1 GROUP BY ALL
+), upper_steps AS (
+  SELECT a.level, a.place, string_agg(b.digest, '' ORDER BY b.place) FILTER (WHERE b.place < a.place) AS l,
+         string_agg(b.digest, '' ORDER BY b.place) FILTER (WHERE b.place > a.place) AS r
+  FROM over_node a JOIN over_node b ON a.level = b.level AND a.place // 3 = b.place // 3
+  WHERE a.size > 1 GROUP BY ALL
+), climb AS (
+  SELECT doc_id, source, leaf, 0 AS level, place, size, other AS acc, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.source, c.leaf, c.level + 1, c.place // 3, (c.size + 2) // 3, sha256(coalesce(s.l, '') || c.acc || coalesce(s.r, '')),
+         c.proof || coalesce(s.l, '') || coalesce(s.r, '')
+  FROM climb c JOIN lower_steps s ON c.source IS NOT DISTINCT FROM s.source AND c.level = s.level AND c.place = s.place
+), climb2 AS (
+  SELECT doc_id, leaf, subroot, base AS level, nth AS place, n AS size, acc, proof
+  FROM climb c JOIN sub ON c.source IS NOT DISTINCT FROM sub.source WHERE c.size = 1
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.subroot, c.level + 1, c.place // 3, (c.size + 2) // 3, sha256(coalesce(s.l, '') || c.acc || coalesce(s.r, '')),
+         c.proof || coalesce(s.l, '') || coalesce(s.r, '')
+  FROM climb2 c JOIN upper_steps s ON c.level = s.level AND c.place = s.place
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM climb2, root WHERE size = 1
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each run of the query starts a cache of its own, so that its work is that of the given table.
+    cache = staging_path(spark, "token_counts")
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
 QUERIES: dict[str, tuple] = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_ball_tree": (op2_ball_tree, OP2_SQL),
@@ -160,4 +277,7 @@ QUERIES: dict[str, tuple] = {
     "op8_langid": (op8_langid, None),
     "op9_hilbert_shards": (op9_hilbert_shards, None),
     "op10_recompression": (op10_recompression, OP10_SQL),
+    "op11_merkle": (op11_merkle, OP11_SQL),
+    "op12_phrases": (op12_phrases, OP12_SQL),
+    "op13_token_counts": (op13_token_counts, None),
 }
