@@ -134,13 +134,15 @@ def paths(tree_levels: list[DataFrame], above: DataFrame, arity: int = ARITY) ->
     more = [c for c in above.columns if c not in ("tree", "path")]
     own = F.array(F.struct("left", "right"))
     found = None
-    for level in reversed(tree_levels):
-        top = level.where("size = 1").select("tree", "place").join(above, "tree")
+    for level in reversed(tree_levels):  # written level by level: plans stay small however many levels there are
+        here = level.where("size = 1").select("tree", "place").join(above, "tree")
         if found is not None:
             up = found.select("tree", F.col("place").alias("up"), F.col("path").alias("rest"), *more)
             below = level.where("size > 1").withColumn("up", F.expr(f"place div {arity}")).join(up, ["tree", "up"])
-            top = top.unionByName(below.select("tree", "place", F.concat(own, "rest").alias("path"), *more))
-        found = top
+            here = here.unionByName(below.select("tree", "place", F.concat(own, "rest").alias("path"), *more))
+        before, found = found, hold(here)
+        if before is not None:
+            release(before, level)
     return found
 
 
@@ -170,7 +172,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, arity: int = ARITY
     top = hold(placed(hold(sources), ["source"]))
     over = levels(top.select("tree", "place", "size", F.col("subroot").alias("digest")), arity)
     start = roots(over).select("tree", F.col("digest").alias("root"), F.array().cast(_PATH).alias("path"))
-    above = paths(over, start, arity).join(top.drop("tree", "size"), "place").select(
+    above = paths(over, hold(start), arity).join(top.drop("tree", "size"), "place").select(
         F.col("name").alias("tree"), "path", "subroot", "root")
     found = leaf_rows.join(paths(by_source, hold(above), arity), ["tree", "place"])
     release(rows)
