@@ -9,12 +9,16 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from retentia.llm import merkle, phrases, token_counts
 from retentia.llm.frames import hold, ship
 from retentia.session import staging_path
 
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+COUNTER, LIBRARY = token_counts.Tokenizer(BYTE_LEVEL), tokenizers.Tokenizer.from_file(BYTE_LEVEL)
 TEXTS = ["a b\nc", "a b\nc", None, "", " ", "x", "A b. a b, a b; A B a b", "long text. " * 20_000, "\t\n", "z\rz\x0bz", "é ü é ü"]
 
 
@@ -184,3 +188,16 @@ def test_token_counts_encode_distinct_misses_only(spark, odd, monkeypatch):
     assert Counter(seen[3]) == Counter(distinct)
     assert token_counts.stored(spark, cache, version).count() == len(distinct)
     assert token_counts.stored(spark, cache, "other").count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("ab thein'\n\t 09é!\r  <|endoftext|>"), st.characters(exclude_categories=["Cs"], max_codepoint=0x260)), max_size=80))
+def test_part_counts_equal_the_library(text):
+    assert COUNTER.counts([text, text + " x"]) == [len(e.ids) for e in LIBRARY.encode_batch([text, text + " x"], add_special_tokens=False)]
+
+
+def test_part_counts_forget(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO", 3)
+    counter = token_counts.Tokenizer(BYTE_LEVEL)
+    texts = [f"one two {i} three <|endoftext|> four" if i % 2 else f"a{i} b{i}  c\nd" for i in range(9)]
+    assert counter.counts(texts) == [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
