@@ -8,16 +8,15 @@ scan then stands, and is counted for one full cycle of shards; so lengths
 interleave, and the scan ends when no phrase is active.
 
 A step is one job: tasks count the active phrases of the shard's blocks, and one
-aggregation adds them to the phrases under way.  A phrase is named by a 128-bit
-hash of its language and words; its row carries the shards already in its count
-(bits), the step in which its cycle ends, the step in which it reached the
-threshold and a block that holds it, from which the words of the phrases that
-stay are read at the end.  Rows that end their cycle below the threshold go.
-Which phrases are active, tasks read from a table of fixed size
-(``2 ** TABLE_BITS`` bytes, broadcast): at two hashed places of a phrase, the
-last step in which a phrase of that place reached the threshold, so the table
-may let a phrase in too early or too long, never the reverse.  The shard bits
-keep such a phrase's count right, so results are exact and whole.
+aggregation by (phrase, language), kept as one string, adds them to the phrases
+under way.  A phrase's row carries the shards already in its count (bits), the
+step in which its cycle ends and the step in which it reached the threshold; rows
+that end their cycle below the threshold go.  Which phrases are active, tasks
+read from a table of fixed size (``2 ** TABLE_BITS`` bytes, broadcast): at two
+hashed places of a phrase, the last step in which a phrase of that place reached
+the threshold, so the table may let a phrase in too early or too long, never the
+reverse.  The shard bits keep such a phrase's count right, so results are exact
+and whole.
 
 Defined results: a null text has no words; a null lang is ``und``; phrases never
 cross the marks that part pieces.  Repeated rows count each time.  Other columns
@@ -31,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -43,30 +43,27 @@ from .words import mix
 LONGEST = 4
 THRESHOLD = 30
 SHARDS = 4
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 TABLE_BITS = 24
 #: Rows that ask for the count of one phrase are spread over this many groups.
 SALTS = 64
 
-_BLOCK = "shard int, block long, words array<string>, langs array<string>, ids array<int>, lang_names array<string>, lang_words array<long>"
-_COUNTED = "h1 long, h2 long, c long, until int, block long"
+_BLOCK = "shard int, words array<string>, langs array<string>, hashes array<long>, ids array<int>, lang_names array<string>, lang_words array<long>"
+_COUNTED = "phrase string, c long, until int"
 
 #: Lower case, blanks to spaces, marks between pieces to line breaks.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 _U = np.uint64
-_NEXT = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
+_NEXT = _U(0x9E3779B97F4A7C15)
 
 
-def word_hashes(langs: list[str], words: list[str]) -> list[np.ndarray]:
-    """Both halves of the 128-bit names of words."""
-    raw = b"".join([xxhash.xxh3_128_digest(f"{a}\0{w}") for a, w in zip(langs, words)])
-    both = np.frombuffer(raw, _U).reshape(-1, 2)
-    return [np.ascontiguousarray(both[:, i]) for i in range(2)]
+def word_hash(lang: str, word: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{lang}\0{word}")
 
 
-def extend(h: np.ndarray, word: np.ndarray, half: int) -> np.ndarray:
-    """One half of the name of a phrase and one more word."""
-    return mix(h * _NEXT[half] + word)
+def extend(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase and one more word."""
+    return mix(h * _NEXT + word)
 
 
 def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,18 +98,18 @@ def block(langs: list[str], texts: list[bytes]) -> dict:
     own, ids = np.unique(codes * v + words.indices.to_numpy(), return_inverse=True)
     piece = np.cumsum(raw == 10, dtype=np.int32)[starts]
     ids = np.insert(ids.astype(np.int32) + 1, np.flatnonzero(np.diff(piece)) + 1, 0)
-    return {"words": words.dictionary.take(pa.array(own % v)), "langs": pa.array(names).take(pa.array(own // v)), "ids": pa.array(ids),
-            "lang_names": pa.array(names), "lang_words": pa.array(np.bincount(codes, minlength=len(names)))}
+    word_list, lang_list = words.dictionary.take(pa.array(own % v)), pa.array(names).take(pa.array(own // v))
+    hashes = np.array([word_hash(a, w) for a, w in zip(lang_list.to_pylist(), word_list.to_pylist())], _U).view(np.int64)
+    return {"words": word_list, "langs": lang_list, "hashes": pa.array(hashes), "ids": pa.array(ids), "lang_names": pa.array(names), "lang_words": pa.array(np.bincount(codes, minlength=len(names)))}
 
 
 def _blocks(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, langs, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        number, langs, texts, size = TaskContext.get().partitionId(), [], [], 0
 
         def made():
             lists = {k: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for k, x in block(langs, texts).items()}
-            first = [pa.array([(part + number) % shards], pa.int32()), pa.array([part << 32 | number], pa.int64())]
-            return pa.RecordBatch.from_arrays([*first, *lists.values()], names=["shard", "block", *lists])
+            return pa.RecordBatch.from_arrays([pa.array([number % shards], pa.int32()), *lists.values()], names=["shard", *lists])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
@@ -137,43 +134,40 @@ def numbered(docs: DataFrame, shards: int) -> str:
     return path
 
 
-def _halves(words: pa.Array, langs: pa.Array, ids: np.ndarray) -> list[np.ndarray]:
-    """Names of the word at each position of a block."""
-    return [np.concatenate([np.zeros(1, _U), h])[ids] for h in word_hashes(langs.to_pylist(), words.to_pylist())]
-
-
-def active(ids: np.ndarray, first: list[np.ndarray], table: np.ndarray, step: int, shards: int, longest: int):
-    """(length, names, positions, last step) of the occurrences of active phrases of two words or more in a block."""
+def active(ids: np.ndarray, hashes: np.ndarray, table: np.ndarray, step: int, shards: int, longest: int):
+    """(length, positions, last step) of the occurrences of active phrases in a block."""
     bits = len(table).bit_length() - 1
 
     def probe(h):
         a, b = places(h, bits)
         return np.minimum(table[a], table[b])
 
-    h, t = first, np.where(ids > 0, probe(first[0]), 0)  # of the phrases that start at each word
+    h1 = np.concatenate([np.zeros(1, _U), hashes])[ids]
+    h, t = h1, np.concatenate([np.zeros(1, table.dtype), probe(hashes)])[ids]  # of the phrases that start at each word
     for n in range(2, longest + 1):
         both = (t[:-1] > 0) & (t[1:] > 0)
         reached = np.where(both, np.maximum(t[:-1], t[1:]), 0).astype(np.int32)  # step + 1, 0: not yet
         at = np.flatnonzero((reached > 0) & (reached + shards > step))
-        h = [extend(h[i][:-1], first[i][n - 1:], i) for i in range(2)]
-        yield n, h, at, reached[at] - 1 + shards
-        t = np.zeros(len(both), table.dtype)
-        t[both] = probe(h[0][both])
+        yield n, at, reached[at] - 1 + shards
+        h = extend(h[:-1], h1[n - 1:])
+        t = np.zeros(len(h), table.dtype)
+        t[both] = probe(h[both])
 
 
-def counted(ids: np.ndarray, base: int, n: int, h: list[np.ndarray], at: np.ndarray, until: np.ndarray, number: int) -> pa.RecordBatch:
+def counted(words: pa.Array, langs: pa.Array, ids: np.ndarray, n: int, at: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
     """The distinct phrases of ``n`` words that start at ``at``, each with its number."""
+    base = len(words) + 1
     key = ids[at].astype(np.int64)
     for k in range(1, n):
         if k > 1:
             key = np.unique(key, return_inverse=True)[1]
         key = key * base + ids[at + k]
-    _, one, c = np.unique(key, return_index=True, return_counts=True)
-    names = [pa.array(x[at[one]].view(np.int64)) for x in h]
-    # The length travels in the low bits beside the last step.
-    last = pa.array((until[one] * 8 + n).astype(np.int32))
-    return pa.RecordBatch.from_arrays([*names, pa.array(c, pa.int64()), last, pa.array(np.full(len(c), number, np.int64))],
-                                      names=["h1", "h2", "c", "until", "block"])
+    _, first, c = np.unique(key, return_index=True, return_counts=True)
+    chosen = at[first]
+    parts = [words.take(pa.array(ids[chosen + k] - 1)) for k in range(n)]
+    # Words hold no tab: it parts the phrase and its language, which together are the name of a row.
+    phrase = pc.binary_join_element_wise(parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " "), langs.take(pa.array(ids[chosen] - 1)), "\t")
+    return pa.RecordBatch.from_arrays([phrase, pa.array(c, pa.int64()), pa.array(until[first].astype(np.int32))], names=["phrase", "c", "until"])
 
 
 def _counts(table, step: int, shards: int, longest: int):
@@ -181,15 +175,14 @@ def _counts(table, step: int, shards: int, longest: int):
         known = np.frombuffer(table.value, np.uint8)
         for b in batches:
             for i in range(b.num_rows):
-                words, langs, ids = (b.column(c)[i].values for c in ("words", "langs", "ids"))
-                number, base, ids = b.column("block")[i].as_py(), len(words) + 1, ids.to_numpy()
-                first = _halves(words, langs, ids)
+                words, langs, hashes, ids = (b.column(c)[i].values for c in ("words", "langs", "hashes", "ids"))
+                ids = ids.to_numpy()
                 if step < shards:
                     at = np.flatnonzero(ids)
-                    yield counted(ids, base, 1, first, at, np.full(len(at), shards - 1), number)
-                for n, h, at, until in active(ids, first, known, step, shards, longest):
+                    yield counted(words, langs, ids, 1, at, np.full(len(at), shards - 1))
+                for n, at, until in active(ids, hashes.to_numpy().view(_U), known, step, shards, longest):
                     if len(at):
-                        yield counted(ids, base, n, h, at, until, number)
+                        yield counted(words, langs, ids, n, at, until)
 
     return run
 
@@ -198,7 +191,14 @@ def _marks(bits: int):
     """Places of phrases in the table as (group of 64 places, bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(np.concatenate(places(b.column("h1").to_numpy().view(_U), bits)))
+            found = []
+            for row in b.column("phrase").to_pylist():
+                phrase, lang = row.split("\t", 1)
+                first, *more = [np.array([word_hash(lang, w)], _U) for w in phrase.split(" ")]
+                for w in more:
+                    first = extend(first, w)
+                found.append(first)
+            at = np.unique(np.concatenate(places(np.concatenate(found or [np.zeros(0, _U)]), bits)))
             yield pa.RecordBatch.from_arrays([pa.array(at // 64), pa.array((_U(1) << (at % 64).astype(_U)).view(np.int64))], names=["at", "bits"])
 
     return run
@@ -207,77 +207,44 @@ def _marks(bits: int):
 def _mark(table: np.ndarray, reached: DataFrame, step: int) -> bool:
     """Note in the table that phrases reached the threshold; at most one row per 64 places comes to the driver."""
     bits = len(table).bit_length() - 1
-    rows = reached.select("h1").mapInArrow(_marks(bits), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = reached.select("phrase").mapInArrow(_marks(bits), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     at, mask = rows["at"].to_numpy(), rows["bits"].to_numpy().view(_U)
     for k in range(64):
         table[at[mask >> _U(k) & _U(1) == 1] * 64 + k] = step + 1
     return len(at) > 0
 
 
-def _spelt(longest: int):
-    def run(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
-        out = {"lang": [], "phrase": [], "words": [], "f": []}
-        asked = {(a, b): (n, f) for a, b, n, f in zip(*(wanted[c].to_pylist() for c in ("h1", "h2", "words", "f")))}
-        keys = np.sort(wanted["h1"].to_numpy())
-        for words, langs, ids in zip(*(blocks[c] for c in ("words", "langs", "ids"))) if asked else ():
-            words, langs, ids = words.values, langs.values, ids.values.to_numpy()
-            first = h = _halves(words, langs, ids)
-            for n in range(1, longest + 1):
-                if n > 1:
-                    h = [extend(h[i][:-1], first[i][n - 1:], i) for i in range(2)]
-                names = [x.view(np.int64) for x in h]
-                whole = np.ones(len(names[0]), bool)
-                for k in range(n):
-                    whole &= ids[k:k + len(whole)] > 0
-                at = np.flatnonzero(whole & (keys[np.minimum(np.searchsorted(keys, names[0]), len(keys) - 1)] == names[0]))
-                at = at[np.lexsort((names[1][at], names[0][at]))]
-                at = at[(np.diff(names[0][at], prepend=0) != 0) | (np.diff(names[1][at], prepend=0) != 0)]  # of each phrase one
-                for p, a, b in zip(at.tolist(), names[0][at].tolist(), names[1][at].tolist()):
-                    found = asked.get((a, b))
-                    if found and found[0] == n:
-                        out["lang"].append(langs[ids[p] - 1].as_py())
-                        out["phrase"].append(" ".join(words[k - 1].as_py() for k in ids[p:p + n].tolist()))
-                        out["words"].append(n)
-                        out["f"].append(found[1])
-        return pa.table([pa.array(out["lang"], pa.string()), pa.array(out["phrase"], pa.string()), pa.array(out["words"], pa.int32()),
-                         pa.array(out["f"], pa.int64())], names=list(out))
-
-    return run
-
-
 def frequent(path: str, spark, shards: int, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of up to ``longest`` words that occur ``threshold`` times or more."""
-    if not 0 < shards * longest < 255 or shards > 32 or longest > 7:
-        raise ValueError("steps are noted in one byte, shards in 32 bits, lengths in three")
+    if not 0 < shards * longest < 255 or shards > 32:
+        raise ValueError("steps are noted in one byte, shards in 32 bits")
     blocks = spark.read.schema(_BLOCK).parquet(path)
     table = np.zeros(1 << TABLE_BITS, np.uint8)
-    zero = F.lit(0).cast("long")
+    zero, alone = F.lit(0).cast("long"), F.expr("substring_index(phrase, '\t', 1)")
+    words = F.length(alone) - F.length(F.replace(alone, F.lit(" "), F.lit(""))) + 1
     state, step, last = None, 0, -1
     while step < shards or step <= last + shards:
         shared = spark.sparkContext.broadcast(table.tobytes())
-        rows = blocks.where(F.col("shard") == step % shards).select("block", "words", "langs", "ids")
+        rows = blocks.where(F.col("shard") == step % shards).select("words", "langs", "hashes", "ids")
         # info: the step after the one that reached the threshold (0: none), then the bits of the counted shards.
         new = rows.mapInArrow(_counts(shared, step, shards, longest), _COUNTED).withColumns({"f": zero, "info": zero})
         both = new if state is None else new.unionByName(state.withColumn("c", zero))
-        merged = both.groupBy("h1", "h2").agg(F.sum("c").alias("c"), F.sum("f").alias("f"), F.max("info").alias("info"),
-                                              F.max("until").alias("until"), F.min("block").alias("block"))
+        merged = both.groupBy("phrase").agg(F.sum("c").alias("c"), F.sum("f").alias("f"), F.max("info").alias("info"), F.max("until").alias("until"))
         bit = F.lit(1 << (step % shards)).cast("long")
         merged = merged.withColumn("f", F.col("f") + F.when(F.col("info").bitwiseAND(bit) == 0, F.col("c")).otherwise(0))
         info = F.when(F.col("c") > 0, F.col("info").bitwiseOR(bit)).otherwise(F.col("info"))
         reaches = (F.col("f") >= threshold) & (F.shiftright("info", 32) == 0)
         info = F.when(reaches, info.bitwiseOR(F.lit((step + 1) << 32).cast("long"))).otherwise(info)
-        merged = merged.select("h1", "h2", "f", info.alias("info"), "until", "block")
-        before, state = state, hold(merged.where((F.col("f") >= threshold) | (F.expr("until div 8") > step)))
+        merged = merged.select("phrase", "f", info.alias("info"), "until").where((F.col("f") >= threshold) | (F.col("until") > step))
+        before, state = state, hold(merged)
         if before is not None:
             release(before)
         shared.destroy()
-        if _mark(table, state.where((F.shiftright("info", 32) == step + 1) & (F.col("until") % 8 < longest)), step):
+        if _mark(table, state.where((F.shiftright("info", 32) == step + 1) & (words < longest)), step):
             last = step
         step += 1
-    wanted = state.where(F.col("f") >= threshold).select("h1", "h2", (F.col("until") % 8).alias("words"), "f", "block")
-    spelt = blocks.select("block", "words", "langs", "ids").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
-        _spelt(longest), "lang string, phrase string, words int, f long")
-    return hold(spelt)
+    lang = F.expr("substring(phrase, instr(phrase, '\t') + 1)")
+    return hold(state.where(F.col("f") >= threshold).select(lang.alias("lang"), alone.alias("phrase"), words.alias("words"), "f"))
 
 
 def _cuts(candidates: DataFrame) -> DataFrame:
