@@ -205,10 +205,9 @@ def q_ingestion_nested(spark, sf):
     return intake.ingestion_report(spark, df, p, "csv", "utf-8", ",", False, AS_OF, order_col="o_orderkey")
 
 
-@register("scan_csv_quoted", """
-SELECT doc_id, replace(replace(text, chr(13), ''), chr(0), '') AS text, source FROM documents WHERE text IS NOT NULL AND trim(text) <> ''""")
+@register("scan_csv_quoted", "SELECT doc_id, nullif(text, '') AS text, source FROM documents")
 def q_scan_quoted(spark, sf):
-    """All rows of the documents and their whole texts, staged as CSV and read back.
+    """All rows of the documents and their whole texts, staged as CSV and read back with default arguments.
 
     An empty field is NULL, quoted or not.  Every other text comes back as it was: quotes, commas, white space (also
     alone), NUL, and line breaks inside quotes, of which ``\\r``, ``\\n`` and ``\\r\\n`` stay what they are.
@@ -216,4 +215,19 @@ def q_scan_quoted(spark, sf):
     path = staging_path(spark, f"{_tag(sf)}/texts.csv")
     write_csv(ad.table(spark, sf, "documents").select("doc_id", "text", "source"), path,
               ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return files.scan_csv(spark, path, multi_line=True, na_values=[])
+    return files.scan_csv(spark, path, na_values=[])
+
+
+@register("scan_csv_mixed_headers", """
+SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 3 = 1 THEN o_orderpriority END AS o_orderpriority,
+       CASE WHEN o_orderkey % 3 = 2 THEN 'line ' || o_orderstatus || chr(10) || '"' || o_orderpriority || '", end' END AS note FROM orders""")
+def q_scan_mixed(spark, sf):
+    """A folder of files of two, three and four columns in different orders; one kind has line breaks in quoted fields."""
+    base = staging_path(spark, f"{_tag(sf)}/orders_mixed")
+    o = ad.table(spark, sf, "orders")
+    note = F.concat(F.lit("line "), "o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('", end'))
+    key = F.col("o_orderkey") % 3
+    write_csv(o.where(key == 0).select("o_orderkey", "o_custkey", "o_totalprice"), f"{base}/a")
+    write_csv(o.where(key == 1).select("o_totalprice", "o_orderkey", "o_custkey", "o_orderpriority"), f"{base}/b")
+    write_csv(o.where(key == 2).select("o_orderkey", note.alias("note"), "o_custkey", "o_totalprice"), f"{base}/c")
+    return files.scan_csv(spark, f"{base}/*/*.csv")

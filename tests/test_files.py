@@ -233,3 +233,71 @@ def test_queries_do_not_share_staged_files(spark):
     first = load_all()["scan_csv"][0](spark, sf)
     second = load_all()["scan_parse_dates"][0](spark, sf)
     assert first.count() == second.count() == first.count()
+
+
+def _rows(df, *by):
+    return [tuple(r) for r in df.orderBy(*by).collect()]
+
+
+def test_csv_line_breaks_in_quotes_by_default(spark, tmp):
+    p = _write(os.path.join(tmp, "q.csv"), b'\n  \nid,note,v\r\n1,"l1\nl2",x\r\n2,"a ""b""\r\n,c\rd",y\n\n3,5" pipe,z\n4,"",\n5,x"y"z,"\n"\n')
+    got = _rows(files.scan_csv(spark, p), "id")
+    assert got == [(1, "l1\nl2", "x"), (2, 'a "b"\r\n,c\rd', "y"), (3, '5" pipe', "z"), (4, None, None), (5, 'x"y"z', "\n")]
+
+
+def test_csv_record_starts_in_split_files(spark, tmp):
+    """Records longer than a split, quotes and separators at split borders, against the csv module."""
+    import csv
+    import random
+    rng = random.Random(8)
+    rows = [["id", "text", "n"]]
+    for i in range(400):
+        text = "".join(rng.choice(["a", ",", '"', "\n", "\r\n", "\r", " ", "word", "\n\n", '""']) for _ in range(rng.choice([1, 3, 30, 400])))
+        rows.append([str(i), "t" + text + "t", rng.choice(["x", "y z"])])
+    p = os.path.join(tmp, "split.csv")
+    with open(p, "w", newline="") as fh:
+        csv.writer(fh, lineterminator="\n").writerows(rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert spark.read.option("lineSep", "\n").text(p).rdd.getNumPartitions() > 20
+        got = files.scan_csv(spark, p, na_values=[], infer_types=False).collect()
+        flat = files.scan_csv(spark, _write(os.path.join(tmp, "flat.csv"), b"a,b\n" + b"1,x\n" * 2000))
+        assert flat.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in rows[1:])
+
+
+def test_csv_folder_of_different_widths(spark, tmp):
+    d = os.path.join(tmp, "mixed [1]")
+    os.mkdir(d)
+    _write(os.path.join(d, "a.csv"), b"a,b\n1,2\n")
+    _write(os.path.join(d, "b {x}.csv"), b"a,b,c\n3,4,5\n")
+    _write(os.path.join(d, "c.csv"), '\n\nc,"a\nz",b\nü,"n\né\rm",8\n'.encode("latin-1"))
+    got = files.scan_csv(spark, d.replace("[", "\\[").replace("]", "\\]"))
+    assert got.columns == ["a", "b", "c", "a\nz"]
+    assert sorted(map(str, _rows(got, "b"))) == sorted(map(str, [(1, 2, None, None), (3, 4, "5", None), (None, 8, "ü", "n\né\rm")]))
+
+
+def test_csv_quote_that_never_ends(spark, tmp):
+    p = _write(os.path.join(tmp, "open.csv"), b'a,b\n1,"x\n2,y\n')
+    with pytest.raises(ValueError, match="never ends"):
+        files.scan_csv(spark, p)
+    assert files.scan_csv(spark, p, multi_line=False).count() == 2
+
+
+def test_csv_comment_lines(spark, tmp):
+    p = _write(os.path.join(tmp, "com.csv"), b'# "head\na,b\n# it"s\n1,"x\n# y"\n')
+    assert _rows(files.scan_csv(spark, p, comment="#"), "a") == [(1, "x\n# y")]
+
+
+def test_csv_intake_is_one_scan(spark, tmp, monkeypatch):
+    """Encoding, header and record starts come from one reading of the lines; Spark's reader then reads the data."""
+    p = _write(os.path.join(tmp, "one.csv"), b"a,b\n1,x\n")
+    plans = []
+    real = files.materialize
+    monkeypatch.setattr(files, "materialize", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    df = files.scan_csv(spark, p, infer_types=False)
+    assert [x.count("FileScan text") for x in plans] == [1]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
