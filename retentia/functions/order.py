@@ -105,6 +105,24 @@ def running_sum(df: DataFrame, value: str, out: str, order: list[Column], bucket
     return res.drop(BUCKET, "_okey", "_carry")
 
 
+def prefixes(df: DataFrame, order: list[Column], sums: dict[str, str], index: str) -> DataFrame:
+    """``df`` with the 0-based position ``index`` and the running sum of each column of ``sums`` (new name -> column).
+
+    One range partitioning and one bucket summary serve all of them.
+    """
+    tagged = _bucketed(df, order, None)
+    before = _bucket_summary_window()
+    own = {"_n": F.count(F.lit(1)), **{f"_s{i}": F.sum(v) for i, v in enumerate(sums.values())}}
+    summary = tagged.groupBy(BUCKET).agg(*[e.alias(n) for n, e in own.items()])
+    carry = summary.select(BUCKET, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_c{n}") for n in own])
+    inside = W.partitionBy(BUCKET).orderBy(F.col("_okey"))
+    res = _join_carry(tagged, carry).withColumn(index, F.row_number().over(inside) - 1 + F.col("_c_n"))
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    if sums:
+        res = res.withColumns({out: F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.col(f"_c_s{i}") for i, (out, v) in enumerate(sums.items())})
+    return res.drop(BUCKET, "_okey", *[f"_c{n}" for n in own])
+
+
 def row_index(df: DataFrame, out: str, order: list[Column], bucket: Column | None = None) -> DataFrame:
     """0-based position of each row in ``order`` (bucket counts + in-bucket row_number)."""
     tagged = _bucketed(df, order, bucket)

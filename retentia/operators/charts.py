@@ -109,12 +109,10 @@ def quarterly_composition(df: DataFrame) -> DataFrame:
     """
     cells = _keyed(df, "order_date", "product_line").groupBy(_quarter().alias("quarter"), "product_line").agg(
         F.sum("order_amount").cast("double").alias("revenue"))
-    products = cells.agg(F.sort_array(F.collect_set("product_line")).alias("p")).scalar()
-    quarters = cells.groupBy("quarter").agg(
-        F.map_from_entries(F.collect_list(F.struct("product_line", "revenue"))).alias("by_product"),
-        F.sum("revenue").alias("quarter_total"))
-    longf = quarters.select("quarter", "quarter_total", "by_product", F.explode(products).alias("product_line"))
-    longf = longf.withColumn("revenue", F.coalesce(F.try_element_at("by_product", F.col("product_line")), F.lit(0.0)))
+    quarters = cells.groupBy("quarter").agg(F.sum("revenue").alias("quarter_total"))
+    # The result itself has a row for every quarter and product, so this spine is no larger than it.
+    spine = quarters.crossJoin(cells.select("product_line").distinct())
+    longf = spine.join(cells, ["quarter", "product_line"], "left").withColumn("revenue", F.coalesce("revenue", F.lit(0.0)))
     return longf.select("quarter", "product_line", "revenue", "quarter_total",
                         (F.col("revenue") / F.col("quarter_total")).alias("share"))
 

@@ -101,8 +101,7 @@ def histogram(values: DataFrame, value: str = V, group: str | None = None, max_b
                          F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
                          F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
     if g:
-        # Per-group bin parameters: one row per group, broadcast is bounded by the group count.
-        j = values.join(F.broadcast(stats), g, "inner")
+        j = values.join(stats, g, "inner")  # one row per group, of any number of groups
     else:
         # One group: the bin parameters are three literals.
         p = stats.first()

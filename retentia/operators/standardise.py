@@ -78,7 +78,7 @@ def standardise_boolean(c, true_values: Sequence = TRUE_VALUES, false_values: Se
     out = F.when(s.isin(t), F.lit(True)).when(s.isin(f), F.lit(False))
     if errors == "raise":
         out = F.when(s.isNotNull() & out.isNull(),
-                     F.raise_error(F.concat(F.lit("Unrecognized boolean value: "), s)).cast("boolean")
+                     F.raise_error(F.concat(F.lit("neither a true nor a false value: "), s)).cast("boolean")
                      ).otherwise(out)
     return out.cast("boolean")
 

@@ -1,10 +1,12 @@
 """Time series (W5-W12, C10): calendar resampling, row-based rolling means,
 month-over-month change, trend, cumulative revenue.
 
-Row order is explicit (``date``).  Positions come from ``order.row_index``
-(monthly buckets + prefix counts), rolling means from ``order.rolling_mean_rows``
-(blocks with a halo) and running sums from ``order.running_sum``; none of
-them funnels the series through one task.  Calendar spines are generated
+Row order is explicit and total: the date, then ``row_id`` if the series has such
+a column, else the values themselves, so that rows of one date have one order
+whatever the order of the input (rows equal in all of these are
+interchangeable).  Positions and running sums come from ``order.prefixes`` (range
+partitions of that order), rolling means from ``order.rolling_mean_rows`` (blocks
+with a halo); none of them funnels the series, or a date, through one task.  Calendar spines are generated
 from the min / max date (bounded by the calendar span, not by the data).
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.order import rolling_mean_rows, row_index, running_sum
+from ..functions.order import prefixes, rolling_mean_rows, running_sum
 
 D, REV, ORD = "date", "revenue", "orders"
 # Trend interpretations.
@@ -23,8 +25,8 @@ TREND_DOWN = "Declining momentum - investigate causes"
 TREND_STABLE = "Stable momentum - maintain and monitor current strategy"
 
 
-def _month_bucket():
-    return F.trunc(F.col(D), "month")
+def _order(ts: DataFrame) -> list:
+    return [F.col(D), F.col("row_id")] if "row_id" in ts.columns else [F.col(D), F.col(REV), F.col(ORD)]
 
 
 def _resample(ts: DataFrame, label, step: str, spine_start, spine_end) -> DataFrame:
@@ -73,24 +75,25 @@ def growth_decline(ts: DataFrame) -> DataFrame:
 
 
 def indexed(ts: DataFrame) -> DataFrame:
-    return row_index(ts, "idx", [F.col(D)], _month_bucket())
+    return prefixes(ts, _order(ts), {}, "idx")
 
 
 def rolling(ts: DataFrame) -> DataFrame:
     """MA7 and MA30 over rows (not calendar days), NULL until the window is full."""
-    x = indexed(ts)
+    return _means(indexed(ts))
+
+
+def _means(x: DataFrame) -> DataFrame:
     x = rolling_mean_rows(x, REV, "idx", 7, "revenue_ma7")
-    x = rolling_mean_rows(x, REV, "idx", 30, "revenue_ma30")
-    return x
+    return rolling_mean_rows(x, REV, "idx", 30, "revenue_ma30")
 
 
 def cumulative(ts: DataFrame) -> DataFrame:
-    return running_sum(ts, REV, "cumulative_revenue", [F.col(D)], _month_bucket())
+    return running_sum(ts, REV, "cumulative_revenue", _order(ts))
 
 
 def chart_series(ts: DataFrame) -> DataFrame:
-    r = rolling(ts)
-    return running_sum(r, REV, "cumulative_revenue", [F.col(D)], _month_bucket())
+    return _means(prefixes(ts, _order(ts), {"cumulative_revenue": REV}, "idx"))
 
 
 def trend(ts: DataFrame) -> DataFrame:

@@ -104,6 +104,18 @@ def q_explode(spark, sf):
     return files.scan_json(spark, staged_event_records(spark, sf), record_path="readings", meta=["event_id", "user_id"])
 
 
+@register("json_explode_nested", """
+SELECT l_linenumber, l_quantity, l_orderkey AS order_key, l_suppkey AS suppliers_l_suppkey FROM lineitem""")
+def q_explode_nested(spark, sf):
+    """Order documents with a list of suppliers, each with a list of lines; meta from the order and from the supplier."""
+    lines = ad.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+        F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("lines"))
+    doc = lines.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.collect_list(F.struct("l_suppkey", "lines")).alias("suppliers"))
+    path = staging_path(spark, f"{_tag(sf)}/order_lines.json")
+    write_json(doc, path)
+    return files.scan_json(spark, path, record_path=["suppliers", "lines"], meta=["order_key", ["suppliers", "l_suppkey"]])
+
+
 _KV = S.with_(S.TRANSACTIONS) + """, kv AS (SELECT * FROM (SELECT
    CAST((SELECT count(DISTINCT customer_id) FROM transactions
          WHERE transaction_date >= (SELECT max(transaction_date) FROM transactions) - INTERVAL 30 DAY) AS DOUBLE) AS monthly_active_users,

@@ -118,6 +118,27 @@ def q_series(spark, sf):
                     F.round("cumulative_revenue", 2).alias("cumulative_revenue"))
 
 
+_BY_ORDER = "ORDER BY date, row_id ROWS BETWEEN"
+
+
+@register("ts_order_series", f"""
+WITH daily AS (SELECT CAST(o_orderdate AS DATE) AS date, o_totalprice AS revenue, o_orderkey AS row_id FROM orders)
+SELECT row_id, date, round(revenue, 2) AS revenue, row_number() OVER (ORDER BY date, row_id) - 1 AS idx,
+  CASE WHEN count(*) OVER ({_BY_ORDER} 6 PRECEDING AND CURRENT ROW) = 7
+       THEN round(avg(revenue) OVER ({_BY_ORDER} 6 PRECEDING AND CURRENT ROW), 4) END AS revenue_ma7,
+  CASE WHEN count(*) OVER ({_BY_ORDER} 29 PRECEDING AND CURRENT ROW) = 30
+       THEN round(avg(revenue) OVER ({_BY_ORDER} 29 PRECEDING AND CURRENT ROW), 4) END AS revenue_ma30,
+  round(sum(revenue) OVER ({_BY_ORDER} UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS cumulative_revenue
+FROM daily""")
+def q_order_series(spark, sf):
+    """The series of single orders: many rows of one date, in the order of (date, row_id)."""
+    rows = ad.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("revenue"),
+                                                F.lit(1).alias("orders"), F.col("o_orderkey").alias("row_id"))
+    c = tsr.chart_series(rows)
+    return c.select("row_id", "date", F.round("revenue", 2).alias("revenue"), "idx", F.round("revenue_ma7", 4).alias("revenue_ma7"),
+                    F.round("revenue_ma30", 4).alias("revenue_ma30"), F.round("cumulative_revenue", 2).alias("cumulative_revenue"))
+
+
 @register("ts_trend", S.with_(S.DAILY, _ROLL) + """
 SELECT CASE WHEN lst - fst > 0 THEN 'up' WHEN lst - fst < 0 THEN 'down' ELSE 'stable' END AS trend_direction,
        round(lst - fst, 4) AS change, round((lst - fst) / fst * 100, 6) AS trend_magnitude_pct,

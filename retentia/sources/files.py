@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import NA_TOKENS, na_to_null
 from ..session import materialize
@@ -404,23 +404,30 @@ def flatten_columns(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*exprs)
 
 
-def explode_records(df: DataFrame, record_path: str | Sequence[str], meta: Sequence[str] = (), sep: str = "_",
+def explode_records(df: DataFrame, record_path: str | Sequence[str], meta: Sequence = (), sep: str = "_",
                     flatten: bool = True) -> DataFrame:
     """``json_normalize(record_path=, meta=)``: one row per element of the nested list, with meta columns.
 
+    A path of several names goes level by level: through an array to each of its elements, through a struct to its
+    field.  A meta path of ``n`` names is read from the object of level ``n - 1`` on the way to the records (level 0 is
+    the row), a longer one from the object that holds the records.
     An empty or missing list yields no rows (pandas raises on a missing path).
     """
-    rp = [record_path] if isinstance(record_path, str) else list(record_path)
-    arr = F.col(".".join(f"`{p}`" for p in rp))
-    metas = [F.col(".".join(f"`{p}`" for p in (m if isinstance(m, (list, tuple)) else [m])))
-             .alias(sep.join(m) if isinstance(m, (list, tuple)) else m) for m in meta]
-    out = df.select(F.explode(arr).alias("_rec"), *metas)
+    def column(level: int, names: Sequence[str]) -> Column:
+        return F.col(("_rec." if level else "") + ".".join(f"`{n}`" for n in names))
+
+    path = [record_path] if isinstance(record_path, str) else list(record_path)
+    metas = [[m] if isinstance(m, str) else list(m) for m in meta]
+    out, taken = df, []
+    for level, name in enumerate(path):
+        here = [i for i, m in enumerate(metas) if min(len(m), len(path)) - 1 == level]
+        out = out.select(*[f"_m{i}" for i in taken], *[column(level, metas[i][level:]).alias(f"_m{i}") for i in here],
+                         column(level, [name]).alias("_rec"))
+        taken += here
+        out = out.withColumn("_rec", F.explode("_rec")) if isinstance(out.schema["_rec"].dataType, ArrayType) else out.where("_rec IS NOT NULL")
     elem = out.schema["_rec"].dataType
-    if isinstance(elem, StructType):
-        out = out.select(*[F.col(f"_rec.`{f.name}`").alias(f.name) for f in elem.fields],
-                         *[c for c in out.columns if c != "_rec"])
-    else:
-        out = out.withColumnRenamed("_rec", "0")
+    fields = [F.col(f"_rec.`{f.name}`").alias(f.name) for f in elem.fields] if isinstance(elem, StructType) else [F.col("_rec").alias("0")]
+    out = out.select(*fields, *[F.col(f"_m{i}").alias(sep.join(m)) for i, m in enumerate(metas)])
     return flatten_columns(out, sep) if flatten else out
 
 

@@ -37,3 +37,16 @@ def test_scale_conf():
     c = scale_conf(100 * (1 << 40))
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert scale_conf(1)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_entry_hides_no_import_error(monkeypatch):
+    """Only the absence of the optional part itself is let pass."""
+    import sys
+    if os.path.isdir(os.path.join(ROOT, "retentia", "llm")):
+        for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("retentia.llm")]:
+            monkeypatch.delitem(sys.modules, name)
+        monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+        with pytest.raises(ImportError):
+            _entry()
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert len(_entry().queries()) >= 100

@@ -301,3 +301,20 @@ def test_csv_intake_is_one_scan(spark, tmp, monkeypatch):
     df = files.scan_csv(spark, p, infer_types=False)
     assert [x.count("FileScan text") for x in plans] == [1]
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+
+
+def test_json_record_path_through_lists_and_structs(spark, tmp):
+    """Against pandas: two list levels, a struct level, meta of every level."""
+    import pandas as pd
+    doc = [{"id": 1, "info": {"x": "p", "a": [{"n": "u", "k": {"z": 1}, "b": [{"v": 1}, {"v": 2}]}, {"n": "w", "k": {"z": 2}, "b": []}]},
+            "a": [{"n": "u", "k": {"z": 1}, "b": [{"v": 1}, {"v": 2}]}, {"n": "w", "k": {"z": 2}, "b": [{"v": 3}]}]},
+           {"id": 2, "info": {"x": "q", "a": [{"n": "o", "k": {"z": 4}, "b": [{"v": 9}]}]}, "a": [{"n": "o", "k": {"z": 3}, "b": [{"v": 4}]}]}]
+    p = _write(os.path.join(tmp, "nested.json"), json.dumps(doc).encode())
+    for path, meta in ((["a", "b"], ["id", ["a", "n"], ["a", "k", "z"], ["info", "x"]][:3]), (["info", "a"], ["id", ["info", "x"]]),
+                       (["info", "a", "b"], ["id", ["info", "x"], ["info", "a", "n"]]), ("a", ["id", ["info", "x"]])):
+        want = pd.json_normalize(doc, record_path=path, meta=meta, sep="_")
+        got = files.scan_json(spark, p, record_path=path, meta=meta)
+        assert set(got.columns) == set(want.columns)
+        want = want[[c for c in want.columns if not isinstance(want[c].iloc[0], list)]]  # lists print differently
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.values.tolist()))

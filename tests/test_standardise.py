@@ -117,7 +117,7 @@ def test_raise_mode(spark):
     df = spark.createDataFrame([("2025-01-01",), ("bad",)], "v string")
     with pytest.raises(Exception, match="unparseable datetime"):
         df.select(st.standardise_datetime("v", errors="raise")).collect()
-    with pytest.raises(Exception, match="Unrecognized boolean value"):
+    with pytest.raises(Exception, match="neither a true nor a false value"):
         spark.createDataFrame([("yes",), ("maybe",)], "v string").select(
             st.standardise_boolean("v", errors="raise")).collect()
     with pytest.raises(Exception, match="unparseable number"):

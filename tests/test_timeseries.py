@@ -60,3 +60,21 @@ def test_block_rolling_and_index_match_pandas(spark):
 def test_cumulative(spark):
     c = tsr.cumulative(daily(spark)).orderBy("date").collect()
     assert c[-1]["cumulative_revenue"] == 13199 and c[0]["cumulative_revenue"] == 100
+
+
+def test_repeated_dates_have_one_order(spark):
+    """Two and more rows of a date give the same averages and sums whatever the order of the input."""
+    rnd = random.Random(2)
+    rows = [(dt.date(2025, 1, 1) + dt.timedelta(days=i // 3), rnd.randint(0, 9) * 1.0, rnd.randint(1, 3)) for i in range(200)]
+    seen = set()
+    for k in range(3):
+        random.Random(k).shuffle(rows)
+        df = spark.createDataFrame(rows, "date date, revenue double, orders int").repartition(3 + k)
+        seen.add(tuple(sorted(map(tuple, tsr.chart_series(df).select("idx", "date", "revenue", "orders", "revenue_ma7", "revenue_ma30",
+                                                                   "cumulative_revenue").collect()), key=str)))
+    assert len(seen) == 1
+    ordered = sorted(rows)
+    want = pd.Series([r[1] for r in ordered]).rolling(7).mean()
+    got = sorted(map(tuple, tsr.chart_series(df).select("idx", "revenue_ma7", "cumulative_revenue").collect()), key=lambda r: r[0])
+    assert [g[2] for g in got] == list(pd.Series([r[1] for r in ordered]).cumsum())
+    assert all(g[1] is None and pd.isna(w) or g[1] == pytest.approx(w) for g, w in zip(got, want))
