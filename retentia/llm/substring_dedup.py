@@ -19,7 +19,7 @@ Texts are shuffled once by block; the three steps share that shuffle.
 Defined results: a null text has no words; windows are judged on the input;
 equal doc_ids do not remove each other; a null doc_id counts as larger than all
 others.  A text without repeats is returned unchanged, another as its kept words
-joined by one space.  A document must fit into a task's memory.
+joined by one space.  Columns of any name are kept.  A document must fit into a task's memory.
 """
 
 from __future__ import annotations
@@ -142,10 +142,22 @@ def _among_pairs(h1: np.ndarray, h2: np.ndarray, known: pa.Table) -> np.ndarray:
     return out
 
 
+def added_names(docs: DataFrame) -> list[str]:
+    """The names of the columns that ``remove_repeats`` adds: n_words, n_removed, kept_sha256, each after underscores if ``docs`` has it."""
+    out = []
+    for name in ("n_words", "n_removed", "kept_sha256"):
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the kept text in ``text``, and n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
-    added = ["n_words", "n_removed", "kept_sha256"]
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    """``docs`` with the kept text in ``text``, all its other columns, and the columns of ``added_names``.
+
+    These are the number of words, of words removed, and the digest of the kept words joined by one space.
+    """
+    added = added_names(docs)
     plain, new = plain_names(docs)
     doc_id, text = new["doc_id"], new["text"]
     blocks = pieces(docs, "text", BLOCK_BYTES)
@@ -207,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         out = [pa.array(texts, pa.string()) if c == text else t[c] for c in columns]
         return pa.table([*out, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], names=names_out)
 
-    names_out = [*columns, *added]
+    names_out = [*columns, "n_words", "n_removed", "kept_sha256"]  # the others are called c0, c1, ... here
 
     def schema_of(t: pa.Table):
         return [t.schema.field(c) for c in columns] + [pa.field("n", pa.int64()), pa.field("n", pa.int64()), pa.field("n", pa.string())]
