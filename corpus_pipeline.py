@@ -31,8 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that an earlier document holds go; documents left without words go too."""
     ship(spark)
-    cut = substring_dedup.remove_repeats(docs)
-    return cut.where("n_removed < n_words OR n_words = 0").select(*docs.columns)
+    n_words, n_removed, _ = [F.col(c) for c in substring_dedup.added_names(docs)]
+    return substring_dedup.remove_repeats(docs).where((n_removed < n_words) | (n_words == 0)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
