@@ -31,6 +31,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from importlib.metadata import version as library_version
 
 import pyarrow as pa
@@ -89,7 +90,7 @@ class Tokenizer:
         for i, t in enumerate(texts):
             if len(t) <= CALL_BYTES and _PLAIN.fullmatch(t) and not any(s in t for s in self.special):
                 parts = _SPLIT.findall(t)
-                if new := [*(set(parts) - self.known.keys())]:
+                if new := [p for p in set(parts) if p not in self.known]:
                     if len(self.known) > MEMO:
                         self.known, new = {}, [*set(parts)]
                     self.known.update(zip(new, self._counts(new)))
@@ -111,6 +112,11 @@ class Tokenizer:
         return out + [len(x) for x in self._encode(group)] if group else out
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer(path)  # the tasks of a Python worker share what it remembers
+
+
 def tokenizer_version(path: str) -> str:
     """Digest of all that a count depends on besides the text."""
     library = "sentencepiece" if path.endswith(".model") else "tokenizers"
@@ -137,7 +143,7 @@ def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
 def encoded(texts: DataFrame, path: str) -> DataFrame:
     """(digest, n_tokens) of rows (digest, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = _tokenizer(path)
         for b in batches:
             n = tokenizer.counts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
