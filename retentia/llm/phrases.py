@@ -48,7 +48,8 @@ TABLE_BITS = 24
 #: Rows that ask for the count of one phrase are spread over this many groups.
 SALTS = 64
 
-_BLOCK = "shard int, words array<string>, langs array<string>, hashes array<long>, ids array<int>, lang_names array<string>, lang_words array<long>"
+#: Lists of numbers travel as bytes; words, which hold no line break, as lines.
+_BLOCK = "shard int, words string, langs binary, hashes binary, ids binary, lang_names array<string>, lang_words array<long>"
 _COUNTED = "phrase string, c long, until int"
 
 #: Lower case, blanks to spaces, marks between pieces to line breaks.
@@ -66,6 +67,14 @@ def extend(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(h * _NEXT + word)
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the first of each distinct value, number of the distinct value at each position)."""
+    codes = pa.array(key).dictionary_encode().indices.to_numpy()
+    first = np.empty(int(codes.max()) + 1 if len(codes) else 0, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return first, codes
+
+
 def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> _U(64 - bits)).astype(np.int64), (h & _U((1 << bits) - 1)).astype(np.int64)
 
@@ -95,12 +104,15 @@ def block(langs: list[str], texts: list[bytes]) -> dict:
     words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~blank])]).dictionary_encode()
     codes = np.array([code[n] for n in langs])[np.searchsorted(ends_of_texts, starts, "right")]
     v = max(1, len(words.dictionary))
-    own, ids = np.unique(codes * v + words.indices.to_numpy(), return_inverse=True)
+    key = codes * v + words.indices.to_numpy()
+    first, ids = distinct(key)
+    own = key[first]
     piece = np.cumsum(raw == 10, dtype=np.int32)[starts]
     ids = np.insert(ids.astype(np.int32) + 1, np.flatnonzero(np.diff(piece)) + 1, 0)
-    word_list, lang_list = words.dictionary.take(pa.array(own % v)), pa.array(names).take(pa.array(own // v))
-    hashes = np.array([word_hash(a, w) for a, w in zip(lang_list.to_pylist(), word_list.to_pylist())], _U).view(np.int64)
-    return {"words": word_list, "langs": lang_list, "hashes": pa.array(hashes), "ids": pa.array(ids), "lang_names": pa.array(names), "lang_words": pa.array(np.bincount(codes, minlength=len(names)))}
+    word_list, langs = words.dictionary.take(pa.array(own % v)).to_pylist(), (own // v).astype(np.int32)
+    hashes = np.array([word_hash(names[a], w) for a, w in zip(langs.tolist(), word_list)], _U)
+    return {"words": "\n".join(word_list), "langs": langs.tobytes(), "hashes": hashes.tobytes(), "ids": ids.astype(np.int32).tobytes(),
+            "lang_names": names, "lang_words": np.bincount(codes, minlength=len(names)).tolist()}
 
 
 def _blocks(shards: int):
@@ -108,8 +120,10 @@ def _blocks(shards: int):
         number, langs, texts, size = TaskContext.get().partitionId(), [], [], 0
 
         def made():
-            lists = {k: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for k, x in block(langs, texts).items()}
-            return pa.RecordBatch.from_arrays([pa.array([number % shards], pa.int32()), *lists.values()], names=["shard", *lists])
+            return pa.RecordBatch.from_pylist([{"shard": number % shards, **block(langs, texts)}], schema=schema)
+
+        schema = pa.schema([("shard", pa.int32()), ("words", pa.string()), ("langs", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary()),
+                            ("lang_names", pa.list_(pa.string())), ("lang_words", pa.list_(pa.int64()))])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
@@ -160,9 +174,10 @@ def counted(words: pa.Array, langs: pa.Array, ids: np.ndarray, n: int, at: np.nd
     key = ids[at].astype(np.int64)
     for k in range(1, n):
         if k > 1:
-            key = np.unique(key, return_inverse=True)[1]
+            key = distinct(key)[1].astype(np.int64)
         key = key * base + ids[at + k]
-    _, first, c = np.unique(key, return_index=True, return_counts=True)
+    first, codes = distinct(key)
+    c = np.bincount(codes, minlength=len(first))
     chosen = at[first]
     parts = [words.take(pa.array(ids[chosen + k] - 1)) for k in range(n)]
     # Words hold no tab: it parts the phrase and its language, which together are the name of a row.
@@ -175,12 +190,13 @@ def _counts(table, step: int, shards: int, longest: int):
         known = np.frombuffer(table.value, np.uint8)
         for b in batches:
             for i in range(b.num_rows):
-                words, langs, hashes, ids = (b.column(c)[i].values for c in ("words", "langs", "hashes", "ids"))
-                ids = ids.to_numpy()
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                words, ids, hashes = pa.array(row["words"].split("\n")), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["hashes"], _U)
+                langs = pa.array(row["lang_names"], pa.string()).take(pa.array(np.frombuffer(row["langs"], np.int32)))
                 if step < shards:
                     at = np.flatnonzero(ids)
                     yield counted(words, langs, ids, 1, at, np.full(len(at), shards - 1))
-                for n, at, until in active(ids, hashes.to_numpy().view(_U), known, step, shards, longest):
+                for n, at, until in active(ids, hashes, known, step, shards, longest):
                     if len(at):
                         yield counted(words, langs, ids, n, at, until)
 
@@ -225,7 +241,7 @@ def frequent(path: str, spark, shards: int, threshold: int = THRESHOLD, longest:
     state, step, last = None, 0, -1
     while step < shards or step <= last + shards:
         shared = spark.sparkContext.broadcast(table.tobytes())
-        rows = blocks.where(F.col("shard") == step % shards).select("words", "langs", "hashes", "ids")
+        rows = blocks.where(F.col("shard") == step % shards).select("words", "langs", "hashes", "ids", "lang_names")
         # info: the step after the one that reached the threshold (0: none), then the bits of the counted shards.
         new = rows.mapInArrow(_counts(shared, step, shards, longest), _COUNTED).withColumns({"f": zero, "info": zero})
         both = new if state is None else new.unionByName(state.withColumn("c", zero))
