@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from ..session import staging_path
 
 
-def hold(df: DataFrame) -> DataFrame:
+def hold(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back: lineage ends there.
 
-    A lost executor then costs a reread of these files, never a recomputation.
+    ``options`` go to the writer.  A lost executor then costs a reread of these files, never a recomputation.
     """
     spark = df.sparkSession
     path = staging_path(spark, f"llm/{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._held_path = path
     return out

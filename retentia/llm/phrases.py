@@ -126,8 +126,8 @@ def _blocks(shards: int):
                             ("lang_names", pa.list_(pa.string())), ("lang_words", pa.list_(pa.int64()))])
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                for cut in _cut(text.encode("utf-8").translate(_LETTERS)):
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+                for cut in _cut(text.translate(_LETTERS)):
                     langs.append(lang)
                     texts.append(cut)
                     size += len(cut) + 1
@@ -168,8 +168,8 @@ def active(ids: np.ndarray, hashes: np.ndarray, table: np.ndarray, step: int, sh
         t[both] = probe(h[both])
 
 
-def counted(words: pa.Array, langs: pa.Array, ids: np.ndarray, n: int, at: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
-    """The distinct phrases of ``n`` words that start at ``at``, each with its number."""
+def counted(words: pa.Array, last: pa.Array, ids: np.ndarray, n: int, at: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
+    """The distinct phrases of ``n`` words that start at ``at``, each with its number; ``last``: words as a phrase ends with them."""
     base = len(words) + 1
     key = ids[at].astype(np.int64)
     for k in range(1, n):
@@ -179,9 +179,8 @@ def counted(words: pa.Array, langs: pa.Array, ids: np.ndarray, n: int, at: np.nd
     first, codes = distinct(key)
     c = np.bincount(codes, minlength=len(first))
     chosen = at[first]
-    parts = [words.take(pa.array(ids[chosen + k] - 1)) for k in range(n)]
-    # Words hold no tab: it parts the phrase and its language, which together are the name of a row.
-    phrase = pc.binary_join_element_wise(parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " "), langs.take(pa.array(ids[chosen] - 1)), "\t")
+    parts = [(words if k < n - 1 else last).take(pa.array(ids[chosen + k] - 1)) for k in range(n)]
+    phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
     return pa.RecordBatch.from_arrays([phrase, pa.array(c, pa.int64()), pa.array(until[first].astype(np.int32))], names=["phrase", "c", "until"])
 
 
@@ -193,12 +192,14 @@ def _counts(table, step: int, shards: int, longest: int):
                 row = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 words, ids, hashes = pa.array(row["words"].split("\n")), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["hashes"], _U)
                 langs = pa.array(row["lang_names"], pa.string()).take(pa.array(np.frombuffer(row["langs"], np.int32)))
+                # Words hold no tab: it parts the phrase and its language, which together are the name of a row.
+                ends = pc.binary_join_element_wise(words, langs, "\t")
                 if step < shards:
                     at = np.flatnonzero(ids)
-                    yield counted(words, langs, ids, 1, at, np.full(len(at), shards - 1))
+                    yield counted(words, ends, ids, 1, at, np.full(len(at), shards - 1))
                 for n, at, until in active(ids, hashes, known, step, shards, longest):
                     if len(at):
-                        yield counted(words, langs, ids, n, at, until)
+                        yield counted(words, ends, ids, n, at, until)
 
     return run
 
@@ -252,7 +253,8 @@ def frequent(path: str, spark, shards: int, threshold: int = THRESHOLD, longest:
         reaches = (F.col("f") >= threshold) & (F.shiftright("info", 32) == 0)
         info = F.when(reaches, info.bitwiseOR(F.lit((step + 1) << 32).cast("long"))).otherwise(info)
         merged = merged.select("phrase", "f", info.alias("info"), "until").where((F.col("f") >= threshold) | (F.col("until") > step))
-        before, state = state, hold(merged)
+        # Almost every phrase is a value of its own: a dictionary of them would only cost time.
+        before, state = state, hold(merged, **{"compression": "snappy", "parquet.enable.dictionary": "false"})
         if before is not None:
             release(before)
         shared.destroy()
