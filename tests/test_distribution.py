@@ -57,5 +57,5 @@ def test_density_matches_direct_sum(spark):
 def test_load_revenue_guard(spark):
     from retentia.sources.loaders import load_revenue
     df = spark.createDataFrame([(1, "5"), (2, "-3")], "customer_id int, transaction_amount string")
-    with pytest.raises(Exception, match="two non-negative"):
+    with pytest.raises(Exception, match="revenue distribution needs 2 values"):
         load_revenue(df).collect()
