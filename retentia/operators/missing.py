@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from ..functions.order import forward_fill
 from ..session import materialize
-from ..functions.stats import exact_quantiles, mode_value, quantile_values
+from ..functions.stats import column_quantiles, mode_value
 
 # The treatment log's reasoning texts.
 REASON_DROP = ("Dropped {n} rows with missing critical identifier '{c}'. "
@@ -176,10 +176,12 @@ def handle_missing_values(df: DataFrame, critical_identifiers: Sequence[str] = (
         treated.add(c)
         return n
 
+    # Filling a column changes no other column's median, nor its own, so one selection serves all of them.
+    medians = column_quantiles(cur, [c for c in numerical_median_cols if c in cur.columns], [0.5])
     for c in numerical_median_cols:
         if c not in cur.columns:
             continue
-        med = F.lit(quantile_values(cur, c, [0.5])[0]).cast("double")
+        med = F.lit(medians[c][0]).cast("double")
         n = missing_now(c)
         shown = _py_float_text(F.round(med, 4))
         add(_log_row(spark, c, "median_imputation", n, shown,
@@ -230,13 +232,10 @@ def _widen(df: DataFrame, c: str) -> Column:
 
 
 def median_fill_numeric(df: DataFrame) -> DataFrame:
-    """Fill every numeric column's NULLs with its exact median (one grouped quantile job)."""
+    """Fill every numeric column's NULLs with its exact median (one selection for all columns)."""
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
     if not num:
         return df
-    longf = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in num])).alias("r")
-    ).select("r.column", "r.v")
-    meds = {r["column"]: r["m"] for r in exact_quantiles(longf, "v", [0.5], group="column", names=["m"]).collect()}
+    meds = {c: m for c, (m,) in column_quantiles(df, num, [0.5]).items()}
     fills = {c: F.coalesce(_widen(df, c), F.lit(meds.get(c)).cast("double")) for c in num}
     return df.withColumns(fills)

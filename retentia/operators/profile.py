@@ -3,7 +3,7 @@ categorical distributions, IQR outliers and a quality score.
 
 The reference scans the frame once per column and per statistic.  Here the
 numeric profile is one long ``(column, value)`` projection: one grouped
-aggregate for the moments, one grouped exact-quantile job for the quartiles,
+aggregate for the moments, one radix selection for the quartiles,
 and one grouped count for the outliers — the work does not multiply with the
 number of columns.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-from ..functions.stats import exact_quantiles
+from ..functions.stats import column_quantiles
 from ..session import materialize
 from .dedup import exact_duplicate_stats
 from .missing import is_missing
@@ -71,12 +71,6 @@ def profile_uniqueness(df: DataFrame, primary_key: str | None = None) -> DataFra
     return out
 
 
-def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("r")
-    ).select("r.column", "r.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
 def _r(x: float, digits: int) -> float:
     """Round half up on the shortest decimal text, as Spark's ``round`` does (keeps driver-side
     results identical to the column expressions used everywhere else)."""
@@ -90,8 +84,7 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     Count, mean, minimum and maximum of all columns are one wide aggregate, the
     central moments behind the sample std and the corrected skewness (two-pass,
     numerically stable) and the IQR outlier counts a second one; neither
-    shuffles rows.  Only the quartiles use the long form, where equal values
-    collapse map-side before the shuffle.
+    shuffles rows.  The quartiles of all columns come from one radix selection.
     """
     cols = numeric_columns(df)
     spark = df.sparkSession
@@ -108,9 +101,8 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     cols = [c for c in cols if first[f"n{at[c]}"]]
     if not cols:
         return spark.createDataFrame([], _NUMERIC_SCHEMA)
-    counts = _long_numeric(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
-    qrows = {r["column"]: r for r in exact_quantiles(counts, "v", [0.25, 0.5, 0.75], group="column",
-                                                     names=["q25", "median", "q75"], weight="c").collect()}
+    quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+    qrows = {c: dict(zip(("q25", "median", "q75"), quartiles[c])) for c in cols}
     aggs = []
     for c in cols:
         i, q = at[c], qrows[c]

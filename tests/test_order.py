@@ -67,6 +67,52 @@ def test_quantiles_equal_numpy(spark):
         float(np.median([1, 1, 1, 2, 5, 5])))
 
 
+def test_quantiles_over_every_magnitude(spark):
+    """Signs, zeros, infinities, subnormal numbers, neighbouring doubles and a hot value, against numpy."""
+    import numpy as np
+    import retentia.functions.stats as S
+    rnd = random.Random(5)
+    wild = [rnd.choice((-1, 1)) * rnd.random() * 10.0 ** rnd.randint(-320, 300) for _ in range(3000)]
+    close = [1.0 + k * 2.0 ** -52 for k in range(1, 501)]
+    hot = [7.5] * 1500 + [rnd.gauss(0, 1) for _ in range(1500)]
+    edge = [0.0, -0.0, 5e-324, -5e-324, 1.0, 1.0, -1.0]
+    cols = {"wild": wild, "close": close, "hot": hot, "edge": edge}
+    n = max(map(len, cols.values()))
+    rows = [tuple(v[i] if i < len(v) else (None if i % 2 else float("nan")) for v in cols.values()) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(7)
+    qs = [0.0, 0.001, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = S.column_quantiles(df, list(cols), qs)
+    for c, vals in cols.items():
+        assert got[c] == pytest.approx([float(np.quantile(np.array(vals), q)) for q in qs], rel=1e-12, abs=5e-324), c
+    long_ = df.selectExpr("stack(4, " + ", ".join(f"'{c}', {c}" for c in cols) + ") AS (g, v)")
+    long_ = long_.unionByName(spark.createDataFrame([(None, 2.0), (None, 4.0)], "g string, v double"))
+    names = [f"q{i}" for i in range(len(qs))]
+    by_group = {r["g"]: [r[x] for x in names] for r in S.exact_quantiles(long_, "v", qs, group="g", names=names).collect()}
+    assert by_group.pop(None)[3] == 3.0
+    assert by_group == got
+    inf = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),), (float("inf"),)], "v double")
+    assert S.quantile_values(inf, "v", [0.0, 1 / 3, 1.0]) == [float("-inf"), 1.0, float("inf")]
+    assert S.column_quantiles(df.where("false"), ["hot", "edge"], [0.5]) == {"hot": [None], "edge": [None]}
+
+
+def test_selection_sorts_and_stores_no_rows(spark, monkeypatch):
+    """Every round is a partial aggregate; what is shuffled is at most one row per bucket and task."""
+    import retentia.functions.stats as S
+    seen = []
+    whole = S._buckets
+
+    def watched(rows, keys):
+        out = whole(rows, keys)
+        seen.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(S, "_buckets", watched)
+    df = spark.range(20000).selectExpr("cast(hash(id) as double) / 7 AS v")
+    S.quantile_values(df, "v", [0.25, 0.5, 0.75])
+    assert 2 <= len(seen) <= 5
+    assert not any("RepartitionByExpression" in p or "Sort " in p for p in seen)
+
+
 def test_forward_fill_summary_is_bounded_by_partitions(spark):
     """Every date spans many id blocks; the carry still has one row per range partition at most."""
     from retentia.functions.order import BUCKET, ranged
