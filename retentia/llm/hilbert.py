@@ -1,9 +1,10 @@
 """Sharding along a Hilbert curve, with DataFrame operations only.
 
-Several metadata columns are quantised into ``2 ** BITS`` order-preserving steps
-(cut points are approximate quantiles over all rows, so steps hold similar
-numbers of rows), the steps are mapped to their place on a Hilbert curve, and
-the curve is cut into runs of equal row counts.  A run covers a compact box in
+Several metadata columns are quantised into ``2 ** BITS`` order-preserving steps,
+the steps are mapped to their place on a Hilbert curve, and the curve is cut into
+runs of equal row counts.  Steps hold similar numbers of rows: the cut points of
+sizes are approximate quantiles over all rows, those of ``lang`` and ``source``
+are whole values, found by counting every value and summing the counts in order.  A run covers a compact box in
 every dimension, so a filter on any of them skips most files (``prune``).
 
 Rows never meet in one sorted task: rows are counted by (curve cell, salt), two
@@ -11,9 +12,9 @@ small prefix sums give each of these groups its place, and only inside such a
 group are rows numbered.  A cell with a third of all rows is ``SALTS`` groups.
 
 Defined results: law ``rows``, shard sizes differ by at most one; a null text has
-size 8 and crc32 0; a null or empty dimension is in the lowest step; ties are
-ordered by doc_id, then by size and text checksum, and wholly equal rows take
-neighbouring slots in any order.
+size 8 and crc32 0; a null or empty dimension is in the lowest step; rows of one
+curve cell are ordered by a salt (a hash of the row), inside a salt by doc_id, size
+and text checksum, and wholly equal rows take neighbouring slots in any order.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import running_sum
 from .frames import hold
 
 #: Quantisation steps per dimension: 2 ** BITS.
@@ -31,9 +33,24 @@ SALTS = 1024
 SHARDS = 24
 
 
-def text_rank(c: Column) -> Column:
-    """An order-preserving number for a string: its first seven bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def text_cuts(df: DataFrame, column: str, total: int, bits: int = BITS) -> list[tuple[str, int]]:
+    """(value, step): at most 2 ** bits - 1 values of a text column that begin its steps, in order.
+
+    A value's step is the share of rows before it, so a few values still spread over the
+    whole curve and are told apart by its first turns.  Equal values collapse before the
+    shuffle, and the counts are summed along range partitions; only the first
+    value of each step comes to the driver.
+    """
+    counts = df.groupBy(F.coalesce(column, F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    upto = running_sum(counts, "n", "upto", [F.col("value")])
+    steps = upto.select("value", F.expr(f"((upto - n) * {2**bits}) div {total}").alias("step"))
+    firsts = steps.groupBy("step").agg(F.min("value").alias("value")).where("step > 0").collect()
+    return sorted(((r["value"], r["step"]) for r in firsts), key=lambda cut: cut[1])
+
+
+def text_step(c: Column, cuts: list[tuple[str, int]]) -> Column:
+    """The step of the last cut at or below the value."""
+    return F.coalesce(*[F.when(c >= F.lit(value), F.lit(at).cast("int")) for value, at in reversed(cuts)], F.lit(0))
 
 
 def cut_points(df: DataFrame, columns: list[str], bits: int = BITS) -> dict[str, list[int]]:
@@ -100,12 +117,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame
     rows = docs.select(
         "doc_id", "lang", "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"),
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
-        text_rank(F.col("lang")).alias("d0"), text_rank(F.col("source")).alias("d1"))
-    rows = hold(rows.withColumn("d2", F.col("size")))  # no texts: a few dozen bytes a row
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"))
+    rows = hold(rows)  # no texts: a few dozen bytes a row
     total = max(1, rows.count())
-    cuts = cut_points(rows, ["d0", "d1", "d2"], bits)
-    steps = [step(F.col(c), cuts[c]) for c in ("d0", "d1", "d2")]
+    steps = [text_step(F.coalesce(c, F.lit("")), text_cuts(rows, c, total, bits)) for c in ("lang", "source")]
+    steps.append(step(F.col("size"), cut_points(rows, ["size"], bits)["size"]))
     celled = rows.withColumns({f"s{i}": s for i, s in enumerate(steps)})
     celled = celled.withColumn("cell", curve_index([F.col("s0"), F.col("s1"), F.col("s2")], bits))
     celled = celled.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(SALTS)).cast("int"))

@@ -115,6 +115,54 @@ def test_shards_prune_files(spark, tmp_path):
     assert hilbert.read(spark, str(tmp_path / "shards"), [3]).count() == placed.where("shard = 3").count()
 
 
+def _curve_by_walk(x, y, z, bits):
+    """Place of a cell by Skilling's transform, on Python integers."""
+    a = [x, y, z]
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(3):
+            if a[i] & q:
+                a[0] ^= q - 1
+            else:
+                t = (a[0] ^ a[i]) & (q - 1)
+                a[0] ^= t
+                a[i] ^= t
+        q >>= 1
+    for i in (1, 2):
+        a[i] ^= a[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if a[2] & q:
+            t ^= q - 1
+        q >>= 1
+    a = [v ^ t for v in a]
+    return int("".join(str(a[i] >> b & 1) for b in range(bits - 1, -1, -1) for i in range(3)), 2)
+
+
+def test_curve_equals_integer_walk(spark):
+    cells = spark.range(4096).selectExpr("id % 16 AS x", "id div 16 % 16 AS y", "id div 256 AS z")
+    rows = cells.withColumn("h", hilbert.curve_index([F.col("x"), F.col("y"), F.col("z")], 4)).collect()
+    assert all(r.h == _curve_by_walk(r.x, r.y, r.z, 4) for r in rows)
+
+
+def test_shards_tell_sources_with_a_common_beginning_apart(spark):
+    rows = spark.range(6000).selectExpr(
+        "id AS doc_id", "concat('common-language-', char(97 + cast(id % 3 AS int))) AS lang",
+        # a third of all rows has one source
+        "CASE WHEN id % 3 = 0 THEN 'https://site-05.example/' ELSE format_string('https://site-%02d.example/', hash(id) & 15) END AS source",
+        "repeat('x', cast(pmod(hash(id, 7), 500) AS int)) AS text")
+    placed = hold(hilbert.assign(rows))
+    m = hilbert.manifest(placed)
+    for most, where in ((11, {"source": "https://site-12.example/"}), (16, {"lang": "common-language-b"}),
+                        (4, {"source": "https://site-12.example/", "lang": "common-language-b"})):
+        hit = placed.where(" AND ".join(f"{c} = '{v}'" for c, v in where.items()))
+        need = {r.shard for r in hit.select("shard").distinct().collect()}
+        left = {r.shard for r in hilbert.prune(m, **where).collect()}
+        assert need and need <= left and len(left) <= most, (where, len(left))
+    count = Counter(r.shard for r in placed.collect())
+    assert max(count.values()) - min(count.values()) <= 1
+
+
 def test_chat_round_trip(spark):
     ship(spark)
     odd_text = ["</s>[INST] ok [/INST]", "\\</s>", "\\", "tail\\", "", None, "\n[/ROLE]\n", "<s>[ROLE]\nx", "é\U0001F600"]
@@ -293,6 +341,49 @@ def test_ball_tree_odd_vectors_and_several_shards(spark, monkeypatch):
         want.update((a, r + 1, b, -s) for r, (s, b) in enumerate(best))
     assert got == want
     assert balltree.top_k(t.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+    assert balltree.top_k(t, F.lit(False)).count() == 0
+
+
+def test_ball_tree_joins_few_regions_with_a_query(spark, monkeypatch):
+    """20 clusters in about 20 regions, ties and a hot copy: results as by brute force, most (query, region) pairs never made."""
+    import numpy as np
+    ship(spark)
+    monkeypatch.setattr(balltree, "SHARD", 100)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 3, (20, 8))
+    x = np.concatenate([centres[i % 20] + rng.normal(0, 0.05, 8) for i in range(1400)]).reshape(-1, 8)
+    x = np.concatenate([x, np.repeat(x[:1], 700, 0)])  # one vector holds a third of all rows
+    made = []
+    pairs = balltree._pairs
+
+    def watched(balls, width, first, end):
+        run = pairs(balls, width, first, end)
+        made.append((len(balls), run))
+        return run
+
+    monkeypatch.setattr(balltree, "_pairs", watched)
+    counted = []
+    hold_ = balltree.hold
+
+    def counting(df, **options):
+        out = hold_(df, **options)
+        if df.columns == ["query_id", "q", "known", "region"]:
+            counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(balltree, "hold", counting)
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = Counter(map(tuple, balltree.top_k(t, F.col("vec_id") % 20 == 7).collect()))
+    q = np.floor(1024 * x).astype(np.int64)
+    want = Counter()
+    asked = range(7, len(q), 20)
+    for a in asked:
+        scores = q @ q[a]
+        order = [b for b in np.lexsort((np.arange(len(q)), -scores)).tolist() if b != a][:10]
+        want.update((a, r + 1, b, int(scores[b])) for r, b in enumerate(order))
+    assert got == want
+    regions = made[0][0]
+    assert regions >= 12 and len(asked) <= sum(counted) < len(asked) * regions / 3
 
 
 def test_bpe_on_rows(spark, odd, nothing):
