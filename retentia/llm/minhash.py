@@ -6,14 +6,14 @@
 2. ``HASHES / ROWS`` bands of ``ROWS`` minima are bucket keys.  Two documents of
    similarity 0.8 miss each other in all bands with a chance of 5e-8.
 3. In each bucket the smallest document is paired with the others.  Pairs whose
-   signatures agree in less than ``LEAST_AGREEMENT`` (4 standard deviations below
-   0.8) are dropped, the rest is verified on the full sets; components follow by
+   signatures agree in less than ``LEAST_AGREEMENT`` (6 standard deviations below
+   0.8, a chance of 1e-8 for a pair of 0.8, below that of the bands) are dropped, the rest is verified on the full sets; components follow by
    large-star and small-star.
 4. Buckets that still hold several components are looked at member by member,
    by signatures and in blocks, but not two blocks of one component; components of which some members agree well
    enough are then compared on the full sets, every member of one with every
-   member of the other, in blocks, until one link is found.  So no link that
-   changes a component is lost, and no pairs of a group are ever listed.
+   member of the other, in blocks, until one link is found.  So a link that
+   changes a component is lost only by the two chances named above, and no pairs of a group are ever listed.
 
 Defined results: a document without words (or null text) has an empty set and is
 linked with nothing; rows that repeat a doc_id share its component; a row without
@@ -34,7 +34,7 @@ from .stars import components
 from .words import WordHasher, batch_names, mix
 
 HASHES, ROWS = 128, 4
-LEAST_AGREEMENT = 0.65
+LEAST_AGREEMENT = 0.58
 SHINGLE, PERCENT = 5, 80
 #: Rows that meet in one step of a task, rows of a task, salts of a group of equal sets.
 BLOCK, TASK_ROWS, TASK_TEXTS, SALTS = 512, 16_384, 2_048, 64
