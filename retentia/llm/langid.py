@@ -20,6 +20,7 @@ if nothing was learnt; ties go to the alphabetically first language.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import letters
+from .frames import hold, release
 
 FIT_DOCS, FIT_ROWS = 2000, 128_000
 MAX_GRAM = 5
 #: Words that a worker remembers, and numbers (words times languages) in that memory.
 MEMO_WORDS, MEMO_CELLS = 200_000, 12_800_000
+#: Words that are looked up and summed at once.
+STEP_WORDS = 50_000
 UNKNOWN = "und"
 
 
@@ -55,10 +59,13 @@ class Logs:
         self.gains = np.log(2.0 * n + 1).astype(np.float32)
         self.base = np.log(0.5 / (totals + 0.5 * len(starts)))
 
-    def mean(self, rows: list[int]) -> np.ndarray:
-        """Mean log frequency of some names in each language."""
-        at = np.concatenate([np.arange(self.starts[r], self.starts[r + 1]) for r in rows])
-        return self.base + np.bincount(self.columns[at], self.gains[at], len(self.base)) / len(rows)
+    def means(self, owners: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+        """Mean log frequency, in each language, of the names ``rows`` of each owner in 0 .. ``count`` - 1."""
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        cells = np.repeat(owners, sizes) * len(self.base) + self.columns[at]
+        sums = np.bincount(cells, self.gains[at], count * len(self.base)).reshape(count, len(self.base))
+        return self.base + sums / np.maximum(np.bincount(owners, minlength=count), 1)[:, None]
 
 
 class Model:
@@ -135,7 +142,7 @@ def fit(docs: DataFrame) -> Model:
                 pa.array([k[2] for k in counts]), pa.array(list(counts.values()), pa.int64())], names=["lang", "size", "gram", "n"])
 
     words = chosen.mapInArrow(count, "lang int, word string, n long")
-    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = hold(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))  # both tables start from these counts
     pieces = words.mapInArrow(split, "lang int, size int, gram string, n long").groupBy("lang", "size", "gram").agg(
         F.sum("n").alias("n"))
 
@@ -146,51 +153,98 @@ def fit(docs: DataFrame) -> Model:
     word_table = gathered(words.toArrow(), "word")
     # Grams seen once say little and are most of the table.
     found = pieces.where("n > 1").toArrow()
+    release(words)
     gram_tables = {n: gathered(found.filter(pc.equal(found["size"], n)), "gram") for n in range(1, MAX_GRAM + 1)}
     return Model(languages, {0: word_table[0]}, {0: word_table[1]},
                  {n: t[0] for n, t in gram_tables.items()}, {n: t[1] for n, t in gram_tables.items()})
 
 
-class Scorer(dict):
-    """Word -> row of ``rows``; a memory of the words met so far."""
+class Scorer:
+    """Predictions for texts; remembers the scores of words met so far."""
 
     def __init__(self, model: Model):
         self.model, self.index = model, model.index()
         self.room = max(1, min(MEMO_WORDS, MEMO_CELLS // max(1, len(model.languages))))
         self.rows = np.zeros((self.room, max(1, len(model.languages))), np.float32)
-
-    def word(self, word: str) -> np.ndarray:
-        """Log likelihood of a word per language."""
-        at = self.index[0].get(_name(word))
-        if at is not None:
-            return self.model.tables[0][1].mean([at])
-        for n in range(MAX_GRAM, 0, -1):
-            known = self.index.get(n)
-            found = [at for g in grams(word, n) if (at := known.get(_name(g))) is not None] if known else []
-            if found:
-                return self.model.tables[n][1].mean(found)
-        return np.zeros(len(self.model.languages))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        self.rows[at] = self.word(word)
-        self[word] = at
-        return at
+        self.at: dict[str, int] = {}
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of distinct words per language; 0 for a word of which nothing is known."""
+        out = np.zeros((len(words), len(self.model.languages)))
+        left = list(enumerate(words))
+        for kind in (0, *range(MAX_GRAM, 0, -1)):
+            if kind not in self.index or not left:
+                continue
+            known, owners, rows, unseen = self.index[kind], [], [], []
+            for i, word in left:
+                before = len(rows)
+                for name in (word,) if kind == 0 else grams(word, kind):
+                    row = known.get(_name(name))
+                    if row is not None:
+                        rows.append(row)
+                if len(rows) > before:
+                    owners += [i] * (len(rows) - before)
+                else:
+                    unseen.append((i, word))
+            if rows:
+                owner = np.array(owners)
+                seen, place = np.unique(owner, return_inverse=True)
+                out[seen] = self.model.tables[kind][1].means(place, np.array(rows), len(seen))
+            left = unseen
+        return out
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Places in ``rows`` of at most ``room`` words."""
+        new = {w for w in words if w not in self.at}
+        if len(self.at) + len(new) > self.room:  # so that no row is dropped while it is used
+            self.at.clear()
+            new = set(words)
+        if new:
+            fresh, first = list(new), len(self.at)
+            self.rows[first : first + len(fresh)] = self.score(fresh)
+            self.at.update(zip(fresh, range(first, first + len(fresh))))
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = letters.words(text)
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
-        step = min(50_000, self.room)
-        for at in range(0, len(words), step):
-            part = words[at : at + step]
-            if len(self) + len(part) > self.room:  # so that no row is dropped while it is used
-                self.clear()
-            total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
-        share = np.exp((total - total.max()) / np.sqrt(len(words)))
-        best = int(total.argmax())
-        return self.model.languages[best], float(share[best] / share.sum())
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text.  Words of many texts are scored at once, those of a long text in steps."""
+        step = min(STEP_WORDS, self.room)
+        totals, lengths = [], []
+        words: list[str] = []
+        starts, owners = [], []
+
+        def flush():
+            if words:
+                sums = np.add.reduceat(self.rows[self._rows(words)], starts, axis=0, dtype=np.float64)
+                for owner, row in zip(owners, sums):
+                    totals[owner] = totals[owner] + row
+                words.clear(), starts.clear(), owners.clear()
+
+        for text in texts:
+            found = letters.words(text) if self.model.languages else []
+            lengths.append(len(found))
+            totals.append(0.0)
+            at = 0
+            while at < len(found):
+                part = found[at : at + step - len(words)]
+                starts.append(len(words))
+                owners.append(len(totals) - 1)
+                words += part
+                at += len(part)
+                if len(words) == step:
+                    flush()
+        flush()
+        out = []
+        for total, length in zip(totals, lengths):
+            if not length:
+                out.append((UNKNOWN, 0.0))
+                continue
+            share = np.exp((total - total.max()) / np.sqrt(length))
+            best = int(total.argmax())
+            out.append((self.model.languages[best], float(share[best] / share.sum())))
+        return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -200,7 +254,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(2)]
+            found = scorer.predict_all(t.as_py() for t in batch.column(2))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()),
                 pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

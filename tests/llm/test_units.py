@@ -146,7 +146,7 @@ def test_ball_tree_is_exact(copies):
         assert tree.search(x[q], int(ids[q]), 10, known) == [(-s, -i) for s, i in best]
 
 
-def test_langid_backoff_uses_shorter_grams():
+def _two_languages():
     counts = {"haus": np.array([5.0, 0.0]), "house": np.array([0.0, 5.0])}
     words_ = langid._table(counts, np.array([5.0, 5.0]))
     grams = {n: {} for n in range(1, 6)}
@@ -155,13 +155,29 @@ def test_langid_backoff_uses_shorter_grams():
             for g in langid.grams(w, n):
                 grams[n][g] = grams[n].get(g, 0) + c
     tables = {n: langid._table(g, sum(g.values())) for n, g in grams.items()}
-    m = langid.Model(["de", "en"], {0: words_[0]}, {0: words_[1]}, {n: t[0] for n, t in tables.items()}, {n: t[1] for n, t in tables.items()})
-    s = langid.Scorer(m)
+    return langid.Model(["de", "en"], {0: words_[0]}, {0: words_[1]}, {n: t[0] for n, t in tables.items()}, {n: t[1] for n, t in tables.items()})
+
+
+def test_langid_backoff_uses_shorter_grams():
+    s = langid.Scorer(_two_languages())
     assert s.predict("haus")[0] == "de" and s.predict("house")[0] == "en"
     assert s.predict("hausen")[0] == "de" and s.predict("ouse")[0] == "en"
     assert s.predict("12 !!") == s.predict(None) == ("und", 0.0)
 
 
+def test_langid_batches_equal_single_texts(monkeypatch):
+    """Whatever the number of words taken at once, and also while the memory is emptied."""
+    texts = ["haus", None, "house of hausen", "", "12", "qqq zzz", "ouse aus haus " * 40, "h", "hausen " * 7 + "house"]
+    alone = [langid.Scorer(_two_languages()).predict(t) for t in texts]
+    for step, room in ((50_000, 200_000), (3, 200_000), (7, 2), (1, 1)):
+        monkeypatch.setattr(langid, "STEP_WORDS", step)
+        monkeypatch.setattr(langid, "MEMO_WORDS", room)
+        got = langid.Scorer(_two_languages()).predict_all(texts)
+        assert [g[0] for g in got] == [a[0] for a in alone]
+        assert np.allclose([g[1] for g in got], [a[1] for a in alone])
+    assert langid.Scorer(_two_languages()).predict_all([]) == []
+
+
 def test_counterfactual_penalty_protects_group_mentions():
     """The labels connect a group with abuse by chance; the penalty takes that weight away, but not the abuse's."""
     rows = []
