@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import col_of, py_strip, py_title, strftime_to_spark
+from ..session import staging_path
 
 # Literal tokens the standardisers turn into NULL after stripping.
 NULL_TEXT = ["nan", "None", ""]
@@ -125,38 +126,78 @@ def enforce_dataset_schema(df: DataFrame, spec: Mapping[str, Mapping]) -> DataFr
     return df.select(*exprs)
 
 
-def conversion_audit(raw: DataFrame, spec: Mapping[str, Mapping]) -> DataFrame:
-    """One row per spec column present: inputs, successes, failures and rate, from ONE aggregate.
-
-    Columns: column, target_type, status, initial_dtype, final_dtype, is_currency,
-    total_inputs, successful_conversions, failed_conversions, success_rate_pct.
-    """
-    cols = [c for c in spec if c in raw.columns]
-    aggs = []
-    meta = []
-    for c in cols:
+def _audit_plan(raw: DataFrame, spec: Mapping[str, Mapping]) -> list[tuple]:
+    """(column, conversion, target, status, initial dtype, final dtype, currency flag) of each spec column present."""
+    plan = []
+    for c in [c for c in spec if c in raw.columns]:
         e, target = compile_rule(c, spec[c])
         conv = e if e is not None else F.col(c)
-        aggs += [F.count(F.col(c)).alias(f"{c}__in"), F.count(conv).alias(f"{c}__ok")]
         final = raw.select(conv.alias("x")).schema["x"].dataType.simpleString()
         is_cur = str(spec[c].get("type", "")).lower() == "currency" or bool(spec[c].get("is_currency", False))
-        meta.append((c, target, "skipped" if e is None else "converted",
+        plan.append((c, conv, target, "skipped" if e is None else "converted",
                      raw.schema[c].dataType.simpleString(), final, is_cur))
-    if not cols:
-        return raw.sparkSession.createDataFrame([], _AUDIT_SCHEMA)
-    wide = raw.agg(*aggs)
+    return plan
+
+
+def _audit_rows(wide: DataFrame, plan: list[tuple]) -> DataFrame:
+    """The audit table from one row of counts: ``in<i>`` inputs and ``ok<i>`` conversions of the i-th entry of ``plan``."""
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(t).alias("target_type"), F.lit(st).alias("status"),
-                 F.lit(i).alias("initial_dtype"), F.lit(fdt).alias("final_dtype"),
+                 F.lit(first).alias("initial_dtype"), F.lit(final).alias("final_dtype"),
                  F.lit(cur).alias("is_currency"),
-                 F.col(f"{c}__in").alias("total_inputs"), F.col(f"{c}__ok").alias("successful_conversions"))
-        for (c, t, st, i, fdt, cur) in meta])).alias("r")).select("r.*")
+                 F.col(f"in{i}").alias("total_inputs"), F.col(f"ok{i}").alias("successful_conversions"))
+        for i, (c, _, t, st, first, final, cur) in enumerate(plan)])).alias("r")).select("r.*")
     return rows.select(
         "*", (F.col("total_inputs") - F.col("successful_conversions")).alias("failed_conversions"),
         F.round(F.col("successful_conversions") / F.greatest(F.col("total_inputs"), F.lit(1)) * 100, 2)
         .alias("success_rate_pct"))
 
 
+def conversion_audit(raw: DataFrame, spec: Mapping[str, Mapping]) -> DataFrame:
+    """One row per spec column present: inputs, successes, failures and rate, from ONE aggregate.
+
+    Columns: column, target_type, status, initial_dtype, final_dtype, is_currency,
+    total_inputs, successful_conversions, failed_conversions, success_rate_pct.
+    """
+    plan = _audit_plan(raw, spec)
+    if not plan:
+        return raw.sparkSession.createDataFrame([], _AUDIT_SCHEMA)
+    return _audit_rows(raw.agg(*[agg for i, (c, conv, *_) in enumerate(plan) for agg in
+                                 (F.count(F.col(c)).alias(f"in{i}"), F.count(conv).alias(f"ok{i}"))]), plan)
+
+
+def standardise_dataset(raw: DataFrame, spec: Mapping[str, Mapping], path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(table, audit)`` from ONE pass: the typed table is written, and the audit's counts are observed on that write.
+
+    The table is Parquet at ``path`` (overwritten), by default a folder of its own below the shared checkpoint
+    folder.  The counts are taken in the stage that writes, of which Spark counts every partition once, so a task
+    that is tried again after a lost executor changes nothing.  ``raw`` must not be read from ``path``.
+    """
+    spark = raw.sparkSession
+    plan = _audit_plan(raw, spec)
+    conversions = {c: conv for c, conv, *_ in plan}
+    numbered = {c: i for i, c in enumerate(conversions)}
+    # Positions instead of names: a column of the table may be called like a helper.
+    typed = raw.select(*[conversions.get(c, F.col(c)).alias(f"c{k}") for k, c in enumerate(raw.columns)],
+                       *[F.col(c).isNotNull().alias(f"given{i}") for c, i in numbered.items()])
+    seen = Observation()
+    if plan:
+        place = {c: k for k, c in enumerate(raw.columns)}
+        typed = typed.observe(seen, *[agg for c, i in numbered.items() for agg in
+                                      (F.count_if(F.col(f"given{i}")).alias(f"in{i}"),
+                                       F.count(F.col(f"c{place[c]}")).alias(f"ok{i}"))])
+    table = typed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(raw.columns)])
+    path = path or staging_path(spark, "standardised")
+    table.write.mode("overwrite").parquet(path)
+    written = spark.read.schema(table.schema).parquet(path)
+    if not plan:
+        return written, spark.createDataFrame([], _AUDIT_SCHEMA)
+    counts = seen.get
+    names = [f"{kind}{i}" for i in range(len(plan)) for kind in ("in", "ok")]
+    wide = spark.createDataFrame([tuple(int(counts.get(n) or 0) for n in names)], ", ".join(f"{n} bigint" for n in names))
+    return written, _audit_rows(wide, plan)
+
+
 _AUDIT_SCHEMA = ("column string, target_type string, status string, initial_dtype string, final_dtype string, "
                  "is_currency boolean, total_inputs bigint, successful_conversions bigint, "
                  "failed_conversions bigint, success_rate_pct double")

@@ -101,10 +101,13 @@ def q_std_string(spark, sf):
                     st.standardise_string("status", "lower").alias("status"))
 
 
-@register("std_enforce_schema", U + f"""
+_ENFORCED = U + f"""
 SELECT row_id, {sql_int('order_id')} AS order_id, {sql_dt('order_date')} AS order_date,
        {sql_num('total_price')} AS total_price, {sql_bool('auto_renew')} AS auto_renew,
-       {sql_title('priority')} AS priority, {sql_lower('status')} AS status FROM unstd""")
+       {sql_title('priority')} AS priority, {sql_lower('status')} AS status FROM unstd"""
+
+
+@register("std_enforce_schema", _ENFORCED)
 def q_enforce(spark, sf):
     return st.enforce_dataset_schema(raw(spark, sf), SPEC)
 
@@ -132,6 +135,16 @@ def q_audit(spark, sf):
     return st.conversion_audit(raw(spark, sf), SPEC)
 
 
+@register("std_dataset", _ENFORCED)
+def q_dataset(spark, sf):
+    return st.standardise_dataset(raw(spark, sf), SPEC)[0]
+
+
+@register("std_dataset_audit", _audit_sql())
+def q_dataset_audit(spark, sf):
+    return st.standardise_dataset(raw(spark, sf), SPEC)[1]
+
+
 def _failures_sql():
     parts = []
     for c, conv in [("order_id", sql_int("order_id")), ("order_date", sql_dt("order_date")),

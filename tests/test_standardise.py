@@ -122,3 +122,32 @@ def test_raise_mode(spark):
             st.standardise_boolean("v", errors="raise")).collect()
     with pytest.raises(Exception, match="unparseable number"):
         spark.createDataFrame([("1.2.3",)], "v string").select(st.standardise_numeric("v", errors="raise")).collect()
+
+
+def test_table_and_audit_from_one_pass(spark, tmp_path):
+    """Every row is computed once, and table and audit equal those of the two separate operators."""
+    spec = {"in0": {"type": "int"}, "c0": {"type": "currency"}, "given0": {"type": "what"}, "absent": {"type": "float"}}
+    rows = [("7", "$1,000", "a", 1), ("x", None, None, 2), (None, "n/a", "b", 3), ("nan", "", "", None)] * 50
+    raw = spark.createDataFrame(rows, "in0 string, c0 string, given0 string, other int").repartition(7)
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    table, audit = st.standardise_dataset(raw.mapInArrow(count, raw.schema), spec, str(tmp_path / "t"))
+    assert table.columns == raw.columns and table.count() == 200 and passed.value == 200
+    key = lambda r: str(tuple(r))
+    assert sorted(table.collect(), key=key) == sorted(st.enforce_dataset_schema(raw, spec).collect(), key=key)
+    assert audit.orderBy("column").collect() == st.conversion_audit(raw, spec).orderBy("column").collect()
+    assert passed.value == 200
+
+
+def test_table_and_audit_of_nothing(spark):
+    empty = spark.createDataFrame([], "v string")
+    table, audit = st.standardise_dataset(empty, {"v": {"type": "float"}})
+    assert table.count() == 0 and table.schema["v"].dataType.simpleString() == "double"
+    assert [(r.total_inputs, r.success_rate_pct) for r in audit.collect()] == [(0, 0.0)]
+    table, audit = st.standardise_dataset(spark.range(3).toDF("v"), {"w": {"type": "int"}})
+    assert table.count() == 3 and audit.count() == 0
