@@ -9,11 +9,13 @@
    signatures agree in less than ``LEAST_AGREEMENT`` (6 standard deviations below
    0.8, a chance of 1e-8 for a pair of 0.8, below that of the bands) are dropped, the rest is verified on the full sets; components follow by
    large-star and small-star.
-4. Buckets that still hold several components are looked at member by member,
-   by signatures and in blocks, but not two blocks of one component; components of which some members agree well
-   enough are then compared on the full sets, every member of one with every
-   member of the other, in blocks, until one link is found.  So a link that
-   changes a component is lost only by the two chances named above, and no pairs of a group are ever listed.
+4. Buckets that still hold several components are looked at member by member, in
+   blocks, but not two blocks of one component: first by signatures, which leaves
+   the members that agree well enough with one of another component, then these
+   on the full sets, pair by pair, until their components are joined.  So a link
+   that changes a component is lost only by the two chances named above.  Of a
+   group, tasks return members and the links that join its components, never
+   pairs: no more rows than they read.
 
 Defined results: a document without words (or null text) has an empty set and is
 linked with nothing; rows that repeat a doc_id share its component; a row without
@@ -26,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,22 +148,61 @@ def _linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return links
 
 
-def _agreeing(t: pa.Table) -> pa.Table:
-    """Rows of buckets (block pairs): components of which two members' signatures agree well enough."""
-    signatures = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(t.num_rows, HASHES)
+def _near(t: pa.Table, minima: str):
+    """Rows of buckets (block pairs): a row and those of the other block, of other components, whose signatures agree well enough.
+
+    With ``bands``, two rows count in the first bucket only that they share.
+    """
+    signatures = np.frombuffer(b"".join(t[minima].to_pylist()), "<u2").reshape(t.num_rows, HASHES)
     component, chunk = t["component"].to_numpy(), t["chunk"].to_numpy()
-    i, j = t["i"].to_numpy(), t["j"].to_numpy()
-    found = set()
-    for rows in _groups(t["key"].to_numpy(), i, j):
+    key, i, j = t["key"].to_numpy(), t["i"].to_numpy(), t["j"].to_numpy()
+    bands = pc.list_flatten(t["bands"]).to_numpy().reshape(t.num_rows, -1) if "bands" in t.column_names else None
+    for rows in _groups(key, i, j):
+        alone = i[rows[0]] == j[rows[0]]  # a block with itself: each pair once
         left, right = rows[chunk[rows] == i[rows]], rows[chunk[rows] == j[rows]]
         for x in left.tolist():
-            other = right[component[right] != component[x]]
+            other = right[(component[right] != component[x]) & (right > x if alone else True)]
             if len(other):
                 near = other[(signatures[other] == signatures[x]).sum(1) >= LEAST_AGREEMENT * HASHES]
-                a = int(component[x])
-                found.update((min(a, b), max(a, b)) for b in set(component[near].tolist()))
-    columns = list(zip(*found)) or [(), ()]
-    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+                if bands is not None:
+                    near = near[bands[x][(bands[near] == bands[x]).argmax(1)] == key[x]]
+                if len(near):
+                    yield x, near
+
+
+def _agreeing(t: pa.Table) -> pa.Table:
+    """The rows of ``t`` that agree well enough with a row of another component: no more than came in, however many pairs they make."""
+    chosen = np.zeros(t.num_rows, bool)
+    for x, near in _near(t, "signature"):
+        chosen[x] = chosen[near] = True
+    return t.select(["key", "component", "signature", "chunk", "i", "j", "node"]).filter(pa.array(chosen)).rename_columns(
+        ["key", "component", "minima", "chunk", "i", "j", "node"])
+
+
+def _joining(width: int, percent: int):
+    """Rows of ``_agreeing`` with their texts: links on the full sets, as few as join the components that are linked."""
+    def run(t: pa.Table) -> pa.Table:
+        _, first, own = np.unique(t["node"].to_numpy(), return_index=True, return_inverse=True)
+        sets = shingle_sets(t["text"].take(pa.array(first)).to_pylist(), width)
+        names, at = np.unique(t["component"].to_numpy(), return_inverse=True)
+        label = np.arange(len(names))  # of each component: one of those it is joined with so far
+        found = []
+        for x, near in _near(t, "minima"):
+            near = near[label[at[near]] != label[at[x]]]
+            if not len(near):
+                continue
+            mine, theirs = sets[own[x]], [sets[k] for k in own[near]]
+            sizes, each = np.array([len(s) for s in theirs]), np.concatenate(theirs)
+            hit = mine[np.minimum(np.searchsorted(mine, each), len(mine) - 1)] == each
+            common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for y in near[100 * common >= percent * (sizes + len(mine) - common)].tolist():
+                if label[at[x]] != label[at[y]]:
+                    label[label == label[at[y]]] = label[at[x]]
+                    found.append((names[at[x]], names[at[y]]))
+        columns = list(zip(*found)) or [(), ()]
+        return pa.table({"u": pa.array(columns[0], pa.int64()), "v": pa.array(columns[1], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -208,7 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         "key", "node", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     several = several.where("lo < hi").select("key")
-    open_rows = hold(labelled.join(several, "key").join(signatures, "node"))
+    open_rows = hold(labelled.join(several, "key").join(classes.select(F.col("rep").alias("node"), "s.signature", "s.bands"), "node"))
     # Blocks of a bucket: a component of more than BLOCK members has its own, which do not meet each other; the others share blocks.
     parts = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).withColumn(
         "own", F.when(F.col("size") > BLOCK, F.col("component")))
@@ -226,28 +268,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     chunked = chunked.withColumn("other", F.col("other") + F.when(
         F.col("own").isNotNull() & (F.col("other") >= F.col("first")), F.col("chunks")).otherwise(0))
     chunked = chunked.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select(
-        "key", "component", "signature", "chunk", "i", "j")
+        "key", "component", "signature", "bands", "chunk", "i", "j", "node")
     meeting = groups.agg(F.sum(F.col("size") * F.col("others")).alias("n")).first()["n"] or 0  # rows of chunked
-    candidates = hold(_tasks(chunked, meeting, TASK_ROWS, "key", "i", "j").groupBy("task").applyInArrow(
-        _agreeing, "a long, b long").distinct())
-
-    # Compare these components on the full sets: the larger is the host.
-    nodes = wanted.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    nodes = hold(nodes)
-    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = candidates.join(sizes.select(F.col("component").alias("a"), F.col("size").alias("size_a")), "a")
-    sized = sized.join(sizes.select(F.col("component").alias("b"), F.col("size").alias("size_b")), "b")
-    first = F.col("size_a") >= F.col("size_b")
-    sized = hold(sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"),
-                              F.ceil(F.greatest("size_a", "size_b") / BLOCK).cast("int").alias("hosts"), F.least("size_a", "size_b").alias("n")))
-    jobs = sized.groupBy("a").agg(F.first("hosts").alias("hosts"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("guests"))
-    host_rows = nodes.join(jobs, nodes["component"] == jobs["a"]).select(
-        "a", F.pmod(F.xxhash64("node"), F.col("hosts")).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("j"), F.lit(True).alias("host"), "component", "node")
-    guest_rows = nodes.join(sized.select("a", "b"), nodes["component"] == F.col("b")).join(jobs, "a").select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("hosts") - 1)).alias("i"),
-        F.pmod(F.xxhash64("node"), F.col("guests")).cast("int").alias("j"), F.lit(False).alias("host"), "component", "node")
-    more = _linked(host_rows.unionByName(guest_rows).join(texts, "node").drop("node"), width, percent)
+    near = hold(_tasks(chunked, meeting, TASK_ROWS, "key", "i", "j").groupBy("task").applyInArrow(
+        _agreeing, "key long, component long, minima binary, chunk int, i int, j int, node long"))
+
+    # The same blocks once more, with what is left in them, on the full sets.
+    more = hold(_tasks(near.join(texts, "node"), near.count(), TASK_TEXTS, "key", "i", "j").groupBy("task").applyInArrow(
+        _joining(width, percent), "u long, v long").distinct())
     final = hold(components(links.unionByName(more)))
 
     # Back to the rows: class by (digest, salt), so that many copies are many groups.
@@ -258,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     out = rows.join(by_salt, ["d1", "d2", "n", "salt"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    release(texts, members, open_rows, groups, nodes, candidates, sized, pairs)
+    release(texts, members, open_rows, groups, near, pairs)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

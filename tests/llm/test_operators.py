@@ -259,6 +259,28 @@ def test_near_duplicates_large_families_meet_strays_only(spark, monkeypatch):
     assert met == total > 0 and alone == 0
 
 
+def test_near_duplicates_write_no_pairs_of_a_group(spark, monkeypatch):
+    """Many documents of similarity 0.7 in the same buckets, some of them linked: no step writes more rows than the buckets have."""
+    import random
+    ship(spark)
+    rng = random.Random(7)
+    rows = []
+    for i in range(150):
+        w = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(200), 18):
+            w[k] = f"u{i}_{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, t.replace("w7 ", "v ")) for i, t in rows[::10]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = []
+    monkeypatch.setattr(minhash, "hold", lambda df: held.append(hold(df)) or held[-1])
+    monkeypatch.setattr(minhash, "release", lambda *held: None)
+    got = minhash.near_duplicates(docs, 1, 80).collect()
+    want = _brute_components(rows, 1, 80)
+    assert {r.doc_id: r.component_id for r in got} == want and 100 < len(set(want.values())) < len(rows)
+    assert max(df.count() for df in held) <= minhash.HASHES // minhash.ROWS * len(rows)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(200, 201), (201, 202), (202, 200)]
     got = {r.node: r.component for r in stars.components(spark.createDataFrame(edges, "u long, v long")).collect()}
